@@ -17,12 +17,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (``spark.checkpoint.dir``); unset, as in tests, one of our own."""
+    """The folder that the cluster shares (``spark.checkpoint.dir``); where it is unset, as in tests, one of our own."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = tempfile.mkdtemp(prefix="spark-millrace-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        app = spark.sparkContext.applicationId
+        where = _own.setdefault(app, "") or tempfile.mkdtemp(prefix="spark-millrace-")
+        _own[app] = where
     return where.rstrip("/")
 
 
@@ -42,7 +46,7 @@ def words(text: Column) -> Column:
 
     ASCII white space runs are the separators, so stripping them from both ends first leaves
     no empty piece but that of a blank text."""
-    bare = F.regexp_replace(F.coalesce(text, F.lit("")), f"^{SPACE}+|{SPACE}+$", "")
+    bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, f"{SPACE}+"))
 
 
