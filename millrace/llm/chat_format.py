@@ -95,3 +95,9 @@ def read_back(formatted: Column) -> Column:
     """The deterministic parser on a whole conversation: an array of parsed turns."""
     lines = F.filter(F.split(formatted, "(?<=</s>)"), lambda x: x != "")
     return F.transform(lines, parse)
+
+
+def read_span(formatted: Column, span: Column) -> Column:
+    """The text under a loss span of a whole conversation, unescaped."""
+    body = F.substring(formatted, span["start"].cast("int"), span["len"].cast("int"))
+    return F.when(span["escaped"], unescape(body)).otherwise(body)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +43,28 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a settled table of ids and numbers up to which it may be broadcast (some ten MB); larger ones are joined by shuffle.
+BROADCAST_ROWS = 400_000
+
+
+def small(settled: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``settled``, marked for broadcast if it is counted and found small enough."""
+    return F.broadcast(settled) if settled.count() <= rows else settled
+
+
+_space = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def word_lists(data: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The words of UTF-8 ``data`` in order, as lists of about ``size`` bytes, so that a very long text is never held as one list."""
+    at = 0
+    while at < len(data):
+        cut = _space.search(data, at + size) if at + size < len(data) else None
+        end = cut.start() if cut else len(data)
+        yield data[at:end].split()
+        at = end
+
+
 def words(text: Column) -> Column:
     """All words of a text in order; null and blank texts have none.
 
