@@ -5,9 +5,11 @@ through the last pass are the repeated windows. A pass keeps nothing but groups
 
 1. The first digit is the window's anchor, its 48-byte string of smallest hash. Equal windows have equal anchors at equal places, and
    windows in a row mostly share one, so a run of some 75 windows is one row. An anchor that is found once ends here.
-2. The second digit is all that the run of windows covers. Runs found twice are repeated as a whole; if an
-   anchor has one kind of run only, nothing is left to order.
-3. The last digit is the single window, for one run of each kind whose anchor has several kinds.
+   Runs of one anchor are of one kind if they cover the same bytes. Runs of a kind found twice are repeated as a whole; of each kind, if the
+   anchor has several, one goes on.
+2. The second digit is the core of a block: a run is cut into blocks of ``BLOCK`` windows, counted from the anchor, and the core is what all windows of
+   the block have in common. A core found once ends here; blocks of one core are ordered by kind as the runs were.
+3. The last digit is the single window.
 
 Strings are compared by digests of 128 bits in all (64 of the anchor, 64 of the rest). Texts count as their bytes in UTF-8 and are never shuffled for the passes:
 rows hold numbers only. A text is known by a digest and its size, so equal texts share their spans. Long texts are read in pieces; a piece's end
@@ -28,6 +30,8 @@ from millrace.llm.common import settle
 
 #: Bytes of a window and of an anchor; windows looked at in one piece.
 WINDOW, ANCHOR, PIECE = 200, 48, 1 << 20
+#: Windows of a block.
+BLOCK = 12
 #: Marks or spans up to which they are sent to all tasks (some 20 MB); beyond, they are joined by shuffle.
 SENT = 600_000
 
@@ -83,7 +87,7 @@ def _least(keys: np.ndarray, width: int) -> np.ndarray:
 
 
 def _runs(data: np.ndarray, at: int) -> tuple[np.ndarray, ...]:
-    """Runs of windows with one anchor: hash of the anchor, of the run, and place (start << 8 | number of windows), for a piece that starts at ``at``."""
+    """Runs of windows with one anchor: hash of the anchor, of the run, and place (start << 16 | number of windows << 8 | anchor - start), for a piece that starts at ``at``."""
     one, two = _Hash(data, 0), _Hash(data, 1)
     grams = one.all(ANCHOR)
     place = (_least((grams & ~_IDX) | np.arange(len(grams), dtype=np.uint64), _SPAN) & _IDX).astype(np.int64)
@@ -92,7 +96,7 @@ def _runs(data: np.ndarray, at: int) -> tuple[np.ndarray, ...]:
     pos = place[s1]
     n = s2 - s1 + 1
     whole = _mix(two.of(s1, s2 + WINDOW) + ((pos - s1) << 8 | n).astype(np.uint64) * np.uint64(_ODD[1]))
-    return grams[pos].view(np.int64), whole.view(np.int64), (s1 + at) << 8 | n
+    return grams[pos].view(np.int64), whole.view(np.int64), (s1 + at) << 16 | n << 8 | (pos - s1)
 
 
 def _find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,30 +110,55 @@ def _find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for o, v in zip(out, (anchor, run, np.full(len(where), ids[i]), np.full(len(where), sizes[i]), where), strict=True):
                     o.append(v)
                 if sum(map(len, out[4])) > 200_000:
-                    yield _batch(out, ("anchor", "run", "id", "size", "place"))
+                    yield _batch(out, ("part", "kind", "id", "size", "place"))
                     out = [[] for _ in range(5)]
-        yield _batch(out, ("anchor", "run", "id", "size", "place"))
+        yield _batch(out, ("part", "kind", "id", "size", "place"))
 
 
 def _batch(out: list[list[np.ndarray]], names: tuple[str, ...]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.empty(0, np.int64), pa.int64()) for x in out], list(names))
 
 
-def _find_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The single windows of the marked runs."""
-    for batch in batches:
-        out: list[list[np.ndarray]] = [[] for _ in range(5)]
-        for i, size, text, marks in zip(*(c.to_pylist() if k != 2 else c for k, c in enumerate(batch.columns)), strict=True):
-            data = np.frombuffer(text.as_buffer(), np.uint8)
-            for m in marks:
-                starts = np.arange(m["lo"], m["hi"] + 1)
-                hashes = _Hash(data[m["lo"] : m["hi"] + WINDOW], 1).all(WINDOW).view(np.int64)
-                for o, v in zip(out, (np.full(len(starts), m["anchor"]), hashes, np.full(len(starts), i), np.full(len(starts), size), starts), strict=True):
-                    o.append(v)
-            if sum(map(len, out[4])) > 200_000:
-                yield _batch(out, ("anchor", "window", "id", "size", "start"))
-                out = [[] for _ in range(5)]
-        yield _batch(out, ("anchor", "window", "id", "size", "start"))
+def _blocks(data: np.ndarray, part: int, place: int) -> tuple[np.ndarray, ...]:
+    """Blocks of the run at ``place``: hash of the core (with its place and the anchor), of the block, and place."""
+    start, n, anchor = place >> 16, place >> 8 & 255, (place >> 16) + (place & 255)
+    block = (anchor - np.arange(start, start + n)) // BLOCK
+    cut = np.flatnonzero(np.diff(block))
+    lo, hi = start + np.r_[0, cut + 1], start + np.r_[cut, n - 1]
+    b = block[lo - start]
+    h = _Hash(data[start : start + n + WINDOW - 1], 1)
+    core = anchor - BLOCK * b - start  # the last window's start, even if the run ends before
+    core = _mix(h.of(core, core + WINDOW - BLOCK + 1) + (b + 1).astype(np.uint64) * np.uint64(_ODD[0]) + np.uint64(part & 2**64 - 1))
+    n = hi - lo + 1
+    kind = _mix(h.of(lo - start, hi - start + WINDOW) + ((anchor - lo) << 8 | n).astype(np.uint64) * np.uint64(_ODD[1]))
+    return core.view(np.int64), kind.view(np.int64), lo << 16 | n << 8 | (anchor - lo)
+
+
+def _windows(data: np.ndarray, part: int, place: int) -> tuple[np.ndarray, ...]:
+    """The single windows of the block at ``place``: the block's core, the hash of the window, and its start."""
+    start, n = place >> 16, place >> 8 & 255
+    return np.full(n, part), _Hash(data[start : start + n + WINDOW - 1], 1).all(WINDOW).view(np.int64), np.arange(start, start + n)
+
+
+def _opened(by) -> callable:
+    """Opens the marked runs or blocks of each text by ``by``."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("part", "kind", "id", "size", "place")
+        for batch in batches:
+            out: list[list[np.ndarray]] = [[] for _ in names]
+            for i, size, text, marks in zip(*(c.to_pylist() if k != 2 else c for k, c in enumerate(batch.columns)), strict=True):
+                data = np.frombuffer(text.as_buffer(), np.uint8)
+                for m in marks:
+                    part, kind, place = by(data, m["part"], m["place"])
+                    for o, v in zip(out, (part, kind, np.full(len(place), i), np.full(len(place), size), place), strict=True):
+                        o.append(v)
+                if len(out[4]) > 20_000:
+                    yield _batch(out, names)
+                    out = [[] for _ in names]
+            yield _batch(out, names)
+
+    return find
 
 
 @F.arrow_udf(T.BinaryType())
@@ -152,28 +181,40 @@ def _sent(df: DataFrame, n: int) -> DataFrame:
     return F.broadcast(df) if n <= SENT else df
 
 
+def _passed(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """A pass over ``rows`` (part, kind, id, size, place): those that are repeated as a whole, and those that go on.
+
+    What isn't read twice from ``rows`` is settled on its own, so that the joins have shuffles on both sides and hot parts can be split."""
+    parts = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("kind").alias("lo"), F.max("kind").alias("hi")).where("n > 1")
+    parts = settle(parts.select("part", (F.col("lo") != F.col("hi")).alias("mixed")), f"{name}-parts")
+    met = settle(rows.join(parts, "part"), f"{name}-met")
+    kinds = met.where("mixed").groupBy("part", "kind").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "size", "place")).alias("first"))
+    kinds = settle(kinds, f"{name}-kinds")
+    twice = met.where("mixed").join(kinds.where("n > 1").select("part", "kind"), ["part", "kind"])
+    return met.where("not mixed").select("id", "size", "place").union(twice.select("id", "size", "place")), kinds.select("part", "first.*")
+
+
+def _open(texts: DataFrame, marks: DataFrame, by, name: str) -> DataFrame:
+    """The ``marks`` (id, size, part, place), opened."""
+    marks = settle(marks.groupBy("id", "size").agg(F.collect_list(F.struct("part", "place")).alias("marks")), f"{name}-marks")
+    n = marks.agg(F.sum(F.size("marks"))).first()[0] or 0
+    found = texts.join(_sent(marks, n), ["id", "size"]).select("id", "size", "bytes", "marks").mapInArrow(_opened(by), _ROWS)
+    return settle(found, name)
+
+
+_ROWS = ", ".join(f"{n} long" for n in ("part", "kind", "id", "size", "place"))
+
+
 def repeated_spans(texts: DataFrame) -> DataFrame:
     """Maximal repeated spans [a, e) of ``texts`` (id, size, bytes): rows id, size, a, e; equal (id, size) once."""
     long = texts.where(F.col("size") >= WINDOW)
-    kinds = lambda *names: ", ".join(f"{n} long" for n in names)
-    runs = long.mapInArrow(_find_runs, kinds("anchor", "run", "id", "size", "place"))
-    # first digit: anchors found twice, and whether all their runs are of one kind
-    anchors = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("run").alias("lo"), F.max("run").alias("hi")).where("n > 1")
-    met = settle(runs.join(anchors.select("anchor", (F.col("lo") != F.col("hi")).alias("mixed")), "anchor"), "runs")
-    # second digit: kinds of runs
-    kind = met.where("mixed").groupBy("anchor", "run").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "size", "place")).alias("first"))
-    kind = settle(kind, "kinds")
-    whole = met.where("not mixed").select("id", "size", "place").union(met.where("mixed").join(kind.where("n > 1").select("anchor", "run"), ["anchor", "run"]).select("id", "size", "place"))
-    start, last = F.shiftright("place", 8), F.shiftright("place", 8) + F.col("place").bitwiseAND(255) - 1
-    # third digit: windows
-    marks = kind.select("first.*", "anchor").groupBy("id", "size").agg(F.collect_list(F.struct("anchor", start.alias("lo"), last.alias("hi"))).alias("marks"))
-    marks = settle(marks, "marks")
-    n_marks = marks.agg(F.sum(F.size("marks"))).first()[0] or 0
-    windows = long.join(_sent(marks, n_marks), ["id", "size"]).select("id", "size", "bytes", "marks").mapInArrow(_find_windows, kinds("anchor", "window", "id", "size", "start"))
-    windows = settle(windows, "windows")
-    twice = windows.groupBy("anchor", "window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor", "window")
-    spans = windows.join(twice, ["anchor", "window"]).select("id", "size", F.col("start").alias("a"), (F.col("start") + WINDOW).alias("e"))
-    spans = spans.union(whole.select("id", "size", start, last + WINDOW))
+    whole_runs, runs = _passed(long.mapInArrow(_find_runs, _ROWS), "runs")
+    whole_blocks, blocks = _passed(_open(long, runs, _blocks, "blocks"), "blocks")
+    windows = _open(long, blocks, _windows, "windows")
+    twice = settle(windows.groupBy("part", "kind").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("part", "kind"), "twice")
+    spans = windows.join(twice, ["part", "kind"]).select("id", "size", F.col("place").alias("a"), (F.col("place") + WINDOW).alias("e"))
+    start = F.shiftright("place", 16)
+    spans = spans.union(whole_runs.union(whole_blocks).select("id", "size", start, start + F.shiftright("place", 8).bitwiseAND(255) - 1 + WINDOW))
     # spans that touch or overlap are one
     by_start = Window.partitionBy("id", "size").orderBy("a", "e")
     reach = F.max("e").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
