@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from millrace.plans import data_queries
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**data_queries.QUERIES}
+ORACLE_SQL: dict[str, str] = {**data_queries.ORACLE_SQL}
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/region.parquet")
+    return QUERIES["dataset_manifest"](spark, sf_dir)
