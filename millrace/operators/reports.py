@@ -25,7 +25,7 @@ def latency(events: DataFrame, by: list[str]) -> DataFrame:
     good = F.when((F.col("event_type") != "error") & (F.col("value") > 0), F.col("value"))
     return events.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_type") == "error").alias("n_failed"),
-        F.round(F.avg(good), 2).alias("mean"), F.round(F.median(good), 2).alias("p50"), F.round(F.percentile(good, 0.95), 2).alias("p95"),
+        F.round(F.avg(good), 4).alias("mean"), F.round(F.median(good), 4).alias("p50"), F.round(F.percentile(good, 0.95), 4).alias("p95"),
     )
 
 
