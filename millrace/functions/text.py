@@ -19,8 +19,8 @@ def normalized(text: Column) -> Column:
 
 
 def skeleton(text: Column) -> Column:
-    """Runs of letters to X, digits to N, punctuation and white space dropped."""
-    return F.regexp_replace(F.regexp_replace(normalized(text), r"[\x{4e00}-\x{9fff}]+", "X"), r"[A-Za-z]+", "x")
+    """Runs of CJK letters to X and of Latin letters to x, digits to N, punctuation and white space dropped."""
+    return F.regexp_replace(normalized(F.regexp_replace(text, r"[A-Za-z]+", "x")), r"[\x{4e00}-\x{9fff}]+", "X")
 
 
 def fingerprint(*cols: Column) -> Column:

@@ -92,7 +92,7 @@ def split_overlap(spark: SparkSession, sf: str) -> DataFrame:
     return selection.overlap(s.where("split = 'val'"), s.where("split = 'train'"), ["fp"])
 
 
-_SKEL = f"regexp_replace(regexp_replace({_NORM.format(x='text')}, '[\\x{{4e00}}-\\x{{9fff}}]+', 'X', 'g'), '[A-Za-z]+', 'x', 'g')"
+_SKEL = f"regexp_replace({_NORM.format(x="regexp_replace(text, '[A-Za-z]+', 'x', 'g')")}, '[\\x{{4e00}}-\\x{{9fff}}]+', 'X', 'g')"
 
 
 @query(f"""SELECT count(*) AS n, count(DISTINCT text) AS n_exact, count(DISTINCT {_NORM.format(x="text")}) AS n_normalized, count(DISTINCT {_SKEL}) AS n_skeletons,
