@@ -184,7 +184,7 @@ def _sent(df: DataFrame, n: int) -> DataFrame:
 def _passed(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     """A pass over ``rows`` (part, kind, id, size, place): those that are repeated as a whole, and those that go on.
 
-    What isn't read twice from ``rows`` is settled on its own, so that the joins have shuffles on both sides and hot parts can be split."""
+    Both sides of each join are settled tables, so that each has a shuffle of its own and hot parts can be split."""
     parts = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("kind").alias("lo"), F.max("kind").alias("hi")).where("n > 1")
     parts = settle(parts.select("part", (F.col("lo") != F.col("hi")).alias("mixed")), f"{name}-parts")
     met = settle(rows.join(parts, "part"), f"{name}-met")
@@ -208,7 +208,7 @@ _ROWS = ", ".join(f"{n} long" for n in ("part", "kind", "id", "size", "place"))
 def repeated_spans(texts: DataFrame) -> DataFrame:
     """Maximal repeated spans [a, e) of ``texts`` (id, size, bytes): rows id, size, a, e; equal (id, size) once."""
     long = texts.where(F.col("size") >= WINDOW)
-    whole_runs, runs = _passed(long.mapInArrow(_find_runs, _ROWS), "runs")
+    whole_runs, runs = _passed(settle(long.mapInArrow(_find_runs, _ROWS), "all-runs"), "runs")
     whole_blocks, blocks = _passed(_open(long, runs, _blocks, "blocks"), "blocks")
     windows = _open(long, blocks, _windows, "windows")
     twice = settle(windows.groupBy("part", "kind").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("part", "kind"), "twice")
