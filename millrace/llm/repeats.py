@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import settle
+from millrace.llm.common import settle, small
 
 #: Bytes of a window and of an anchor; windows looked at in one piece.
 WINDOW, ANCHOR, PIECE = 200, 48, 1 << 20
@@ -198,6 +198,8 @@ def _open(texts: DataFrame, marks: DataFrame, by, name: str) -> DataFrame:
     """The ``marks`` (id, size, part, place), opened."""
     marks = settle(marks.groupBy("id", "size").agg(F.collect_list(F.struct("part", "place")).alias("marks")), f"{name}-marks")
     n = marks.agg(F.sum(F.size("marks"))).first()[0] or 0
+    if n > SENT:  # texts without marks needn't be moved to them
+        texts = texts.join(small(marks.select("id", "size")), ["id", "size"], "left_semi")
     found = texts.join(_sent(marks, n), ["id", "size"]).select("id", "size", "bytes", "marks").mapInArrow(_opened(by), _ROWS)
     return settle(found, name)
 
