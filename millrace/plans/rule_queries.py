@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import dates
 from millrace.functions import text as tx
-from millrace.operators import rules
+from millrace.operators import lineage, rules
 from millrace.sources.tables import table
 
 QUERIES: dict = {}
@@ -168,7 +168,56 @@ def runtime_input_issues(spark: SparkSession, sf: str) -> DataFrame:
     return records(spark, sf).select("id", dates.is_calendar_day(F.col("service_date")).alias("date_ok"), dates.is_clock_time(F.col("start_time")).alias("time_ok"))
 
 
-_SAID = ("确认", "可以", "好的", "不可以", "取消预约", "可以吗", "行", "没问题的", "我想换一个", "就他", "请就这样", "别订了", "")
+_VALUES = ("不吃花生", "花生过敏", "川菜", "四川菜", "生日", "生日宴", "可以吃花生")
+_PICK = "list_filter([{v}], lambda x, i: (({n}) >> CAST(i - 1 AS BIGINT)) & 1 = 1)".format(v=", ".join(f"'{v}'" for v in _VALUES), n="{n}")
+_MATCH = """list_reduce(list_concat([{'s': 0.0::DOUBLE, 'i': 0::BIGINT, 'j': 0::BIGINT, 'u': []::BIGINT[], 't': []::BIGINT[]}], m), lambda a, x: CASE WHEN list_contains(a.u, x.i) OR list_contains(a.t, x.j) THEN a
+ ELSE {'s': 0.0::DOUBLE, 'i': 0::BIGINT, 'j': 0::BIGINT, 'u': list_append(a.u, x.i), 't': list_append(a.t, x.j)} END)"""
+
+
+@query(f"""WITH v AS (SELECT o_orderkey AS id, {_PICK.format(n='o_orderkey')} AS e, {_PICK.format(n='o_orderkey // 5')} AS p FROM orders),
+e AS (SELECT id, unnest(e) AS x, unnest(generate_series(1, len(e))) AS i FROM v), p AS (SELECT id, unnest(p) AS y, unnest(generate_series(1, len(p))) AS j FROM v),
+s AS (SELECT id, i, j, CASE WHEN regexp_matches(x, '不吃|不要|不能|过敏|忌') AND regexp_matches(y, '可以吃|能吃|接受') THEN 0 WHEN x = y THEN 1
+ WHEN (least(x, y), greatest(x, y)) IN (('不吃花生', '花生过敏'), ('四川菜', '川菜'), ('生日', '生日宴')) THEN 0.91 ELSE 0 END AS s FROM e JOIN p USING (id)),
+m AS (SELECT id, list({{'s': s::DOUBLE, 'i': i::BIGINT, 'j': j::BIGINT, 'u': []::BIGINT[], 't': []::BIGINT[]}} ORDER BY s DESC, i DESC, j DESC) AS m FROM s WHERE s >= 0.7 GROUP BY id)
+SELECT v.id, round(CASE WHEN len(e) + len(p) = 0 THEN 1 WHEN m IS NULL THEN 0 ELSE 2.0 * len(({_MATCH}).u) / (len(e) + len(p)) END, 6) AS f1 FROM v LEFT JOIN m ON m.id = v.id""")
+def semantic_slot_greedy(spark: SparkSession, sf: str) -> DataFrame:
+    """F1 of expected and predicted values, similar ones matched too, one to one; the predicted ones carry punctuation."""
+    pick = lambda n: F.array_compact(F.array(*[F.when(F.shiftright(n, k).bitwiseAND(1) == 1, F.lit(v)) for k, v in enumerate(_VALUES)]))
+    k = F.col("o_orderkey")
+    v = table(spark, sf, "orders").select(k.alias("id"), pick(k).alias("e"), F.transform(pick(F.floor(k / 5).cast("long")), lambda x: F.concat(x, F.lit("。 "))).alias("p"))
+    return v.select("id", F.round(lineage.greedy_f1(lineage.slot_values(F.col("e")), lineage.slot_values(F.col("p"))), 6).alias("f1"))
+
+
+_OPEN = """list_reduce(list_concat([{'role': '', 'call': 0::BIGINT, 'pending': []::BIGINT[], 'bad': false}], history), lambda a, m: CASE WHEN m.role = 'assistant' THEN {'role': '', 'call': 0::BIGINT, 'pending': list_append(a.pending, m.call), 'bad': a.bad}
+ ELSE {'role': '', 'call': 0::BIGINT, 'pending': list_filter(a.pending, lambda c: c <> m.call), 'bad': a.bad OR NOT list_contains(a.pending, m.call)} END).bad"""
+_SENT = "{{'role': '{r}', 'call': {c}::BIGINT, 'pending': []::BIGINT[], 'bad': false}}"
+
+
+@query(_RECORDS + f""", h AS (SELECT *, flatten(list_transform(tool_ids, lambda x: CASE WHEN id % 41 = 0 THEN [{_SENT.format(r='tool', c='x')}, {_SENT.format(r='assistant', c='x')}] WHEN id % 43 = 0 THEN [{_SENT.format(r='assistant', c='x')}, {_SENT.format(r='tool', c='(x + 1)')}]
+ ELSE [{_SENT.format(r='assistant', c='x')}, {_SENT.format(r='tool', c='x')}] END)) AS history, CASE WHEN id % 31 = 0 THEN NULL WHEN id % 4 = 1 THEN 'search' ELSE mode END AS meta_mode, CASE WHEN id % 8 = 0 THEN 'matched' WHEN id % 10 = 0 THEN '' ELSE status END AS meta_status,
+ CASE WHEN id % 12 = 0 THEN people + 1 WHEN id % 26 = 0 THEN NULL ELSE people END AS new_people FROM r)
+SELECT id, unnest(list_filter([CASE WHEN {_OPEN} THEN 'result_without_call' END, CASE WHEN people <> new_people AND len(said_ids) > 0 THEN 'stale_result' END, CASE WHEN id % 2 = 0 AND people IS DISTINCT FROM new_people THEN 'preserved_changed' END,
+ CASE WHEN id % 3 = 0 AND chef_id IS NOT NULL THEN 'invalidated_kept' END, CASE WHEN meta_mode <> '' AND meta_mode IS DISTINCT FROM mode THEN 'mode_mismatch' END, CASE WHEN meta_status <> '' AND meta_status IS DISTINCT FROM status THEN 'status_mismatch' END,
+ CASE WHEN len(said_ids) > 0 AND len(tool_ids) > 0 AND said_ids <> tool_ids THEN 'order_mismatch' END], lambda x: x IS NOT NULL)) AS issue FROM h""")
+def lineage_issues(spark: SparkSession, sf: str) -> DataFrame:
+    """Broken rules of call pairing, stale results, carried-over state and metadata, a row for each."""
+    k = F.col("id")
+    sent = lambda role, call: F.struct(F.lit(role).alias("role"), call.alias("call"))
+    turns = lambda x: F.when(k % 41 == 0, F.array(sent("tool", x), sent("assistant", x))).when(k % 43 == 0, F.array(sent("assistant", x), sent("tool", x + 1))).otherwise(F.array(sent("assistant", x), sent("tool", x)))
+    r = records(spark, sf).withColumns({
+        "history": F.flatten(F.transform("tool_ids", turns)), "meta_mode": F.when(k % 31 == 0, None).when(k % 4 == 1, "search").otherwise(F.col("mode")), "meta_status": F.when(k % 8 == 0, "matched").when(k % 10 == 0, "").otherwise(F.col("status")),
+        "new_people": F.when(k % 12 == 0, F.col("people") + 1).when(k % 26 == 0, None).otherwise(F.col("people")),
+    })
+    found = rules.issues(
+        ("result_without_call", lineage.has_unpaired_result(F.col("history"))), ("stale_result", lineage.changed(F.col("people"), F.col("new_people")) & (F.size("said_ids") > 0)),
+        ("preserved_changed", (k % 2 == 0) & ~F.col("people").eqNullSafe(F.col("new_people"))), ("invalidated_kept", (k % 3 == 0) & F.col("chef_id").isNotNull()),
+        ("mode_mismatch", lineage.disagrees(F.col("meta_mode"), F.col("mode"))), ("status_mismatch", lineage.disagrees(F.col("meta_status"), F.col("status"))),
+        ("order_mismatch", (F.size("said_ids") > 0) & (F.size("tool_ids") > 0) & (F.col("said_ids") != F.col("tool_ids"))),
+    )
+    return r.select("id", F.explode(found).alias("issue"))
+
+
+_SAID = ("确认","可以", "好的", "不可以", "取消预约", "可以吗", "行", "没问题的", "我想换一个", "就他", "请就这样", "别订了", "")
 
 
 @query("SELECT * FROM (VALUES ('确认', true), ('可以', true), ('好的', true), ('不可以', false), ('取消预约', false), ('可以吗', true), ('行', true), ('没问题的', true), ('我想换一个', false), ('就他', true), ('请就这样', true), ('别订了', false), ('', false)) v(said, affirmative)")
