@@ -24,8 +24,8 @@ from millrace.llm.common import word_lists
 
 #: Words of the vocabulary (the border and buckets for rare words included), buckets, width of a layer, classes.
 VOCAB, RARE, WIDTH, CLASSES = 1024, 64, 32, 32
-#: Rounds; every so many places of every document are trained on in a round; places of a step; step size.
-ROUNDS, STRIDE, STEP, RATE = 2, 16, 4096, 0.1
+#: Rounds, which share the places of every text, so that each place is trained on once; places of a step; step size.
+ROUNDS, STEP, RATE = 2, 4096, 0.1
 _SIDES = (-2, -1, 1, 2)
 _INNER = VOCAB // CLASSES
 _SHAPES = ((len(_SIDES), VOCAB, WIDTH), (WIDTH,), (WIDTH, CLASSES), (CLASSES,), (CLASSES, WIDTH, _INNER), (CLASSES, _INNER))
@@ -159,7 +159,7 @@ def _trainer(words: _Vocabulary, start: np.ndarray, turn: int):
         for batch in batches:
             for t in batch.column(0):
                 ids = words.ids(t.as_py())
-                places = np.arange((turn * 5 + zlib.crc32(ids[:8].tobytes())) % STRIDE, len(ids), STRIDE)
+                places = np.arange((turn + zlib.crc32(ids[:8].tobytes())) % ROUNDS, len(ids), ROUNDS)
                 if len(places):
                     waiting.append((_contexts(ids, places), ids[places]))
                 if sum(len(x[1]) for x in waiting) >= STEP:
@@ -175,7 +175,7 @@ def _trainer(words: _Vocabulary, start: np.ndarray, turn: int):
 def train(docs: DataFrame, text: str = "text") -> tuple[_Vocabulary, np.ndarray]:
     """The vocabulary and the parameters (a fixed number of them) for the texts of ``docs``.
 
-    Every STRIDE-th place of every text is trained on in a round, so whole texts of all documents shape the network."""
+    A round trains on every ROUNDS-th place of every text, each round from another start, so that all rounds together take every place of every text once."""
     words, now = vocabulary(docs, text), initial()
     for turn in range(ROUNDS):
         copies = docs.select(text).mapInArrow(_trainer(words, now, turn), "seen long, weights array<float>")

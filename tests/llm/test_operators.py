@@ -323,6 +323,18 @@ def test_lm_score(spark):
     assert lm_score.score(empty(spark), lm_score.train(empty(spark))).count() == 0
 
 
+def test_lm_trains_on_every_place():
+    """All rounds together see each place of each text once, in texts of any length."""
+    import pyarrow as pa
+
+    rng = random.Random(12)
+    texts = [prose(rng, n) for n in [*range(1, 40), 500, 5000]] + ["one", None, "", " "]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    words, start = lm_score._Vocabulary((w.encode(), i + 1 + lm_score.RARE) for i, w in enumerate(WORDS)), lm_score.initial()
+    seen = [r["seen"][0].as_py() for turn in range(lm_score.ROUNDS) for r in lm_score._trainer(words, start, turn)(iter([batch]))]
+    assert sum(seen) == sum(len(wordlist(t)) for t in texts)
+
+
 def test_digests_follow_the_contract(spark):
     from millrace.llm import queries
 
