@@ -4,9 +4,10 @@ A small network reads the two words on either side of a place and predicts the m
 softmax in two steps (class, then word in its class). A document's score is the sum of the log-probabilities of all its words, each
 given both sides.
 
-The vocabulary comes from the word counts of the whole corpus. Training is data-parallel: in each round every task trains its own copy
-in numpy on its rows, and Spark averages the copies number by number, weighted by the places seen. The parameters have a fixed size; what is averaged
-grows with the corpus.
+The vocabulary comes from the word counts of the whole corpus, and it and the network grow with the corpus. Words outside of it share buckets; such a
+word's probability is its bucket's times its own share of the bucket's count. The counts of all words stay a Spark table: the most frequent ones are
+broadcast, the others joined. Training is data-parallel: in each round every task trains its own copy in numpy on its rows, and Spark averages the
+copies number by number, weighted by the places seen.
 """
 
 from __future__ import annotations
@@ -14,23 +15,34 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import word_lists
+from millrace.llm.common import settle, word_lists
 
-#: Words of the vocabulary (the border and buckets for rare words included), buckets, width of a layer, classes.
+#: Words of the smallest vocabulary (the border and buckets for rare words included), buckets, width of a layer, classes of the smallest vocabulary.
 VOCAB, RARE, WIDTH, CLASSES = 1024, 64, 32, 32
 #: Rounds, which share the places of every text, so that each place is trained on once; places of a step; step size.
 ROUNDS, STEP, RATE = 2, 4096, 0.1
 _SIDES = (-2, -1, 1, 2)
-_INNER = VOCAB // CLASSES
-_SHAPES = ((len(_SIDES), VOCAB, WIDTH), (WIDTH,), (WIDTH, CLASSES), (CLASSES,), (CLASSES, WIDTH, _INNER), (CLASSES, _INNER))
 #: Distinct words that a task counts before it passes them on.
 _COUNTED = 200_000
+#: Words whose counts are broadcast, those of the vocabulary included; counts of the others are joined.
+HEAD = 65_536
+
+
+def _doublings(n_words: int) -> int:
+    """Of the vocabulary: one for eight times as many words."""
+    return max(0, (n_words >> 20).bit_length() - 1) // 3
+
+
+def _shapes(size: int) -> tuple[tuple[int, ...], ...]:
+    classes = CLASSES << (size // VOCAB).bit_length() // 2
+    return (len(_SIDES), size, WIDTH), (WIDTH,), (WIDTH, classes), (classes,), (classes, WIDTH, size // classes), (classes, size // classes)
 
 
 def _words(text: str | None) -> Iterator[list[bytes]]:
@@ -51,7 +63,9 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class _Vocabulary(dict):
-    """Word to id: 0 is the border, then come the buckets of rare words, then frequent words."""
+    """Word to id, of ``size`` ids: 0 is the border, then come the buckets of rare words, then frequent words."""
+
+    size = VOCAB
 
     def __missing__(self, word: bytes) -> int:
         return 1 + zlib.crc32(word) % RARE
@@ -61,21 +75,50 @@ class _Vocabulary(dict):
         return np.concatenate(parts) if parts else np.empty(0, np.int64)
 
 
-def vocabulary(docs: DataFrame, text: str = "text") -> _Vocabulary:
-    """The most frequent words of all texts; ties by bytes."""
-    counts = docs.select(text).mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.col("n").desc(), "word").limit(VOCAB - RARE - 1).collect()
-    return _Vocabulary((bytes(r.word), i + 1 + RARE) for i, r in enumerate(top))
-
-
-def initial() -> np.ndarray:
-    draw = np.random.default_rng(3)
-    return np.concatenate([(draw.standard_normal(s) * (0.1 if len(s) > 1 else 0)).astype(np.float32).ravel() for s in _SHAPES[:-1]] + [np.zeros(_SHAPES[-1], np.float32).ravel()])
-
-
-def _unpack(flat: np.ndarray) -> list[np.ndarray]:
+class Model(NamedTuple):
+    """The vocabulary, the parameters, logarithms of the counts of broadcast rare words, of the counts of buckets by id, and all other counts above one."""
+
+    words: _Vocabulary
+    weights: np.ndarray
+    head: dict[bytes, float]
+    buckets: np.ndarray
+    tail: DataFrame
+
+
+def vocabulary(docs: DataFrame, text: str = "text") -> tuple[_Vocabulary, dict[bytes, float], np.ndarray, DataFrame]:
+    """The most frequent words of all texts (ties by bytes), and the counts of all others as in ``Model``.
+
+    Every bucket's count has one more for all words that no text has; a word found once is worth as much as they."""
+    counts = settle(docs.select(text).mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    alike = sorted(((r.n, r.k) for r in counts.groupBy("n").agg(F.count(F.lit(1)).alias("k")).collect()), reverse=True)
+    cut, found = 1, 0
+    for n, k in alike:
+        found += k
+        if found >= HEAD:
+            cut = n
+            break
+    top = counts.where(F.col("n") >= cut).orderBy(F.col("n").desc(), "word").limit(HEAD).toArrow().to_pydict()
+    size = VOCAB << _doublings(sum(n * k for n, k in alike))
+    known = size - RARE - 1
+    words = _Vocabulary((w, i + 1 + RARE) for i, w in enumerate(top["word"][:known]))
+    words.size = size
+    total = np.ones(RARE + 1)
+    for r in counts.groupBy((F.crc32("word") % RARE).alias("b")).agg(F.sum("n").alias("n")).collect():
+        total[1 + r.b] += r.n
+    for w, n in zip(top["word"][:known], top["n"][:known], strict=True):
+        total[1 + zlib.crc32(w) % RARE] -= n
+    head = dict(zip(top["word"][known:], np.log(top["n"][known:]).tolist(), strict=True))
+    return words, head, np.log(total), counts.where((F.col("n") > 1) & (F.col("n") <= cut))
+
+
+def initial(size: int = VOCAB) -> np.ndarray:
+    draw, shapes = np.random.default_rng(3), _shapes(size)
+    return np.concatenate([(draw.standard_normal(s) * (0.1 if len(s) > 1 else 0)).astype(np.float32).ravel() for s in shapes[:-1]] + [np.zeros(shapes[-1], np.float32).ravel()])
+
+
+def _unpack(flat: np.ndarray, size: int) -> list[np.ndarray]:
     out, at = [], 0
-    for s in _SHAPES:
+    for s in _shapes(size):
         n = int(np.prod(s))
         out.append(flat[at : at + n].reshape(s))
         at += n
@@ -101,33 +144,34 @@ def _hidden(p: list[np.ndarray], context: np.ndarray) -> np.ndarray:
     return np.tanh(h)
 
 
-def _by_class(target: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    kind = target // _INNER
+def _by_class(p: list[np.ndarray], target: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    classes, inner = p[5].shape
+    kind = target // inner
     order = np.argsort(kind, kind="stable")
-    ends = np.searchsorted(kind[order], np.arange(CLASSES + 1))
-    return ((c, order[ends[c] : ends[c + 1]]) for c in range(CLASSES) if ends[c] < ends[c + 1])
+    ends = np.searchsorted(kind[order], np.arange(classes + 1))
+    return ((c, order[ends[c] : ends[c + 1]]) for c in range(classes) if ends[c] < ends[c + 1])
 
 
 def log_probs(p: list[np.ndarray], context: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Log-probability of each target between its context."""
-    h = _hidden(p, context)
-    out = _log_softmax(h @ p[2] + p[3])[np.arange(len(target)), target // _INNER]
-    for c, rows in _by_class(target):
-        out[rows] += _log_softmax(h[rows] @ p[4][c] + p[5][c])[np.arange(len(rows)), target[rows] % _INNER]
+    h, inner = _hidden(p, context), p[5].shape[1]
+    out = _log_softmax(h @ p[2] + p[3])[np.arange(len(target)), target // inner]
+    for c, rows in _by_class(p, target):
+        out[rows] += _log_softmax(h[rows] @ p[4][c] + p[5][c])[np.arange(len(rows)), target[rows] % inner]
     return out
 
 
 def _gradient(p: list[np.ndarray], context: np.ndarray, target: np.ndarray) -> list[np.ndarray]:
     """Of the mean negative log-probability."""
     n, g = len(target), [np.zeros_like(x) for x in p]
-    h = _hidden(p, context)
+    h, inner = _hidden(p, context), p[5].shape[1]
     d = np.exp(_log_softmax(h @ p[2] + p[3]))
-    d[np.arange(n), target // _INNER] -= 1
+    d[np.arange(n), target // inner] -= 1
     g[2], g[3], dh = h.T @ d / n, d.sum(axis=0) / n, d @ p[2].T
-    for c, rows in _by_class(target):
+    for c, rows in _by_class(p, target):
         hr = h[rows]
         e = np.exp(_log_softmax(hr @ p[4][c] + p[5][c]))
-        e[np.arange(len(rows)), target[rows] % _INNER] -= 1
+        e[np.arange(len(rows)), target[rows] % inner] -= 1
         g[4][c], g[5][c] = hr.T @ e / n, e.sum(axis=0) / n
         dh[rows] += e @ p[4][c].T
     dh *= (1 - h * h) / n
@@ -144,7 +188,7 @@ def _trainer(words: _Vocabulary, start: np.ndarray, turn: int):
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat = start.copy()
-        p, past, seen, waiting = _unpack(flat), [np.full(s, 1e-8, np.float32) for s in _SHAPES], 0, []
+        p, past, seen, waiting = _unpack(flat, words.size), [np.full(s, 1e-8, np.float32) for s in _shapes(words.size)], 0, []
 
         def step() -> None:
             nonlocal seen
@@ -172,37 +216,75 @@ def _trainer(words: _Vocabulary, start: np.ndarray, turn: int):
     return train
 
 
-def train(docs: DataFrame, text: str = "text") -> tuple[_Vocabulary, np.ndarray]:
-    """The vocabulary and the parameters (a fixed number of them) for the texts of ``docs``.
+def train(docs: DataFrame, text: str = "text") -> Model:
+    """The vocabulary, the parameters and the word counts for the texts of ``docs``.
 
     A round trains on every ROUNDS-th place of every text, each round from another start, so that all rounds together take every place of every text once."""
-    words, now = vocabulary(docs, text), initial()
+    words, head, buckets, tail = vocabulary(docs, text)
+    now = initial(words.size)
     for turn in range(ROUNDS):
         copies = docs.select(text).mapInArrow(_trainer(words, now, turn), "seen long, weights array<float>")
         mean = copies.select("seen", F.posexplode("weights").alias("i", "w")).groupBy("i").agg((F.sum(F.col("w").cast("double") * F.col("seen")) / F.sum("seen")).alias("w")).toArrow()
         if mean.num_rows:
             now = now.copy()
             now[mean["i"].to_numpy()] = mean["w"].to_numpy()
-    return words, now
+    return Model(words, now, head, buckets, tail)
 
 
-def score(docs: DataFrame, model: tuple[_Vocabulary, np.ndarray], text: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with n_tokens, log_prob (the sum over all words, each given both sides) and mean_log_prob; columns of these names are replaced.
 
-    A null, empty or blank text has no word: 0, 0.0 and a null mean. Equal texts get equal scores; keys and other columns don't matter. An empty table
-    gives an empty result, and a model trained on one is the initial network."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    A null, empty or blank text has no word: 0, 0.0 and a null mean. Equal texts get equal scores, as scores are found by the text's digest; keys and
+    other columns don't matter. An empty table gives an empty result, and a model trained on one is the initial network."""
+    sent = docs.sparkSession.sparkContext.broadcast(tuple(model[:4]))
 
-    @F.arrow_udf("n_tokens long, log_prob double")
+    @F.arrow_udf("n_tokens long, log_prob double, tail array<struct<word:binary,n:long>>")
     def scored(texts: pa.Array) -> pa.Array:
-        words, flat = sent.value
-        p, n, total = _unpack(flat), [], []
-        for t in texts:
-            ids = words.ids(t.as_py())
+        words, flat, head, buckets = sent.value
+        p, n, total, waiting = _unpack(flat, words.size), [], [], []
+        tail_words, tail_n, ends = [], [], [0]
+
+        def flush() -> None:
+            """Adds what the network says of the waiting texts."""
+            rows, contexts, targets = zip(*waiting, strict=True)
+            waiting.clear()
+            context, target = np.concatenate(contexts), np.concatenate(targets)
+            each = np.concatenate([log_probs(p, context[at : at + STEP], target[at : at + STEP]) for at in range(0, len(target), STEP)])
+            for row, part in zip(rows, np.split(each, np.cumsum([len(x) for x in targets])[:-1]), strict=True):
+                total[row] += float(part.sum(dtype=np.float64))
+
+        for row, t in enumerate(texts):
+            parts, rare = [], Counter()
+            for ws in _words(t.as_py()):
+                ids = np.fromiter(map(words.__getitem__, ws), np.int64, len(ws))
+                parts.append(ids)
+                rare.update(map(ws.__getitem__, np.flatnonzero(ids <= RARE).tolist()))
+            ids = np.concatenate(parts) if parts else np.empty(0, np.int64)
             n.append(len(ids))
-            total.append(sum(float(log_probs(p, _contexts(ids, at), ids[at]).sum(dtype=np.float64)) for at in np.split(np.arange(len(ids)), range(1 << 16, len(ids), 1 << 16))) if len(ids) else 0.0)
-        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(total, pa.float64())], ["n_tokens", "log_prob"])
+            total.append(-float(buckets[ids[ids <= RARE]].sum()))
+            for w, k in rare.items():
+                if w in head:
+                    total[row] += k * head[w]
+                else:
+                    tail_words.append(w)
+                    tail_n.append(k)
+            ends.append(len(tail_words))
+            for at in np.split(np.arange(len(ids)), range(1 << 16, len(ids), 1 << 16)):
+                if len(at):
+                    waiting.append((row, _contexts(ids, at), ids[at]))
+                if sum(len(x[2]) for x in waiting) >= STEP:
+                    flush()
+        if waiting:
+            flush()
+        tail = pa.StructArray.from_arrays([pa.array(tail_words, pa.binary()), pa.array(tail_n, pa.int64())], ["word", "n"])
+        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(total, pa.float64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), tail)], ["n_tokens", "log_prob", "tail"])
 
     own = [F.col(f"`{c}`") for c in docs.columns if c not in ("n_tokens", "log_prob", "mean_log_prob")]
-    out = docs.select(*own, scored(F.col(f"`{text}`")).alias("_s")).select(*own, "_s.n_tokens", "_s.log_prob")
+    key = F.unhex(F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")), 256)).alias("_key")
+    read = settle(docs.select(key, scored(F.col(f"`{text}`")).alias("_s")).select("_key", "_s.*"), "scored")
+    each = read.groupBy("_key").agg(F.count(F.lit(1)).alias("_copies"), F.max("n_tokens").alias("n_tokens"), F.max("log_prob").alias("_net"))
+    counted = read.select("_key", F.explode("tail").alias("_t")).select("_key", "_t.word", F.col("_t.n").alias("k")).join(model.tail, "word")
+    shares = counted.groupBy("_key").agg(F.sum(F.col("k") * F.log("n")).alias("_shares"))  # over all copies of a text
+    by_text = each.join(shares, "_key", "left").select("_key", "n_tokens", (F.col("_net") + F.coalesce(F.col("_shares") / F.col("_copies"), F.lit(0.0))).alias("log_prob"))
+    out = docs.select(*own, key).join(by_text, "_key").select(*own, "n_tokens", "log_prob")
     return out.withColumn("mean_log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")))

@@ -1,10 +1,12 @@
 """Each operator against a brute-force version or an exact round trip, on texts with nulls, blanks, ties, repeated rows and clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -335,6 +337,34 @@ def test_lm_trains_on_every_place():
     assert sum(seen) == sum(len(wordlist(t)) for t in texts)
 
 
+def test_lm_word_counts(spark, monkeypatch):
+    """A rare word counts by its own share of its bucket, whether its count is broadcast or joined; the network grows with the corpus."""
+    import zlib
+
+    common = [f"c{i}" for i in range(1200)]
+    odd = [f"r{i}" for i in range(4000)]
+    by_bucket = {}
+    for w in odd:
+        by_bucket.setdefault(zlib.crc32(w.encode()) % lm_score.RARE, []).append(w)
+    often, seldom, once = by_bucket[7][:3]
+    lines = [" ".join(common)] * 40 + [f"{often} " * 24 + f"{seldom} " * 3 + once] + [" ".join(odd[:3000])]
+    learn = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(3)
+    asked = [*(f"c1 {w} c2" for w in (often, seldom, once, next(w for w in by_bucket[7] if w not in odd[:3000]))), f"c1 {seldom} c2", None]
+    ask = spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string").repartition(2)
+    in_all = Counter(" ".join(lines).split())
+    for head in (1000, 60_000):
+        monkeypatch.setattr(lm_score, "HEAD", head)
+        got = {r.doc_id: r.log_prob for r in lm_score.score(ask, lm_score.train(learn)).collect()}
+        for i, w in ((0, often), (1, seldom)):
+            assert abs(got[i] - got[2] - math.log(in_all[w] / in_all[once])) < 1e-4
+        assert abs(got[2] - got[3] - math.log(in_all[once])) < 1e-4 and got[1] == got[4] and got[5] == 0
+    assert [lm_score.VOCAB << lm_score._doublings(n) for n in (0, 4_000_000, 20_000_000, 100_000_000)] == [1024, 1024, 2048, 4096]
+    assert len(lm_score.initial(4096)) > 3.5 * len(lm_score.initial())
+    p = lm_score._unpack(lm_score.initial(4096), 4096)
+    one = np.zeros((4096, 4), np.int64)
+    assert abs(np.exp(lm_score.log_probs(p, one, np.arange(4096))).sum() - 1) < 1e-3
+
+
 def test_digests_follow_the_contract(spark):
     from millrace.llm import queries
 
