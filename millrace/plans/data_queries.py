@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -321,6 +325,46 @@ def embedding_topk(spark: SparkSession, sf: str) -> DataFrame:
     return selection.top_by_rank(pairs, ["query_id"], [F.col("similarity").desc(), F.col("vec_id")], 5)
 
 
+#: Vectors in a block of queries, and in a block of rows.
+_QUERIES, _ROWS = 1024, 4096
+
+
+def _vector_blocks(e: DataFrame, name: str, size: int) -> DataFrame:
+    """Rows of up to some ``size`` ids and vectors."""
+    n = max(1, -(-e.count() // size))
+    return e.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(n)).alias("_b")).agg(F.collect_list(F.struct("vec_id", "e")).alias(name)).select(name)
+
+
+def _nearest_in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The five nearest rows of a block for each query of a block; ties by id."""
+
+    def arrays(block: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:
+        ids = block.values.field("vec_id").to_numpy(zero_copy_only=False)
+        order = np.argsort(ids, kind="stable")
+        return ids[order], block.values.field("e").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)[order]
+
+    for batch in batches:
+        for left, right in zip(batch.column("q"), batch.column("x"), strict=True):
+            (qi, q), (xi, x) = arrays(left), arrays(right)
+            s = np.round(q @ x.T / np.sqrt((q * q).sum(axis=1)[:, None] * (x * x).sum(axis=1)), 6)
+            s[qi[:, None] == xi] = -np.inf
+            best = np.argsort(-s, axis=1, kind="stable")[:, :5]
+            near = np.take_along_axis(s, best, axis=1)
+            row, at = np.nonzero(near != -np.inf)
+            yield pa.RecordBatch.from_arrays([pa.array(qi[row]), pa.array(xi[best[row, at]]), pa.array(near[row, at])], ["query_id", "vec_id", "similarity"])
+
+
+@query("""WITH q AS (SELECT vec_id, embedding AS e FROM embeddings WHERE vec_id % 50 = 0),
+p AS (SELECT q.vec_id AS query_id, x.vec_id, round(list_dot_product(q.e::DOUBLE[], x.embedding::DOUBLE[]) / sqrt(list_dot_product(q.e::DOUBLE[], q.e::DOUBLE[]) * list_dot_product(x.embedding::DOUBLE[], x.embedding::DOUBLE[])), 6) AS similarity FROM q JOIN embeddings x ON q.vec_id <> x.vec_id)
+SELECT query_id, vec_id, similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM p) WHERE rank <= 5""")
+def embedding_topk_all(spark: SparkSession, sf: str) -> DataFrame:
+    """The five nearest of all rows, by cosine, for every fiftieth vector: five of each block, then of all."""
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"))
+    q, x = _vector_blocks(e.where("vec_id % 50 = 0"), "q", _QUERIES), _vector_blocks(e, "x", _ROWS)
+    near = F.broadcast(q).crossJoin(x).mapInArrow(_nearest_in_blocks, "query_id long, vec_id long, similarity double")
+    return selection.top_by_rank(near, ["query_id"], [F.col("similarity").desc(), F.col("vec_id")], 5)
+
+
 @query("""SELECT conv_id, turn, role FROM (SELECT conv_id, turn, role, row_number() OVER (ORDER BY conv_id, turn) AS r FROM conversations) WHERE r = 1""")
 def first_row_limit(spark: SparkSession, sf: str) -> DataFrame:
     """The first row in order (a limit is the operator)."""

@@ -80,3 +80,25 @@ def test_jsonl_round_trip(spark, tmp_path):
 def test_latency_of_failures_only(spark):
     df = spark.createDataFrame([("a", "error", 1.0), ("b", "view", 0.0)], "run string, event_type string, value double")
     assert all(r.p95 is None and r["mean"] is None for r in reports.latency(df, ["run"]).collect())
+
+
+def test_search_looks_at_all_rows(spark, con, monkeypatch):
+    """Nearest vectors of other labels are found, in one block and in many."""
+    import numpy as np
+
+    from millrace.plans import data_queries
+
+    t = con.sql("SELECT vec_id, label, embedding FROM embeddings ORDER BY vec_id").to_arrow_table().to_pydict()
+    ids, e = np.array(t["vec_id"]), np.array(t["embedding"], float)
+    unit = e / np.linalg.norm(e, axis=1, keepdims=True)
+    want = set()
+    for i in np.flatnonzero(ids % 50 == 0):
+        near = np.round(unit @ unit[i], 6)
+        near[i] = -2
+        want |= {(int(ids[i]), int(ids[j])) for j in np.lexsort((ids, -near))[:5]}
+    label = dict(zip(t["vec_id"], t["label"], strict=True))
+    assert any(label[a] != label[b] for a, b in want)
+    for sizes in ((1024, 4096), (3, 40)):
+        monkeypatch.setattr(data_queries, "_QUERIES", sizes[0])
+        monkeypatch.setattr(data_queries, "_ROWS", sizes[1])
+        assert {(r.query_id, r.vec_id) for r in catalog.QUERIES["embedding_topk_all"](spark, SF).collect()} == want
