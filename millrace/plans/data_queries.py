@@ -325,6 +325,31 @@ def embedding_topk(spark: SparkSession, sf: str) -> DataFrame:
     return selection.top_by_rank(pairs, ["query_id"], [F.col("similarity").desc(), F.col("vec_id")], 5)
 
 
+def _best_anchor(asked: DataFrame, items: DataFrame) -> DataFrame:
+    """The most similar other item for each asked one, by the greater of both similarities of whole normal forms; equal skeletons of three characters or more raise 0.5 to 1.0."""
+    forms = lambda d: d.where("text IS NOT NULL").select(
+        "item_id", F.regexp_replace("text", rf"[{tx.PUNCTUATION}\s\x{{3000}}]", "").alias("t"), F.regexp_replace(F.regexp_replace("text", r"[\x{4e00}-\x{9fff}]+", "X"), "[0-9]+", "N").alias("s")
+    ).withColumn("g", tx.bigrams(F.col("t")))
+    j = F.broadcast(forms(asked)).alias("x").join(forms(items).alias("y"), F.col("x.item_id") != F.col("y.item_id"))
+    surface = F.greatest(tx.jaccard(F.col("x.g"), F.col("y.g")), tx.levenshtein_ratio(F.col("x.t"), F.col("y.t")))
+    pairs = j.select(F.col("x.item_id").alias("item_id"), F.col("y.item_id").alias("anchor_id"), surface.alias("sim"), ((F.col("x.s") == F.col("y.s")) & (F.length("x.s") >= 3)).alias("same"))
+    sim = F.when(F.col("same") & (F.col("sim") >= 0.5), 1.0).otherwise(F.col("sim"))
+    best = pairs.groupBy("item_id").agg(F.max(F.struct(sim.alias("sim"), (-F.col("anchor_id")).alias("a"))).alias("m"))
+    return best.select("item_id", F.round("m.sim", 6).alias("similarity"), F.when(F.col("m.sim") > 0, -F.col("m.a")).alias("anchor_id"), (F.col("m.sim") <= 0.85).alias("passed"))
+
+
+@query(r"""WITH b AS (SELECT item_id, regexp_replace(text, '[，。！？、；：\s\x{3000}]', '', 'g') AS t, regexp_replace(regexp_replace(text, '[\x{4e00}-\x{9fff}]+', 'X', 'g'), '[0-9]+', 'N', 'g') AS s FROM benchmark WHERE text IS NOT NULL),
+g AS (SELECT *, CASE WHEN t = '' THEN [] ELSE list_distinct(list_transform(range(1, greatest(length(t), 2)), lambda i: substr(t, i, 2))) END AS g FROM b),
+p AS (SELECT x.item_id, y.item_id AS anchor_id, x.s = y.s AND length(x.s) >= 3 AS same, greatest(CASE WHEN x.t = '' AND y.t = '' THEN 1 ELSE len(list_intersect(x.g, y.g)) / len(list_distinct(list_concat(x.g, y.g))) END,
+ CASE WHEN x.t = '' AND y.t = '' THEN 1 ELSE 1 - levenshtein(x.t, y.t) / greatest(length(x.t), length(y.t)) END) AS surface FROM g x JOIN g y ON x.item_id % 50 = 0 AND x.item_id <> y.item_id),
+r AS (SELECT item_id, anchor_id, CASE WHEN same AND surface >= 0.5 THEN 1.0::DOUBLE ELSE surface END AS sim FROM p)
+SELECT item_id, round(sim, 6) AS similarity, CASE WHEN sim > 0 THEN anchor_id END AS anchor_id, sim <= 0.85 AS passed FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY sim DESC, anchor_id) AS k FROM r) WHERE k = 1""")
+def similarity_gate_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Every fiftieth item against all others, whole texts: the best anchor and the 0.85 gate."""
+    b = table(spark, sf, "benchmark").select("item_id", "text")
+    return _best_anchor(b.where("item_id % 50 = 0"), b)
+
+
 #: Vectors in a block of queries, and in a block of rows.
 _QUERIES, _ROWS = 1024, 4096
 

@@ -102,3 +102,35 @@ def test_search_looks_at_all_rows(spark, con, monkeypatch):
         monkeypatch.setattr(data_queries, "_QUERIES", sizes[0])
         monkeypatch.setattr(data_queries, "_ROWS", sizes[1])
         assert {(r.query_id, r.vec_id) for r in catalog.QUERIES["embedding_topk_all"](spark, SF).collect()} == want
+
+
+def test_gate_takes_whole_texts_of_all_items(spark):
+    """Pairs of other last digits, alike after the head, equal skeletons, and texts with nothing in common."""
+    import random
+    import re
+
+    from millrace.plans import data_queries
+
+    rng = random.Random(4)
+    said = lambda n: " ".join(rng.choice(["tea", "soup", "rice", "noon", "late", "cook", "day"]) for _ in range(n))
+    tail = said(40)
+    texts = {0: said(15) + tail, 3: said(15) + tail, 50: "周五晚上 6 点，两位。", 57: "周六中午 12 点，三位。", 61: "周五晚上 18 点，两位。", 100: "zzqq", 101: None, 150: "", 152: " "} | {200 + i: said(25) for i in range(1, 30)}
+
+    def similarity(a, b):
+        x, y = (re.sub(r"[，。！？、；：\s]", "", t) for t in (a, b))
+        g, h = ({t[i : i + 2] for i in range(max(1, len(t) - 1))} if t else set() for t in (x, y))
+        row = list(range(len(y) + 1))
+        for i, c in enumerate(x, 1):
+            before, row[0] = row[0], i
+            for j, d in enumerate(y, 1):
+                before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (c != d))
+        s = max(len(g & h) / len(g | h) if g | h else 1.0, 1 - row[-1] / max(len(x), len(y)) if x or y else 1.0)
+        p, q = (re.sub(r"[0-9]+", "N", re.sub("[\u4e00-\u9fff]+", "X", t)) for t in (a, b))
+        return 1.0 if p == q and len(p) >= 3 and s >= 0.5 else s
+
+    items = spark.createDataFrame(list(texts.items()), "item_id long, text string").repartition(3)
+    got = {r.item_id: (r.similarity, r.anchor_id, r.passed) for r in data_queries._best_anchor(items.where("item_id % 50 = 0"), items).collect()}
+    for i in (0, 50, 100, 150):
+        s, a = max((similarity(texts[i], t), -k) for k, t in texts.items() if k != i and t is not None)
+        assert got[i] == (round(s, 6), -a if s > 0 else None, s <= 0.85)
+    assert got[0][1] == 3 and got[50][:2] == (1.0, 61) and got[100] == (0.0, None, True) and got[150][1] == 152
