@@ -117,6 +117,13 @@ def skeleton_top_frequency(spark: SparkSession, sf: str) -> DataFrame:
     return s.groupBy("skeleton").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "skeleton").limit(10)
 
 
+@query(f"""SELECT sha256({_SKEL}) AS digest, max(length({_SKEL})) AS n_chars, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1 ORDER BY n DESC, digest LIMIT 10""")
+def skeleton_top_all(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten most frequent skeletons of any length, by digest."""
+    s = table(spark, sf, "documents").where("text IS NOT NULL").select(tx.skeleton(F.col("text")).alias("s")).select(F.sha2("s", 256).alias("digest"), F.length("s").cast("long").alias("c"))
+    return s.groupBy("digest").agg(F.max("c").alias("n_chars"), F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "digest").limit(10)
+
+
 @query("""WITH q(lang, quota) AS (VALUES ('en', 500), ('de', 130), ('fr', 130), ('es', 110), ('it', 10)), n AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang)
 SELECT q.lang, CAST(quota AS BIGINT) AS quota, coalesce(n, 0) AS n, coalesce(n, 0) - quota AS surplus, coalesce(n, 0) >= quota AS met FROM q LEFT JOIN n ON q.lang = n.lang""")
 def distribution_vs_quota(spark: SparkSession, sf: str) -> DataFrame:

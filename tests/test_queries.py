@@ -134,3 +134,14 @@ def test_gate_takes_whole_texts_of_all_items(spark):
         s, a = max((similarity(texts[i], t), -k) for k, t in texts.items() if k != i and t is not None)
         assert got[i] == (round(s, 6), -a if s > 0 else None, s <= 0.85)
     assert got[0][1] == 3 and got[50][:2] == (1.0, 61) and got[100] == (0.0, None, True) and got[150][1] == 152
+
+
+def test_long_skeletons_are_counted(spark, tmp_path):
+    import hashlib
+
+    long = "a 1, " * 200
+    texts = [long] * 9 + ["b 2, " * 200] * 3 + ["short"] * 7 + ["共12人", None, "", ""] + ["x1 " * n for n in range(1, 15)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = [tuple(r) for r in catalog.QUERIES["skeleton_top_all"](spark, str(tmp_path)).collect()]
+    skeleton = "xN," * 200
+    assert len(got) == 10 and got[0] == (hashlib.sha256(skeleton.encode()).hexdigest(), 600, 12) and got[1][1:] == (1, 7) and got[2][1:] == (0, 2)
