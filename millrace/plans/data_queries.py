@@ -411,6 +411,22 @@ def priority_topk_anchors(spark: SparkSession, sf: str) -> DataFrame:
     return selection.top_by_rank(d.join(b, "block"), ["item_id"], [F.abs(F.col("len") - F.col("n_chars")), F.col("doc_id")], 4).select("item_id", "rank", "doc_id")
 
 
+@query("""SELECT item_id, rank, doc_id FROM (SELECT b.item_id, d.doc_id, row_number() OVER (PARTITION BY b.item_id ORDER BY abs(length(b.text) - d.n_chars), d.doc_id) AS rank FROM benchmark b JOIN documents d ON b.text IS NOT NULL AND d.n_chars IS NOT NULL) WHERE rank <= 4""")
+def nearest_length_all(spark: SparkSession, sf: str) -> DataFrame:
+    """The four documents nearest in length for each item, of all documents.
+
+    Four documents of a length are enough, and four lengths on either side; the distinct lengths are one row, bounded by the longest text."""
+    items = table(spark, sf, "benchmark").where("text IS NOT NULL").select("item_id", F.length("text").cast("long").alias("len"))
+    d = table(spark, sf, "documents").where("n_chars IS NOT NULL").select("doc_id", F.col("n_chars").cast("long").alias("n_chars"))
+    first = selection.top_by_rank(d, ["n_chars"], [F.col("doc_id")], 4).select("doc_id", "n_chars")
+    known = d.select("n_chars").distinct().agg(F.sort_array(F.collect_list("n_chars")).alias("known"))
+    below, above = F.filter("known", lambda x: x <= F.col("len")), F.filter("known", lambda x: x > F.col("len"))
+    near = F.concat(F.slice(F.reverse(below), 1, 4), F.slice(above, 1, 4))
+    lengths = items.select("len").distinct().crossJoin(F.broadcast(known)).select("len", F.explode(near).alias("n_chars"))
+    best = selection.top_by_rank(first.join(lengths, "n_chars"), ["len"], [F.abs(F.col("len") - F.col("n_chars")), F.col("doc_id")], 4)
+    return items.join(best, "len").select("item_id", "rank", "doc_id")
+
+
 @query("""WITH p AS (SELECT doc_id, source, lang, text FROM documents), r AS (SELECT doc_id, replace(replace(text, source, '<SOURCE_1>'), lang, '<LANG_1>') AS hidden, text FROM p)
 SELECT doc_id, CAST(len(regexp_extract_all(hidden, '<[A-Z]+_[0-9]+>')) AS BIGINT) AS n_placeholders, true AS same FROM r""")
 def placeholder_roundtrip(spark: SparkSession, sf: str) -> DataFrame:

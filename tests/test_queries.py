@@ -145,3 +145,14 @@ def test_long_skeletons_are_counted(spark, tmp_path):
     got = [tuple(r) for r in catalog.QUERIES["skeleton_top_all"](spark, str(tmp_path)).collect()]
     skeleton = "xN," * 200
     assert len(got) == 10 and got[0] == (hashlib.sha256(skeleton.encode()).hexdigest(), 600, 12) and got[1][1:] == (1, 7) and got[2][1:] == (0, 2)
+
+
+def test_nearest_lengths_across_blocks(spark, tmp_path):
+    """Sparse lengths, lengths of many documents, ties on either side, and items far from any document."""
+    docs = [(i, n) for i, n in enumerate([63, 64, 64, 64, 64, 64, 65, 10, 700, 700, 5000, 5002, None])]
+    items = {1: 63, 2: 64, 3: 400, 4: 5001, 5: 1, 6: 9000, 7: 64}
+    spark.createDataFrame(docs, "doc_id long, n_chars long").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, "x" * n) for i, n in items.items()] + [(8, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {tuple(r) for r in catalog.QUERIES["nearest_length_all"](spark, str(tmp_path)).collect()}
+    want = {(i, k + 1, d) for i, n in items.items() for k, (_, d) in enumerate(sorted((abs(n - c), d) for d, c in docs if c is not None)[:4])}
+    assert got == want
