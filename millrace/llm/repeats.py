@@ -1,14 +1,15 @@
 """Removal of repeated passages: every byte covered by a window of bytes that also starts elsewhere.
 
-The windows are the suffixes of all texts, ordered only through ``WINDOW`` bytes by passes from the most significant digit on; those that stay equal
-through the last pass are the repeated windows. A pass keeps nothing but groups that still have two members:
+The windows are the suffixes of all texts, compared only through ``WINDOW`` bytes. They are grouped by digests in passes, not sorted: a digit is a string
+found in the window, not its leading bytes. Those that stay equal through the last pass are the repeated windows. A pass keeps nothing but groups that
+still have two members:
 
 1. The first digit is the window's anchor, its 48-byte string of smallest hash. Equal windows have equal anchors at equal places, and
    windows in a row mostly share one, so a run of some 75 windows is one row. An anchor that is found once ends here.
    Runs of one anchor are of one kind if they cover the same bytes. Runs of a kind found twice are repeated as a whole; of each kind, if the
    anchor has several, one goes on.
 2. The second digit is the core of a block: a run is cut into blocks of ``BLOCK`` windows, counted from the anchor, and the core is what all windows of
-   the block have in common. A core found once ends here; blocks of one core are ordered by kind as the runs were.
+   the block have in common. A core found once ends here; blocks of one core are grouped by kind as the runs were.
 3. The last digit is the single window.
 
 Strings are compared by digests of 128 bits in all (64 of the anchor, 64 of the rest). Texts count as their bytes in UTF-8 and are never shuffled for the passes:
