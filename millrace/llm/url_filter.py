@@ -2,7 +2,8 @@
 
 A rule is a host and a path; it fits its host and every subdomain when the path of the URL
 starts with its own. Reversing a host (``a.example.com`` to ``com,example,a,``) makes "this host
-and its subdomains" one interval of sorted keys, and such intervals either nest or don't meet.
+and its subdomains" one interval of sorted keys, and such intervals either nest or don't meet. The mark that ends a label
+is a control character (written here as a comma), which is escaped where a host has it.
 URLs and rules are dealt to the same key ranges, sorted, and swept once per range: a stack holds
 the rules whose interval is open, and a URL needs to be held only against the stack.
 
@@ -13,6 +14,7 @@ range that its interval meets. No task gets more than a range, streamed in order
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,13 +22,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.llm.common import ascii_lower
+
 #: Rows of the sample for each range.
 SAMPLE_PER_RANGE = 32
 
 
 def host_of(url: Column) -> Column:
     """After the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; null or no ``://``: empty."""
-    return F.translate(F.coalesce(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return ascii_lower(F.coalesce(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1), F.lit("")))
 
 
 def path_of(url: Column) -> Column:
@@ -34,9 +38,14 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+#: Ends a label of a key; in labels it and the escape are escaped.
+_END, _ESCAPE = "\x01", "\x02"
+
+
 def reversed_key(host: Column) -> Column:
-    """Labels in reverse order, each ended by a comma: a host's key is a prefix of its subdomains' keys. An empty host has an empty key."""
-    return F.when(host == "", F.lit("")).otherwise(F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(",")))
+    """Labels in reverse order, each with its end mark: a host's key is a prefix of its subdomains' keys. An empty host has an empty key."""
+    host = F.replace(F.replace(host, F.lit(_ESCAPE), F.lit(f"{_ESCAPE}2")), F.lit(_END), F.lit(f"{_ESCAPE}1"))
+    return F.when(host == "", F.lit("")).otherwise(F.concat(F.array_join(F.reverse(F.split(host, r"\.")), _END), F.lit(_END)))
 
 
 class _Host:
@@ -93,14 +102,17 @@ def filter_urls(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: s
     fraction = min(1.0, SAMPLE_PER_RANGE * parts / max(total, 1))
     drawn = sorted(r.key for r in seen.select("key").sample(fraction, seed=5).collect())
     ends = sorted(set(drawn[:: max(1, len(drawn) // parts)][1:]))  # at most about as many as ranges
-    bounds = F.array(*map(F.lit, ends)) if ends else F.array().cast("array<string>")
-    part = lambda k: F.size(F.filter(bounds, lambda b: b <= k))
 
-    known = rules.where("host is not null and path is not null and verdict is not null").groupBy(F.lower("host").alias("host"), "path").agg(F.min("verdict").alias("verdict"))
+    @F.arrow_udf("int")
+    def part(keys: pa.Array) -> pa.Array:
+        return pa.array([bisect_right(ends, k) for k in keys.to_pylist()], pa.int32())
+
+    known = rules.where("host is not null and path is not null and verdict is not null").groupBy(ascii_lower(F.col("host")).alias("host"), "path").agg(F.min("verdict").alias("verdict"))
     opened = known.select(reversed_key(F.col("host")).alias("key"), "host", "path", F.concat("host", "path").alias("rule"), "verdict")
     # every key with this prefix lies before the prefix with the highest code point after it
-    opened = opened.select(F.explode(F.sequence(part(F.col("key")), part(F.concat("key", F.lit("\U0010ffff"))))).alias("part"), "key", F.lit(0).alias("kind"), F.lit(None).cast(seen.schema["row"].dataType).alias("row"), "host", "path", "rule", "verdict")
+    opened = opened.withColumns({"lo": part(F.col("key")), "hi": part(F.concat("key", F.lit("\U0010ffff")))})
+    opened = opened.select(F.explode(F.sequence("lo", "hi")).alias("part"), "key", F.lit(0).alias("kind"), F.lit(None).cast(seen.schema["row"].dataType).alias("row"), "host", "path", "rule", "verdict")
     asked = seen.select(part(F.col("key")).alias("part"), "key", F.lit(1).alias("kind"), "row", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"))
-    swept = asked.unionByName(opened).repartition(parts, "part").sortWithinPartitions("part", "key", "kind", "path")
+    swept = asked.unionByName(opened).repartitionByRange(parts, "part").sortWithinPartitions("part", "key", "kind", "path")
     out = swept.mapInArrow(_sweep, T.StructType([T.StructField("row", seen.schema["row"].dataType), *(T.StructField(c, T.StringType()) for c in ("host", "path", "rule", "verdict"))]))
     return out.select(F.col("row").alias(key), "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
