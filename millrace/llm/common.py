@@ -23,9 +23,11 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (``spark.checkpoint.dir``); where it is unset, as in tests, one of our own."""
+    """The folder that the cluster shares (``spark.checkpoint.dir``). Where it is unset, a local session gets one of its own, as in tests; on a cluster that is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         where = _own.setdefault(app, "") or tempfile.mkdtemp(prefix="spark-millrace-")
         _own[app] = where
@@ -40,15 +42,34 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    return out
 
 
-#: Rows of a settled table of ids and numbers up to which it may be broadcast (some ten MB); larger ones are joined by shuffle.
-BROADCAST_ROWS = 400_000
+def _folder(settled: DataFrame):
+    """The folder of a settled table, and its file system."""
+    spark = settled.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(settled.settled_at)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def discard(*settled: DataFrame) -> None:
+    """Deletes settled tables that nothing reads any more."""
+    for df in settled:
+        path, files = _folder(df)
+        files.delete(path, True)
+
+
+#: Rows and bytes of a settled table up to which it may be broadcast; larger ones are joined by shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 400_000, 16 << 20
 
 
 def small(settled: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``settled``, marked for broadcast if it is counted and found small enough."""
+    """A settled table, marked for broadcast if its files and its rows are counted and found small enough."""
+    path, files = _folder(settled)
+    if files.getContentSummary(path).getLength() > BROADCAST_BYTES:
+        return settled
     return F.broadcast(settled) if settled.count() <= rows else settled
 
 

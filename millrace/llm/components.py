@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import settle
+from millrace.llm.common import discard, settle
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -35,7 +35,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     now = settle(pair.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "links")
     mark = _mark(now)
     while mark[0]:
-        now = settle(_small_star(_large_star(now)), "links")
+        last, now = now, settle(_small_star(_large_star(now)), "links")
+        discard(last)
         before, mark = mark, _mark(now)
         if mark == before:
             break

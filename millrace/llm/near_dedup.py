@@ -4,13 +4,17 @@ Documents with equal shingle sets form a class, found by the set's digest; only
 the minima of ``BANDS * ROWS`` universal hashes, cut into bands. Two sets of similarity 0.75 share no
 band with a probability of (1 - 0.75**5)**48 = 2e-6.
 
-Nodes that share a band are not paired with each other. While a band's nodes lie in different components, each node is held against one node of the
-band that is drawn for the round, so a round has a link for each node at most; what is found similar becomes one component. When the pairs left
-between components are no more than there are rows in the bands, all of them are tested. Nothing is capped: the rounds only decide in
-which order pairs are tested, and pairs in one component need no test.
+Nodes that share a band are not paired with each other. First each node is held against one hub: the node of its bands that most others meet in
+theirs, which is the centre of a group of copies. That is one pair for each node at most, and nearly all copies fall into components. Bands that still
+join several components are then settled for good:
 
-A pair passes if its signatures agree often enough, and then if the full sets, made anew from the texts, have the similarity. Texts
-are sent to the node that they are held against; a node with many partners gets them in many tasks.
+- A band of ``FEW`` nodes at most gives its pairs, which are at most (FEW - 1) / 2 for each of its rows.
+- Larger bands that share nodes make a family. A family is dealt to blocks of bounded size, and each task holds the sets of two blocks against
+  each other: only nodes outside the most common component, one at a time against all sets of the other block. No pair becomes a row; only links come out, those that
+  join two components. This is the one step whose work isn't linear: nodes outside of a family's large component, times the family.
+
+Nothing is capped, and nodes of one component need no test. Pairs of the first two kinds pass if their signatures agree often enough, and then if the full sets,
+made anew from the texts, have the similarity; texts are sent to the node that they are held against, and a node with many partners gets them in many tasks.
 """
 
 from __future__ import annotations
@@ -24,13 +28,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import settle, small, word_lists
+from millrace.llm.common import discard, settle, small, word_lists
 from millrace.llm.components import connected_components
 
 #: Words of a shingle; bands and rows of a band; similarity in per cent; share of equal minima below which a pair can't have it.
 SHINGLE, BANDS, ROWS, PER_CENT, AGREE = 5, 48, 5, 75, 0.6
-#: Rounds with one partner for each node at most; partners of a node in one task.
-ROUNDS, SALT = 4, 1000
+#: Partners of a node in one task; nodes of a band that gives its pairs; shingles of the sets in a block of a family (8 MB).
+SALT, FEW, BLOCK = 1000, 8, 1 << 20
 
 _draw = np.random.default_rng(7)
 _A = (_draw.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1))[:, None]
@@ -111,7 +115,9 @@ def _verified(texts: DataFrame, pairs: DataFrame, signatures: DataFrame) -> Data
     need = settle(members.union(hubs.select("at", "at", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)), F.lit(0))), "held-against")
     sent = texts.join(small(need), "doc").select("at", "salt", "role", "doc", "text")
     kind = T.StructType([T.StructField(c, texts.schema["doc"].dataType) for c in "ab"])
-    return settle(sent.repartition("at", "salt").sortWithinPartitions("at", "salt", "role", "doc").mapInArrow(_similar, kind), "similar")
+    found = settle(sent.repartition("at", "salt").sortWithinPartitions("at", "salt", "role", "doc").mapInArrow(_similar, kind), "similar")
+    discard(likely, need)
+    return found
 
 
 def _bands(signature: Column) -> Column:
@@ -119,32 +125,109 @@ def _bands(signature: Column) -> Column:
     return F.array(*[F.xxhash64(F.lit(i), F.substring(signature, 2 * ROWS * i + 1, 2 * ROWS)) for i in range(BANDS)])
 
 
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        *keys, texts = batch.columns
+        yield pa.RecordBatch.from_arrays([*keys, pa.array([shingle_set(t.as_py()).tobytes() for t in texts], pa.binary())], [*batch.schema.names[:-1], "shingles"])
+
+
+class _Blocks:
+    """The sets of one or two blocks of a family, and the links that join their components."""
+
+    def __init__(self, nodes: list, comps: list, sides: list[int], sets: list[bytes]):
+        each = [np.frombuffer(s, np.uint64) for s in sets]
+        self.nodes, self.n = nodes, np.array([len(s) for s in each])
+        self.start = np.cumsum(self.n) - self.n
+        known, self.ids = np.unique(np.concatenate(each), return_inverse=True)
+        self.mark = np.zeros(len(known), bool)
+        self.comp = np.unique(np.array([str(c) for c in comps]), return_inverse=True)[1]
+        sides = np.array(sides)
+        most = np.bincount(self.comp).argmax()
+        left, right, odd = np.flatnonzero(sides == 0), np.flatnonzero(sides == sides.max()), self.comp != most
+        self.links: list[tuple] = []
+        self.hold(left[odd[left]], right)
+        if sides.max():
+            self.hold(right[odd[right]], left[~odd[left]])
+
+    def hold(self, some: np.ndarray, others: np.ndarray) -> None:
+        """Each of ``some`` against all ``others``; found components become one."""
+        if not len(some) or not len(others):
+            return
+        n, ends = self.n[others], np.cumsum(self.n[others])
+        ids = self.ids[np.repeat(self.start[others] - (ends - n), n) + np.arange(ends[-1])]
+        for x in some:
+            own = self.ids[self.start[x] : self.start[x] + self.n[x]]
+            self.mark[own] = True
+            both = np.add.reduceat(self.mark[ids], ends - n, dtype=np.int64)
+            self.mark[own] = False
+            like = others[100 * both >= PER_CENT * (n + self.n[x] - both)]
+            for c, first in zip(*np.unique(self.comp[like], return_index=True), strict=True):
+                if c != self.comp[x]:
+                    self.links.append((self.nodes[x], self.nodes[like[first]]))
+                    self.comp[self.comp == c] = self.comp[x]
+
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over rows sorted by (family, lo, hi): links of each two blocks."""
+    now, rows = None, []
+
+    def links(kind: pa.DataType) -> pa.RecordBatch:
+        found = _Blocks(*map(list, zip(*rows, strict=True))).links if rows else []
+        rows.clear()
+        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x in (zip(*found, strict=True) if found else ([], []))], ["a", "b"])
+
+    for batch in batches:
+        kind = batch.schema.field("node").type
+        for family, lo, hi, side, comp, node, shingles in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (family, lo, hi) != now:
+                yield links(kind)
+                now = (family, lo, hi)
+            rows.append((node, comp, side, shingles))
+    if now:
+        yield links(kind)
+
+
+def _family_links(texts: DataFrame, bands: DataFrame) -> DataFrame:
+    """Links between components that share ``bands`` (band, node, comp, n_shingles)."""
+    hubs = bands.groupBy("band").agg(F.min("node").alias("hub"))
+    stars = settle(connected_components(bands.join(hubs, "band").select(F.col("node").alias("a"), F.col("hub").alias("b"))), "families")
+    nodes = bands.select("node", "comp", "n_shingles").distinct().join(stars, "node", "left").select("node", "comp", "n_shingles", F.coalesce("component", "node").alias("family"))
+    nodes = settle(nodes, "family-nodes")
+    blocks = nodes.groupBy("family").agg(F.ceil(F.sum("n_shingles") / BLOCK).cast("int").alias("blocks"))
+    kind = T.StructType([T.StructField("node", texts.schema["doc"].dataType), T.StructField("shingles", T.BinaryType())])
+    ids = settle(nodes.select(F.col("node").alias("doc")).distinct(), "family-ids")
+    sets = settle(texts.join(small(ids), "doc").select(F.col("doc").alias("node"), "text").mapInArrow(_sets, kind), "family-sets")
+    each = nodes.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    each = each.select("family", "comp", "node", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = each.select("family", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), (F.col("block") > F.col("other")).cast("int").alias("side"), "comp", "node")
+    kind = T.StructType([T.StructField(c, texts.schema["doc"].dataType) for c in "ab"])
+    met = dealt.join(sets.where(F.octet_length("shingles") > 0), "node").select("family", "lo", "hi", "side", "comp", "node", "shingles")
+    found = settle(met.repartition("family", "lo", "hi").sortWithinPartitions("family", "lo", "hi").mapInArrow(_linked, kind), "family-links")
+    discard(stars, nodes, ids, sets)
+    return found
+
+
 def _links(texts: DataFrame, classes: DataFrame) -> DataFrame:
     """Links (a, b) between the nodes of ``classes`` that connect whatever similarity connects."""
-    rows = classes.select("node", F.explode(_bands(F.col("signature"))).alias("band"))
-    shared = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")
+    rows = classes.select("node", "n_shingles", F.explode(_bands(F.col("signature"))).alias("band"))
+    shared = rows.groupBy("band").agg(F.count(F.lit(1)).alias("met")).where("met > 1")
     rows = settle(rows.join(shared, "band"), "bands")
-    signatures = settle(classes.select("node", "signature").join(rows.select("node").distinct(), "node"), "signatures")
-    links, labels = None, rows.withColumn("comp", F.col("node"))
-    for turn in range(ROUNDS + 1):
-        hub = F.min_by(F.struct("node", "comp"), F.xxhash64(F.lit(turn), "node"))
-        open_ = labels.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), hub.alias("hub")).where("lo < hi").select("band", "hub")
-        live = settle(labels.join(open_, "band"), "open-bands")
-        n, same = live.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("n")), F.sum(F.col("n") * F.col("n"))
-        left = n.groupBy("band").agg(F.sum("n").alias("n"), ((F.sum("n") * F.sum("n") - same) / 2).alias("pairs")).agg(F.sum("n").alias("n"), F.sum("pairs").alias("pairs")).first()
-        if not left["n"]:
-            return links if links is not None else rows.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
-        if left["pairs"] <= left["n"] or turn == ROUNDS:
-            x, y = live.select("band", F.col("node").alias("a"), F.col("comp").alias("ca")), live.select("band", F.col("node").alias("b"), F.col("comp").alias("cb"))
-            found = _verified(texts, x.join(y, "band").where("a > b and ca <> cb").select("a", "b").distinct(), signatures)
-            return found if links is None else links.union(found)
-        met = live.where("comp <> hub.comp").groupBy("node", F.col("hub.node").alias("b")).agg(F.count(F.lit(1)).alias("n"))
-        best = met.groupBy("node").agg(F.max(F.struct("n", "b")).alias("best")).select(F.col("node").alias("a"), "best.b")
-        found = _verified(texts, best, signatures)
-        links = found if links is None else links.union(found)
-        comps = connected_components(links)
-        labels = rows.join(comps, "node", "left").select("band", "node", F.coalesce("component", "node").alias("comp"))
-    raise AssertionError("the last round returns")
+    central = settle(rows.groupBy("node").agg(F.sum("met").alias("central")), "central")
+    signatures = settle(classes.select("node", "signature").join(central.select("node"), "node"), "signatures")
+    hubs = rows.select("band", "node").join(central, "node").groupBy("band").agg(F.max(F.struct("central", "node")).alias("hub"))
+    met = rows.join(hubs, "band").where("node <> hub.node").groupBy("node", F.col("hub.node").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    best = met.groupBy("node").agg(F.max(F.struct("n", "b")).alias("best")).select(F.col("node").alias("a"), "best.b")
+    links = _verified(texts, best, signatures)
+    comps = settle(connected_components(links), "components")
+
+    labels = rows.join(comps, "node", "left").select("band", "node", "n_shingles", "met", F.coalesce("component", "node").alias("comp"))
+    open_ = labels.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band")
+    live = settle(labels.join(open_, "band"), "open-bands")
+    x, y = (live.where(F.col("met") <= FEW).select("band", F.col("node").alias(n), F.col("comp").alias(f"c{n}")) for n in "ab")
+    few = _verified(texts, x.join(y, "band").where("a > b and ca <> cb").select("a", "b").distinct(), signatures)
+    many = _family_links(texts, live.where(F.col("met") > FEW).select("band", "node", "comp", "n_shingles"))
+    discard(rows, central, signatures, comps, live)
+    return links.union(few).union(many)
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -158,17 +241,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     kind = T.StructType([T.StructField("doc", texts.schema["doc"].dataType), T.StructField("n_shingles", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("signature", T.BinaryType())])
     rows = settle(texts.mapInArrow(_sign, kind), "signed")
     known = rows.where("digest is not null and doc is not null")
-    classes = settle(known.groupBy("digest").agg(F.min("doc").alias("node"), F.any_value("signature").alias("signature")), "classes")
+    classes = settle(known.groupBy("digest").agg(F.min("doc").alias("node"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("signature").alias("signature")), "classes")
     placed = settle(rows.select("doc", "n_shingles", "digest").join(classes.select("digest", "node"), "digest", "left").select("doc", "n_shingles", F.when(F.col("doc").isNotNull(), F.coalesce("node", "doc")).alias("node")), "placed")
     links = _links(texts, classes)
     split = placed.groupBy("doc").agg(F.min("node").alias("b"), F.max("node").alias("hi")).where("b < hi")  # keys with several texts
     links = links.union(placed.join(split, "doc").select(F.col("node").alias("a"), "b"))
-    comps = connected_components(links)
+    comps = settle(connected_components(links), "components")
+    discard(rows, classes)
     component = F.coalesce("component", "node")
     return placed.join(comps, "node", "left").select(F.col("doc").alias(key), "n_shingles", component.alias("component_id"), F.col("doc").eqNullSafe(component).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the rows that aren't the first of their component."""
-    gone = settle(near_duplicates(docs, key, text).where("not kept").select(F.col(key).alias("_gone")).distinct(), "dropped")
-    return docs.join(small(gone), F.col(key) == F.col("_gone"), "left_anti")
+    gone = settle(near_duplicates(docs, key, text).where("not kept").select(key).distinct(), "dropped")
+    return docs.join(small(gone), key, "left_anti")

@@ -104,6 +104,24 @@ def test_near_duplicates_by_rounds(spark):
     assert got[None] is None
 
 
+@pytest.mark.parametrize("block", [near_dedup.BLOCK, 400])
+def test_near_duplicates_in_families(spark, monkeypatch, block):
+    """Copies at the threshold: their bands stay open after the hubs, and the family is held block by block."""
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    rng = random.Random(13)
+    base = [prose(rng, 120).split() for _ in range(2)]
+    rows = []
+    for i in range(90):
+        words = list(base[i % 2])
+        for p in rng.sample(range(0, 120, 6), 1 + i % 5):
+            words[p] = f"new{rng.randrange(4)}"
+        rows.append((i, " ".join(words)))
+    sets = {i: shingles(t) for i, t in rows}
+    want = components(sets, [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])])
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and 2 < len(set(want.values())) < 60
+
+
 def test_components(spark):
     rng = random.Random(3)
     links = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(0, i) for i in range(300, 360)] + [(400 + i, 401 + i) for i in range(40)]
@@ -287,7 +305,7 @@ def test_chat_format(spark):
 
 def test_url_filter(spark):
     rules = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"), ("org", "/es/", "allow"), (None, "/", "block"), ("com", "/en/7x", "block"), ("x.com", "", "allow")]
-    hosts = ["a.example.com", "EXAMPLE.com", "myexample.com", "example.net", "b.c.example.net", "x.org", "org", "com", "x.com", "", "com.", ".com", "ex.ample.com"]
+    hosts = ["a.example.com", "EXAMPLE.com", "myexample.com", "example.net", "b.c.example.net", "x.org", "org", "com", "x.com", "", "com.", ".com", "ex.ample.com", "com,x", "com!x", "x.com,", "a\x01com", "com\x01x", "\x02.com", "x.com\x021", "ÉXAMPLE.com", "com\x00a"]
     paths = ["/en/7", "/en/8", "/en/7x", "/de/8?q", "/de/1#x", "/es/", "", "?q=/en/", "/EN/7"]
     urls = [f"http://{h}{p}" for h in hosts for p in paths] + [None, "", "no scheme", "://", "a://b://c/en/7", "http://u@com/en/\n7"]
     rows = list(enumerate(urls)) + [(3, "http://com/en/x"), (None, "http://com/en/x")]
