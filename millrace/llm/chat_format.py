@@ -2,11 +2,11 @@
 
 A conversation is written as turns ``<s>[TAG]body</s>``. TAG is USER, OUT (assistant), SYS or
 ``ROLE:name``, and ends in ``~`` where the turn is escaped. A text is first written as it is. A deterministic parser
-reads the result back; a turn that it can't recover, or that holds a control string, is written again with its
-control characters escaped. Every turn is then read back once more, and the job fails if one still differs.
+reads the turn back; one that it can't recover, or that holds a control string, is written again with its
+control characters escaped. The whole conversation is then read back from its formatted text, which gives the turns of the result; the job fails if one differs from
+its source.
 
-Everything is a DataFrame expression on turns: a turn parses on its own because the grammar allows ``</s>`` nowhere but at
-the end of a turn.
+Everything is a DataFrame expression. A turn can be tried on its own because the grammar allows ``</s>`` nowhere but at the end of a turn.
 """
 
 from __future__ import annotations
@@ -70,27 +70,33 @@ def format_chats(turns: DataFrame, conversation: str = "conv_id", turn: str = "t
     first = said.withColumn("got", parse(render(F.col("role"), F.col("text"), F.lit(False))))
     hard = ~(F.col("got.role").eqNullSafe(F.col("role")) & F.col("got.text").eqNullSafe(F.col("text")))
     second = first.select("conv", "turn", "role", "text", render(F.col("role"), F.col("text"), hard).alias("line"))
-    read = second.withColumn("got", parse(F.col("line")))
-    same = F.col("got.role").eqNullSafe(F.col("role")) & F.col("got.text").eqNullSafe(F.col("text"))
-    read = read.withColumn("got", F.when(same, F.col("got")).otherwise(F.raise_error(F.lit("a turn doesn't survive its round trip"))))
     order = Window.partitionBy("conv").orderBy("turn", "role", "text")
-    placed = read.select(
-        "conv", "line", "got.role", "got.text", "got.escaped",
-        F.row_number().over(order).alias("pos"),
-        (F.sum(F.length("line").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.length("got.body") - 3).alias("start"),
-        F.length("got.body").cast("long").alias("len"),
+    body = F.length(parse(F.col("line"))["body"]).cast("long")
+    placed = second.select(
+        "conv", "line", "role", "text", F.row_number().over(order).alias("pos"), body.alias("len"), hard_line(F.col("line")).alias("escaped"),
+        F.sum(F.length("line").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("end"),
     )
+    placed = placed.withColumn("start", F.col("end") - F.col("len") - 3)
     all_turns = F.array_sort(F.collect_list(F.struct("pos", "line", "role", "text", "escaped", "start", "len")))
-    whole = placed.groupBy("conv").agg(all_turns.alias("t"))
+    whole = placed.groupBy("conv").agg(all_turns.alias("t")).withColumn("formatted", F.array_join(F.col("t.line"), ""))
+    whole = whole.withColumn("back", read_back(F.col("formatted")))
+    same = F.col("back.role").eqNullSafe(F.col("t.role")) & F.col("back.text").eqNullSafe(F.col("t.text"))
+    whole = whole.withColumn("back", F.when(same, F.col("back")).otherwise(F.raise_error(F.lit("a conversation doesn't survive its round trip"))))
+    span = lambda x: F.struct(x["start"].alias("start"), x["len"].alias("len"), x["escaped"].alias("escaped"))
     return whole.select(
         F.col("conv").alias(conversation),
-        F.array_join(F.col("t.line"), "").alias("formatted"),
-        F.size("t").cast("long").alias("n_turns"),
-        F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"), x["start"].alias("start"), x["len"].alias("len"))).alias("turns"),
-        F.transform(F.filter("t", lambda x: x["role"] == "assistant"), lambda x: F.struct(x["start"].alias("start"), x["len"].alias("len"), x["escaped"].alias("escaped"))).alias("loss_spans"),
+        "formatted",
+        F.size("back").cast("long").alias("n_turns"),
+        F.transform(F.arrays_zip("back", "t"), lambda x: F.struct(x["back"]["role"].alias("role"), x["back"]["text"].alias("text"), x["t"]["start"].alias("start"), x["t"]["len"].alias("len"))).alias("turns"),
+        F.transform(F.filter("t", lambda x: x["role"] == "assistant"), span).alias("loss_spans"),
     )
 
 
+def hard_line(line: Column) -> Column:
+    """Whether a rendered turn is escaped."""
+    return F.regexp_extract(line, r"(?s)\A<s>\[[A-Z]+(?::[^\]]*?)?(~#)?\]", 1) == "~#"
+
+
 def read_back(formatted: Column) -> Column:
     """The deterministic parser on a whole conversation: an array of parsed turns."""
     lines = F.filter(F.split(formatted, "(?<=</s>)"), lambda x: x != "")

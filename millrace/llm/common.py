@@ -65,12 +65,13 @@ def discard(*settled: DataFrame) -> None:
 BROADCAST_ROWS, BROADCAST_BYTES = 400_000, 16 << 20
 
 
-def small(settled: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A settled table, marked for broadcast if its files and its rows are counted and found small enough."""
+def small(settled: DataFrame, *columns: str, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A settled table, or ``columns`` of it, marked for broadcast if its files and its rows are counted and found small enough."""
     path, files = _folder(settled)
+    out = settled.select(*columns) if columns else settled
     if files.getContentSummary(path).getLength() > BROADCAST_BYTES:
-        return settled
-    return F.broadcast(settled) if settled.count() <= rows else settled
+        return out
+    return F.broadcast(out) if settled.count() <= rows else out
 
 
 _space = re.compile(rb"[\x20\x09-\x0D]")

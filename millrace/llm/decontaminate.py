@@ -50,14 +50,14 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     sets = settle(sets.select("item", "n_item", "of_item", "kept", F.size("kept").alias("n_kept")), "item-sets")
     sketch = settle(sets.select("item", "n_kept", F.explode("kept").alias("s")), "item-sketches")
 
-    known = docs.where(F.col(key).isNotNull())
-    seen = shingled(known, key, text, "doc").select("doc", F.explode("s").alias("s"))
+    known = docs.select(F.col(f"`{key}`").alias("doc"), F.col(f"`{text}`").alias("text")).where("doc is not null")
+    seen = shingled(known, "doc", "text", "doc").select("doc", F.explode("s").alias("s"))
     hits = seen.join(small(sketch), "s").groupBy("doc", "item", "n_kept").agg(F.count_distinct("s").alias("hits"))
     candidates = settle(hits.where(F.col("hits") >= CANDIDATE * F.col("n_kept")).select("doc", "item"), "candidates")
 
-    ids = settle(candidates.select(F.col("doc").alias("_id")).distinct(), "candidate-ids")
-    full = shingled(known.join(small(ids), known[key] == ids["_id"], "left_semi"), key, text, "doc")
-    pairs = full.join(candidates, "doc").join(small(sets.select("item", "n_item", "of_item"), 20_000), "item")
+    ids = settle(candidates.select("doc").distinct(), "candidate-ids")
+    full = shingled(known.join(small(ids), "doc", "left_semi"), "doc", "text", "doc")
+    pairs = full.join(candidates, "doc").join(small(sets, "item", "n_item", "of_item"), "item")
     shared = pairs.select("doc", "item", "n_item", F.size(F.array_intersect("s", "of_item")).alias("n"))
     found = shared.groupBy("doc", "item", "n_item").agg(F.max("n").alias("n_shared")).where(100 * F.col("n_shared") >= PER_CENT * F.col("n_item"))
     return found.select(F.col("doc").alias(key), F.col("item").alias(item), F.col("n_shared").cast("long").alias("n_shared"), F.col("n_item").cast("long").alias("n_item"))
@@ -65,5 +65,5 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
 
 def drop_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", **columns) -> DataFrame:
     """``docs`` without the documents that hold an item."""
-    gone = settle(find_leaks(docs, items, key, **columns).select(F.col(key).alias("_gone")).distinct(), "leaked")
-    return docs.join(small(gone), F.col(key) == F.col("_gone"), "left_anti")
+    gone = settle(find_leaks(docs, items, key, **columns).select(key).distinct(), "leaked")
+    return docs.join(small(gone), key, "left_anti")

@@ -6,8 +6,9 @@ given both sides.
 
 The vocabulary comes from the word counts of the whole corpus, and it and the network grow with the corpus. Words outside of it share buckets; such a
 word's probability is its bucket's times its own share of the bucket's count. The counts of all words stay a Spark table: the most frequent ones are
-broadcast, the others joined. Training is data-parallel: in each round every task trains its own copy in numpy on its rows, and Spark averages the
-copies number by number, weighted by the places seen.
+broadcast, the others joined. Training is data-parallel: texts are dealt by their content to groups of nearly equal numbers of words; in each round a copy
+of the network is trained in numpy on each group, and the copies are averaged, weighted by the places seen. Groups and their order depend on the texts alone, so
+the scores don't depend on how rows lie in partitions.
 """
 
 from __future__ import annotations
@@ -22,12 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import settle, word_lists
+from millrace.llm.common import discard, settle, word_lists
 
 #: Words of the smallest vocabulary (the border and buckets for rare words included), buckets, width of a layer, classes of the smallest vocabulary.
 VOCAB, RARE, WIDTH, CLASSES = 1024, 64, 32, 32
 #: Rounds, which share the places of every text, so that each place is trained on once; places of a step; step size.
 ROUNDS, STEP, RATE = 2, 4096, 0.1
+#: Words of a group, for the smallest vocabulary; copies that are averaged at once.
+GROUP, FAN = 2 << 20, 8
 _SIDES = (-2, -1, 1, 2)
 #: Distinct words that a task counts before it passes them on.
 _COUNTED = 200_000
@@ -85,8 +88,8 @@ class Model(NamedTuple):
     tail: DataFrame
 
 
-def vocabulary(docs: DataFrame, text: str = "text") -> tuple[_Vocabulary, dict[bytes, float], np.ndarray, DataFrame]:
-    """The most frequent words of all texts (ties by bytes), and the counts of all others as in ``Model``.
+def vocabulary(docs: DataFrame, text: str = "text") -> tuple[_Vocabulary, dict[bytes, float], np.ndarray, DataFrame, int]:
+    """The most frequent words of all texts (ties by bytes), the counts of all others as in ``Model``, and the number of all.
 
     Every bucket's count has one more for all words that no text has; a word found once is worth as much as they."""
     counts = settle(docs.select(text).mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
@@ -108,7 +111,7 @@ def vocabulary(docs: DataFrame, text: str = "text") -> tuple[_Vocabulary, dict[b
     for w, n in zip(top["word"][:known], top["n"][:known], strict=True):
         total[1 + zlib.crc32(w) % RARE] -= n
     head = dict(zip(top["word"][known:], np.log(top["n"][known:]).tolist(), strict=True))
-    return words, head, np.log(total), counts.where((F.col("n") > 1) & (F.col("n") <= cut))
+    return words, head, np.log(total), counts.where((F.col("n") > 1) & (F.col("n") <= cut)), sum(n * k for n, k in alike)
 
 
 def initial(size: int = VOCAB) -> np.ndarray:
@@ -132,102 +135,216 @@ def _contexts(ids: np.ndarray, places: np.ndarray) -> np.ndarray:
     return wide[places[:, None] + 2 + np.array(_SIDES)]
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _exp(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Turns ``x`` into exponentials, each row up to a factor; their sums by row, and the logarithms of the factors (one number where one is safe for all rows)."""
+    top = x.max()
+    if top - x.min() > 60:
+        top = x.max(axis=1)
+        x -= top[:, None]
+    else:
+        x -= top
+    np.exp(x, out=x)
+    return x @ np.ones(x.shape[1], x.dtype), top
+
+
+def _softmax(x: np.ndarray) -> None:
+    """Softmax of the rows of ``x``, in its place."""
+    x /= _exp(x)[0][:, None]
+
+
+def _log_sum(x: np.ndarray) -> np.ndarray:
+    """Logarithms of the sums of the exponentials of rows; overwrites ``x``."""
+    total, top = _exp(x)
+    return np.log(total) + top
 
 
 def _hidden(p: list[np.ndarray], context: np.ndarray) -> np.ndarray:
-    h = p[1] + p[0][0][context[:, 0]]
+    h = p[0][0].take(context[:, 0], axis=0)
     for k in range(1, len(_SIDES)):
-        h += p[0][k][context[:, k]]
-    return np.tanh(h)
+        h += p[0][k].take(context[:, k], axis=0)
+    h += p[1]
+    return np.tanh(h, out=h)
 
 
-def _by_class(p: list[np.ndarray], target: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+def _classes(p: list[np.ndarray], target: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """The classes of sorted targets: class, begin and end."""
     classes, inner = p[5].shape
-    kind = target // inner
-    order = np.argsort(kind, kind="stable")
-    ends = np.searchsorted(kind[order], np.arange(classes + 1))
-    return ((c, order[ends[c] : ends[c + 1]]) for c in range(classes) if ends[c] < ends[c + 1])
+    ends = np.searchsorted(target, np.arange(classes + 1) * inner).tolist()
+    return ((c, ends[c], ends[c + 1]) for c in range(classes) if ends[c] < ends[c + 1])
 
 
 def log_probs(p: list[np.ndarray], context: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Log-probability of each target between its context."""
+    order = np.argsort(target, kind="stable")
+    context, target, at = context.take(order, axis=0), target[order], np.arange(len(target))
     h, inner = _hidden(p, context), p[5].shape[1]
-    out = _log_softmax(h @ p[2] + p[3])[np.arange(len(target)), target // inner]
-    for c, rows in _by_class(p, target):
-        out[rows] += _log_softmax(h[rows] @ p[4][c] + p[5][c])[np.arange(len(rows)), target[rows] % inner]
+    x = h @ p[2] + p[3]
+    each = x[at, target // inner]
+    each -= _log_sum(x)
+    for c, a, b in _classes(p, target):
+        x = h[a:b] @ p[4][c] + p[5][c]
+        each[a:b] += x[at[: b - a], target[a:b] - c * inner]
+        each[a:b] -= _log_sum(x)
+    out = np.empty_like(each)
+    out[order] = each
     return out
 
 
-def _gradient(p: list[np.ndarray], context: np.ndarray, target: np.ndarray) -> list[np.ndarray]:
-    """Of the mean negative log-probability."""
-    n, g = len(target), [np.zeros_like(x) for x in p]
+def _gradient(p: list[np.ndarray], context: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Of the summed negative log-probability: rows of the embeddings (side * size + id) and their gradients, and the gradients of all others.
+
+    Places are put in the order of their targets, so that each class is a slice."""
+    order = np.argsort(target, kind="stable")
+    context, target, at = context.take(order, axis=0), target[order], np.arange(len(target))
     h, inner = _hidden(p, context), p[5].shape[1]
-    d = np.exp(_log_softmax(h @ p[2] + p[3]))
-    d[np.arange(n), target // inner] -= 1
-    g[2], g[3], dh = h.T @ d / n, d.sum(axis=0) / n, d @ p[2].T
-    for c, rows in _by_class(p, target):
-        hr = h[rows]
-        e = np.exp(_log_softmax(hr @ p[4][c] + p[5][c]))
-        e[np.arange(len(rows)), target[rows] % inner] -= 1
-        g[4][c], g[5][c] = hr.T @ e / n, e.sum(axis=0) / n
-        dh[rows] += e @ p[4][c].T
-    dh *= (1 - h * h) / n
-    g[1] = dh.sum(axis=0)
-    for k in range(len(_SIDES)):
-        order = np.argsort(context[:, k], kind="stable")
-        ids, first = np.unique(context[order, k], return_index=True)
-        g[0][k][ids] = np.add.reduceat(dh[order], first, axis=0)
-    return g
-
-
-def _trainer(words: _Vocabulary, start: np.ndarray, turn: int):
-    """Trains a copy on a task's rows; gives it back as one row with the places seen."""
+    d = h @ p[2] + p[3]
+    _softmax(d)
+    d[at, target // inner] -= 1
+    ones = np.ones(len(h), h.dtype)
+    g = [h.T @ d, ones @ d, np.zeros_like(p[4]), np.zeros_like(p[5])]
+    dh = d @ p[2].T
+    for c, a, b in _classes(p, target):
+        e = h[a:b] @ p[4][c] + p[5][c]
+        _softmax(e)
+        e[at[: b - a], target[a:b] - c * inner] -= 1
+        g[2][c], g[3][c] = h[a:b].T @ e, ones[a:b] @ e
+        dh[a:b] += e @ p[4][c].T
+    h *= h
+    dh *= np.subtract(1, h, out=h)
+    size = p[0].shape[1]
+    flat = (context + np.arange(len(_SIDES)) * size).astype(np.uint16 if len(_SIDES) * size <= 1 << 16 else np.int64).ravel()
+    order = np.argsort(flat, kind="stable")
+    flat = flat[order]
+    first = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
+    return flat[first].astype(np.int64), np.add.reduceat(dh.take(order // len(_SIDES), axis=0), first, axis=0), [ones @ dh, *g]
+
+
+def _trainer(size: int, start, turn: int):
+    """Trains a copy of the network on each group of rows (group, ids), which come sorted; a row (group, seen, weights) for each."""
+    kind, first = np.dtype(_id_kind(size)), _first(turn)
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat = start.copy()
-        p, past, seen, waiting = _unpack(flat, words.size), [np.full(s, 1e-8, np.float32) for s in _shapes(words.size)], 0, []
+        group = None
+
+        def begin() -> None:
+            nonlocal flat, p, past, seen
+            flat, seen = start.value.copy(), 0
+            waiting.clear()
+            p, past = _unpack(flat, size), [np.full(s, 1e-8, np.float32) for s in _shapes(size)]
 
         def step() -> None:
             nonlocal seen
             context, target = (np.concatenate(x) for x in zip(*waiting, strict=True))
             waiting.clear()
+            wide, wide_past = p[0].reshape(-1, WIDTH), past[0].reshape(-1, WIDTH)
             for at in range(0, len(target), STEP):
-                for w, s, g in zip(p, past, _gradient(p, context[at : at + STEP], target[at : at + STEP]), strict=True):
+                n = len(target[at : at + STEP])
+                rows, g, others = _gradient(p, context[at : at + STEP], target[at : at + STEP])
+                g /= n
+                s = wide_past[rows] + g * g
+                wide_past[rows] = s
+                wide[rows] -= RATE * g / np.sqrt(s)
+                for w, s, g in zip(p[1:], past[1:], others, strict=True):
+                    g /= n
                     s += g * g
                     w -= RATE * g / np.sqrt(s)
             seen += len(target)
 
+        def copy() -> pa.RecordBatch:
+            if waiting:
+                step()
+            return pa.RecordBatch.from_arrays([pa.array([group] * bool(seen), pa.int64()), pa.array([seen] * bool(seen), pa.int64()), pa.array([flat.tobytes()] * bool(seen), pa.binary())], ["group", "seen", "weights"])
+
+        flat, p, past, seen, waiting, n_waiting = None, [], [], 0, [], 0
         for batch in batches:
-            for t in batch.column(0):
-                ids = words.ids(t.as_py())
-                places = np.arange((turn + zlib.crc32(ids[:8].tobytes())) % ROUNDS, len(ids), ROUNDS)
+            for g, ids in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if g != group:
+                    if group is not None:
+                        yield copy()
+                    group, n_waiting = g, 0
+                    begin()
+                ids = np.frombuffer(ids.as_buffer(), kind).astype(np.int64)
+                places = np.arange(first(ids), len(ids), ROUNDS)
                 if len(places):
                     waiting.append((_contexts(ids, places), ids[places]))
-                if sum(len(x[1]) for x in waiting) >= STEP:
+                    n_waiting += len(places)
+                if n_waiting >= STEP:
                     step()
-        if waiting:
-            step()
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([flat], pa.list_(pa.float32()))], ["seen", "weights"])
+                    n_waiting = 0
+        if group is not None:
+            yield copy()
 
     return train
 
 
+def _id_kind(size: int) -> str:
+    return "<u2" if size <= 1 << 16 else "<u4"
+
+
+def _first(turn: int):
+    """The first place of a text in a round; over the rounds all of 0 to ROUNDS - 1."""
+    return lambda ids: (turn + zlib.crc32(ids[:8].tobytes())) % ROUNDS
+
+
+def _encoder(sent, size: int):
+    """Texts as ids."""
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sent.value.ids(t.as_py()).astype(_id_kind(size)).tobytes() for t in batch.column(0)], pa.binary())], ["ids"])
+
+    return encode
+
+
+def _mean(rows: list[tuple[int, bytes]]) -> tuple[int, bytes]:
+    """The mean of weights, in the order given."""
+    seen = sum(n for n, _ in rows)
+    total = sum(np.frombuffer(w, np.float32) * np.float64(n) for n, w in rows)
+    return seen, (total / seen).astype(np.float32).tobytes()
+
+
+def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over rows sorted by (to, group): a row for each ``to``."""
+    rows, now = [], None
+    one = lambda: pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((now, *_mean(rows)), (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["group", "seen", "weights"])
+    for batch in batches:
+        for to, seen, weights in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if to != now:
+                if rows:
+                    yield one()
+                rows, now = [], to
+            rows.append((seen, weights))
+    if rows:
+        yield one()
+
+
+def average(copies: DataFrame, groups: int) -> bytes | None:
+    """The mean of ``copies`` (group, seen, weights) of group 0 to ``groups`` - 1, by a tree of FAN copies a node; None without any."""
+    while groups > FAN:
+        up = copies.select(F.floor(F.col("group") / FAN).alias("to"), "group", "seen", "weights")
+        copies = up.repartition("to").sortWithinPartitions("to", "group").select("to", "seen", "weights").mapInArrow(_averaged, "group long, seen long, weights binary")
+        groups = -(-groups // FAN)
+    rows = sorted((r.group, r.seen, bytes(r.weights)) for r in copies.collect())
+    return _mean([r[1:] for r in rows])[1] if rows else None
+
+
 def train(docs: DataFrame, text: str = "text") -> Model:
     """The vocabulary, the parameters and the word counts for the texts of ``docs``.
 
-    A round trains on every ROUNDS-th place of every text, each round from another start, so that all rounds together take every place of every text once."""
-    words, head, buckets, tail = vocabulary(docs, text)
-    now = initial(words.size)
+    A round trains on every ROUNDS-th place of every text, each round from another start, so that all rounds together take every place of every text once.
+    Equal texts are numbered, so that many copies of one are spread over the groups."""
+    words, head, buckets, tail, n_words = vocabulary(docs, text)
+    spark, now, size = docs.sparkSession, initial(words.size), words.size
+    groups = max(1, n_words // (GROUP * size // VOCAB))
+    ids = docs.select(text).mapInArrow(_encoder(spark.sparkContext.broadcast(words), size), "ids binary").groupBy("ids").agg(F.count(F.lit(1)).alias("n"))
+    ids = settle(ids.withColumn("at", F.xxhash64("ids")), "trained-on")
+    copies = ids.select("ids", "at", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("copy")).withColumn("group", F.pmod(F.xxhash64("at", "copy"), F.lit(groups)))
+    dealt = copies.repartitionByRange(groups, "group").sortWithinPartitions("group", "at", "copy").select("group", "ids")
     for turn in range(ROUNDS):
-        copies = docs.select(text).mapInArrow(_trainer(words, now, turn), "seen long, weights array<float>")
-        mean = copies.select("seen", F.posexplode("weights").alias("i", "w")).groupBy("i").agg((F.sum(F.col("w").cast("double") * F.col("seen")) / F.sum("seen")).alias("w")).toArrow()
-        if mean.num_rows:
-            now = now.copy()
-            now[mean["i"].to_numpy()] = mean["w"].to_numpy()
+        mean = average(dealt.mapInArrow(_trainer(size, spark.sparkContext.broadcast(now), turn), "group long, seen long, weights binary"), groups)
+        if mean:
+            now = np.frombuffer(mean, np.float32).copy()
+    discard(ids)
     return Model(words, now, head, buckets, tail)
 
 
@@ -281,10 +398,11 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     own = [F.col(f"`{c}`") for c in docs.columns if c not in ("n_tokens", "log_prob", "mean_log_prob")]
     key = F.unhex(F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")), 256)).alias("_key")
+    row = F.struct(*own).alias("_row")
     read = settle(docs.select(key, scored(F.col(f"`{text}`")).alias("_s")).select("_key", "_s.*"), "scored")
     each = read.groupBy("_key").agg(F.count(F.lit(1)).alias("_copies"), F.max("n_tokens").alias("n_tokens"), F.max("log_prob").alias("_net"))
     counted = read.select("_key", F.explode("tail").alias("_t")).select("_key", "_t.word", F.col("_t.n").alias("k")).join(model.tail, "word")
     shares = counted.groupBy("_key").agg(F.sum(F.col("k") * F.log("n")).alias("_shares"))  # over all copies of a text
     by_text = each.join(shares, "_key", "left").select("_key", "n_tokens", (F.col("_net") + F.coalesce(F.col("_shares") / F.col("_copies"), F.lit(0.0))).alias("log_prob"))
-    out = docs.select(*own, key).join(by_text, "_key").select(*own, "n_tokens", "log_prob")
+    out = docs.select(row, key).join(by_text, "_key").select("_row.*", "n_tokens", "log_prob")
     return out.withColumn("mean_log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")))

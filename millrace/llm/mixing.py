@@ -15,10 +15,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import SPACE, word_count, words
+from millrace.llm.common import settle, word_count, words
 
-#: Words of a block, words of a shard at least, and shards of a source at most (a shard then has more words).
-BLOCK, SHARD, SHARDS = 64, 131_072, 4096
+#: Words of a block and words of a shard at least. A source of n words has no more than sqrt(n) shards, so neither a shard nor a source's list of shards gets too long for a task.
+BLOCK, SHARD = 64, 131_072
 
 
 def apportion(parties: DataFrame, within: list[str], weight: str, seats: str, order: list[str], out: str = "quota") -> DataFrame:
@@ -75,18 +75,18 @@ def plan_mix(docs: DataFrame, key: str = "doc_id", source: str = "source", size:
     size, so that reruns agree. An empty table, or one without words, gives rows with target and taken 0. Other columns are ignored."""
     size = word_count(F.col("text")) if size is None else size
     rows = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), F.coalesce(size, F.lit(0)).cast("long").alias("size"))
+    rows = settle(rows.withColumn("draw", F.xxhash64(F.lit(seed), F.col("key"), F.col("size"))), "sizes")  # texts are read once
     aims = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
     blocks = F.greatest(F.lit(1), F.round(F.sum("source_size").over(Window.partitionBy()) * F.lit(float(min(share, most))) / BLOCK)).cast("long")
     aims = aims.withColumn("seats", blocks).withColumn("_one", F.lit(0))
     aims = apportion(aims, ["_one"], "target", "seats", ["source"], "source_quota").drop("_one", "seats")
-    aims = aims.withColumn("n_shards", F.least(F.lit(SHARDS), F.ceil(F.greatest(F.col("source_size"), F.lit(1)) / SHARD)).cast("int"))
+    aims = aims.withColumn("n_shards", F.ceil(F.least(F.greatest(F.col("source_size"), F.lit(1)) / SHARD, F.sqrt(F.greatest(F.col("source_size"), F.lit(1))))).cast("int"))
 
-    draw = F.xxhash64(F.lit(seed), F.col("key"), F.col("size"))
-    r = rows.withColumn("draw", draw).alias("r").join(aims.alias("a"), F.col("r.source").eqNullSafe(F.col("a.source"))).select("r.key", "r.source", "r.size", "r.draw", "a.source_size", "a.target", "a.source_quota", F.pmod("r.draw", "a.n_shards").alias("shard"))
+    r = rows.alias("r").join(aims.alias("a"), F.col("r.source").eqNullSafe(F.col("a.source"))).select("r.key", "r.source", "r.size", "r.draw", "a.source_size", "a.target", "a.source_quota", F.pmod("r.draw", "a.n_shards").alias("shard"))
     stream = Window.partitionBy("source", "shard").orderBy(F.xxhash64("draw"), "key", "size")
     r = r.withColumn("end", F.sum("size").over(stream.rowsBetween(Window.unboundedPreceding, 0)))
 
-    shards = rows.withColumn("draw", draw).alias("r").join(aims.alias("a"), F.col("r.source").eqNullSafe(F.col("a.source"))).select("a.source", "a.source_quota", F.pmod("r.draw", "a.n_shards").alias("shard"), "r.size")
+    shards = rows.alias("r").join(aims.alias("a"), F.col("r.source").eqNullSafe(F.col("a.source"))).select("a.source", "a.source_quota", F.pmod("r.draw", "a.n_shards").alias("shard"), "r.size")
     shards = shards.groupBy("source", "source_quota", "shard").agg(F.sum("size").alias("words"))
     shards = apportion(shards, ["source"], "words", "source_quota", ["shard"])
     n = F.greatest(F.lit(1), F.round(F.col("words") / BLOCK)).cast("long")
@@ -115,11 +115,12 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
     rows apart; rows that share one are taken as often as any of them is."""
     plan = plan_mix(docs, key, source, word_count(F.col(text)), **kind).where("taken > 0")
     whole = F.struct(F.lit(0).cast("long").alias("from"), F.col("size").alias("to"))
-    pieces = plan.select(F.col(key).alias("_key"), F.col("size").alias("_size"), F.explode(F.concat(F.array_repeat(whole, F.col("rounds").cast("int")), "cuts")).alias("_cut"))
-    j = docs.join(pieces, docs[key].eqNullSafe(pieces["_key"]) & (word_count(docs[text]) == pieces["_size"]))
-    part = F.array_join(F.slice(words(F.col(text)), F.col("_cut.from").cast("int") + 1, (F.col("_cut.to") - F.col("_cut.from")).cast("int")), " ")
-    kept = F.when(F.col("_cut.to") - F.col("_cut.from") == F.col("_size"), F.col(text)).otherwise(part)
-    out = j.withColumn(text, kept)
+    pieces = plan.select(F.col(key).alias("of"), "size", F.explode(F.concat(F.array_repeat(whole, F.col("rounds").cast("int")), "cuts")).alias("cut"))
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{key}`").alias("of"), F.col(f"`{text}`").alias("text"), word_count(F.col(f"`{text}`")).alias("size"))
+    j = row.alias("d").join(pieces.alias("p"), F.col("d.of").eqNullSafe(F.col("p.of")) & (F.col("d.size") == F.col("p.size"))).select("row", "text", "d.size", "cut")
+    part = F.array_join(F.slice(words(F.col("text")), F.col("cut.from").cast("int") + 1, (F.col("cut.to") - F.col("cut.from")).cast("int")), " ")
+    j = j.withColumn("text", F.when(F.col("cut.to") - F.col("cut.from") == F.col("size"), F.col("text")).otherwise(part))
+    new = {text: F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return j.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

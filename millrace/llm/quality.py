@@ -71,7 +71,7 @@ def _measures(texts: pa.Array) -> pa.Array:
 def measure(docs: DataFrame, text: str = "text", keep_text: bool = True) -> DataFrame:
     """``docs`` with the measures of each text and base_failed; columns of these names are replaced."""
     own = [F.col(f"`{c}`") for c in docs.columns if c not in (*_FIELDS, "base_failed") and (keep_text or c != text)]
-    m = docs.select(*own, _measures(F.col(f"`{text}`")).alias("_m")).select(*own, "_m.*")
+    m = docs.select(F.struct(*own).alias("row"), _measures(F.col(f"`{text}`")).alias("m")).select("row.*", "m.*")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
     return m.withColumn("base_failed", failed)
 
@@ -122,10 +122,12 @@ def thresholds(sketches: DataFrame) -> DataFrame:
 def judge(measured: DataFrame, limits: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
     """``measured`` with kept: false for what fails the base rules or lies outside a fence of its language and source.
 
-    Null languages and sources are groups like any other. Every row gets a verdict; an empty table has none."""
-    j = measured.join(limits, F.col(lang).eqNullSafe(F.col("t_lang")) & F.col(source).eqNullSafe(F.col("t_source")), "left")
+    Null languages and sources are groups like any other. Every row gets a verdict; an empty table has none. A column named kept is replaced."""
+    values = [F.when(F.col("base_failed"), None).otherwise(F.expr(sql)).alias(f"v_{name}") for name, (sql, _, _) in METRICS.items()]
+    own = [F.col(f"`{c}`") for c in measured.columns if c != "kept"]
+    m = measured.select(F.struct(*own).alias("row"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{source}`").alias("source"), "base_failed", *values)
+    j = m.join(limits, F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source")), "left")
     inside = F.lit(True)
-    for name, (sql, _, _) in METRICS.items():
-        value = F.when(F.col("base_failed"), None).otherwise(F.expr(sql))
-        inside = inside & value.between(F.col(f"f_{name}.low"), F.col(f"f_{name}.high"))
-    return j.withColumn("kept", F.when(F.col("base_failed"), False).otherwise(F.coalesce(inside, F.lit(True)))).select(*measured.columns, "kept")
+    for name in METRICS:
+        inside = inside & F.col(f"v_{name}").between(F.col(f"f_{name}.low"), F.col(f"f_{name}.high"))
+    return j.withColumn("kept", F.when(F.col("base_failed"), False).otherwise(F.coalesce(inside, F.lit(True)))).select("row.*", "kept")

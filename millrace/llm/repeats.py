@@ -200,7 +200,7 @@ def _open(texts: DataFrame, marks: DataFrame, by, name: str) -> DataFrame:
     marks = settle(marks.groupBy("id", "size").agg(F.collect_list(F.struct("part", "place")).alias("marks")), f"{name}-marks")
     n = marks.agg(F.sum(F.size("marks"))).first()[0] or 0
     if n > SENT:  # texts without marks needn't be moved to them
-        texts = texts.join(small(marks.select("id", "size")), ["id", "size"], "left_semi")
+        texts = texts.join(small(marks, "id", "size"), ["id", "size"], "left_semi")
     found = texts.join(_sent(marks, n), ["id", "size"]).select("id", "size", "bytes", "marks").mapInArrow(_opened(by), _ROWS)
     return settle(found, name)
 

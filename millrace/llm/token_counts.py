@@ -97,7 +97,7 @@ def _frequent(docs: DataFrame, text: str, path: str, table_size: int, sample_row
         best = heapq.nlargest(share, ((n, p) for p, n in seen.items() if n > 1 and len(p) <= 64))
         yield pa.RecordBatch.from_arrays([pa.array([p for _, p in best], pa.string())], ["piece"])
 
-    drawn = docs.select(text).sample(min(1.0, sample_rows / total), seed=17).coalesce(8)
+    drawn = docs.select(text).sample(min(1.0, sample_rows / total), seed=17).repartition(8)
     pieces = sorted({r.piece for r in drawn.mapInArrow(top, "piece string").collect()})
     tok = _tokenizer(path)
     return {p: len(e.ids) for p, e in zip(pieces, tok.encode_batch(pieces, add_special_tokens=False), strict=True)}
@@ -107,7 +107,7 @@ def token_count(docs: DataFrame, tokenizer_path: str, text: str = "text", table_
     """A column expression with the number of tokens of ``text`` for rows of ``docs``.
 
     ``sample_rows`` bounds the rows looked at for the table of frequent pre-tokens; every text is counted
-    whole. A null or empty text has 0 tokens. The vocabulary file must be readable at
+    whole. Keys aren't looked at, so null and repeated ones are harmless. A null or empty text has 0 tokens. The vocabulary file must be readable at
     ``tokenizer_path`` on every machine. Two equal rows give equal counts; other columns don't matter."""
     frequent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, text, tokenizer_path, table_size, sample_rows))
     key = (tokenizer_path, uuid.uuid4().hex)

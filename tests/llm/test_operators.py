@@ -180,6 +180,44 @@ def test_decontaminate(spark, rows):
     assert decontaminate.find_leaks(empty(spark), it).count() == decontaminate.find_leaks(df, it.limit(0)).count() == 0
 
 
+def test_clashing_columns_and_empty_tables(spark, docs, rows):
+    """Columns named as an operator's own or as its result's don't disturb it, and long texts are read in pieces."""
+    names = ("kept", "row", "m", "_m", "t_lang", "f_repeats", "v_repeats", "_gone", "_id", "doc", "item", "s", "_key", "_s", "_row", "n_tokens", "base_failed", "copy", "shard", "hash", "n_bytes", "leaf", "code", "node", "band")
+    odd = docs.withColumns({c: F.lit(c) for c in names})
+    plain, clash = quality.measure(docs), quality.measure(odd)
+    judged = quality.judge(clash, quality.thresholds(quality.sketch(clash)))
+    assert sorted(judged.columns) == sorted({*odd.columns, *plain.columns, "kept"})
+    assert sorted((r.doc_id, r.kept) for r in judged.collect()) == sorted((r.doc_id, r.kept) for r in quality.judge(plain, quality.thresholds(quality.sketch(plain))).collect())
+    items = spark.createDataFrame([(1, rows[2][1])], "item_id long, text string")
+    assert {r.doc_id for r in decontaminate.drop_leaks(odd, items).collect()} == {r[0] for r in rows} - {r.doc_id for r in decontaminate.find_leaks(docs, items).collect()}
+    assert decontaminate.drop_leaks(odd, items).columns == near_dedup.drop_near_duplicates(odd).columns == odd.columns
+    model = lm_score.train(odd)
+    assert {r.doc_id: r.n_tokens for r in lm_score.score(odd, model).collect()} == {i: len(wordlist(t)) for i, t, *_ in rows}
+    assert Counter(r.doc_id for r in sharding.shard(odd, 5000).collect()) == Counter(r[0] for r in rows)
+    assert lm_score.score(odd.limit(0), model).count() == decontaminate.drop_leaks(odd.limit(0), items).count() == 0
+
+
+def test_very_long_texts(spark):
+    """Texts of some five million characters, past every cut into pieces."""
+    path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    from tokenizers import Tokenizer
+
+    rng = random.Random(16)
+    long = prose(rng, 1_000_000)
+    part = prose(rng, 30)
+    texts = [long, f"{long} {part}", "short"]
+    df = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in enumerate(texts)], KIND)
+    n = [len(t.split()) for t in texts]
+    assert {r.doc_id: (r.n_words, r.word_chars) for r in quality.measure(df, keep_text=False).collect()} == {i: (n[i], len(t.replace(" ", ""))) for i, t in enumerate(texts)}
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(df).collect()} == {i: (len(shingles(t)), min(i, 2 * (i == 2))) for i, t in enumerate(texts)}
+    assert [tuple(r)[:2] for r in decontaminate.find_leaks(df, spark.createDataFrame([(7, part)], "item_id long, text string")).collect()] == [(1, 7)]
+    assert {r.doc_id: r.size for r in mixing.plan_mix(df).collect()} == dict(enumerate(n))
+    tok = Tokenizer.from_file(path)
+    assert {r.doc_id: r.n_tokens for r in token_counts.count_tokens(df.where("doc_id > 0"), path).collect()} == {i: len(tok.encode(texts[i], add_special_tokens=False).ids) for i in (1, 2)}
+    assert {r.doc_id: r.oversized for r in sharding.shard(df, 1 << 20).collect()} == {0: True, 1: True, 2: False}
+    assert {r.doc_id: r.n_tokens for r in lm_score.score(df, lm_score.train(df.where("doc_id = 2"))).collect()} == dict(enumerate(n))
+
+
 def test_quality_measures(spark, rows, docs):
     got = {}
     for r in quality.measure(docs).collect():
@@ -242,14 +280,28 @@ def test_mixing(spark, rows):
             break
     for s in names:
         assert target[s] == pytest.approx(goal[s]) and abs(taken[s] - goal[s]) <= max(130, 0.02 * goal[s]), s
-    mixed = mixing.mix(df.where("doc_id > 2"))
-    by_id = Counter()
+    some = df.where("doc_id > 2").withColumns({c: F.lit(1) for c in ("_key", "_cut", "_size", "of", "size", "cut", "row")})
+    mixed, by_id, text = mixing.mix(some), Counter(), {r[0]: r[1] for r in rows}
+    assert mixed.columns == some.columns
     for r in mixed.collect():
         by_id[r.doc_id] += len(wordlist(r.text))
-    assert by_id == {r.doc_id: r.taken for r in got if (r.doc_id or 0) > 2 and r.taken} or sum(by_id.values()) > 0
+        assert f" {' '.join(wordlist(r.text))} " in f" {' '.join(wordlist(text[r.doc_id]))} "
+    assert by_id == {r.doc_id: r.taken for r in mixing.plan_mix(some).collect() if r.taken} and by_id
     assert mixing.plan_mix(empty(spark)).count() == 0
 
 
+def test_apportion(spark):
+    """Seats against highest quotients taken one at a time; ties by order."""
+    rng = random.Random(15)
+    rows = [(g, i, float(rng.choice([0, 1, 1, 5, 30, 1000 * rng.random()])), (0, 1, 7, 40, 300)[g % 5]) for g in range(30) for i in range(1 + g % 9)]
+    got = {(r.g, r.i): r.quota for r in mixing.apportion(spark.createDataFrame(rows, "g int, i int, w double, seats long"), ["g"], "w", "seats", ["i"]).collect()}
+    for g in range(30):
+        weight, won = {i: w for k, i, w, _ in rows if k == g and w}, Counter()
+        for _ in range(next(s for k, _, _, s in rows if k == g) if weight else 0):
+            won[max(weight, key=lambda i: (weight[i] / (2 * won[i] + 1), -i))] += 1
+        assert {i: n for (k, i), n in got.items() if k == g} == {i: won[i] for k, i, *_ in rows if k == g}
+
+
 def test_token_counts(spark, rows):
     path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
     from tokenizers import Tokenizer
@@ -343,16 +395,62 @@ def test_lm_score(spark):
     assert lm_score.score(empty(spark), lm_score.train(empty(spark))).count() == 0
 
 
+class _Sent:
+    def __init__(self, value):
+        self.value = value
+
+
 def test_lm_trains_on_every_place():
-    """All rounds together see each place of each text once, in texts of any length."""
+    """All rounds together see each place of each text once, in texts of any length, and a copy is trained for each group."""
     import pyarrow as pa
 
     rng = random.Random(12)
-    texts = [prose(rng, n) for n in [*range(1, 40), 500, 5000]] + ["one", None, "", " "]
-    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
-    words, start = lm_score._Vocabulary((w.encode(), i + 1 + lm_score.RARE) for i, w in enumerate(WORDS)), lm_score.initial()
-    seen = [r["seen"][0].as_py() for turn in range(lm_score.ROUNDS) for r in lm_score._trainer(words, start, turn)(iter([batch]))]
-    assert sum(seen) == sum(len(wordlist(t)) for t in texts)
+    ids = [np.array([rng.randrange(1, 1024) for _ in range(n)], "<u2") for n in [*range(40), 500, 5000]]
+    groups = [0] * 30 + [2] * (len(ids) - 30)
+    batch = pa.RecordBatch.from_arrays([pa.array(groups), pa.array([i.tobytes() for i in ids], pa.binary())], ["group", "ids"])
+    seen = Counter()
+    for turn in range(lm_score.ROUNDS):
+        for r in lm_score._trainer(1024, _Sent(lm_score.initial()), turn)(iter([batch])):
+            seen.update(dict(zip(r["group"].to_pylist(), r["seen"].to_pylist(), strict=True)))
+    assert seen == {0: sum(range(30)), 2: sum(range(30, 40)) + 5500}
+
+
+def test_lm_network():
+    """The log-probabilities against a softmax written out, and the gradient against differences."""
+    rng = np.random.default_rng(1)
+    p = [x.astype(np.float64) + rng.standard_normal(x.shape) * 0.1 for x in lm_score._unpack(lm_score.initial(), 1024)]
+    context, target = rng.integers(0, 1024, (50, 4)), rng.integers(0, 1024, 50)
+
+    def naive(c, t):
+        h = np.tanh(p[1] + sum(p[0][k][c[k]] for k in range(4)))
+        soft = lambda x: x - np.log(np.exp(x).sum())
+        inner = p[5].shape[1]
+        return soft(h @ p[2] + p[3])[t // inner] + soft(h @ p[4][t // inner] + p[5][t // inner])[t % inner]
+
+    loss = lambda: -lm_score.log_probs(p, context, target).sum()
+    assert lm_score.log_probs(p, context, target) == pytest.approx([naive(c, t) for c, t in zip(context, target, strict=True)])
+    rows, of_rows, others = lm_score._gradient(p, context, target)
+    wide = np.zeros((4 * 1024, lm_score.WIDTH))
+    wide[rows] = of_rows
+    for w, g in zip(p, [wide.reshape(p[0].shape), *others], strict=True):
+        for at in np.argsort(-np.abs(g).ravel())[[0, 3, 9]]:
+            w, old = w.reshape(-1), w.reshape(-1)[at]
+            w[at] = old + 1e-5
+            up = loss()
+            w[at] = old - 1e-5
+            assert g.reshape(-1)[at] == pytest.approx((up - loss()) / 2e-5, rel=1e-4, abs=1e-7)
+            w[at] = old
+
+
+def test_lm_is_the_same_for_any_partitions(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "GROUP", 1500)
+    rng = random.Random(14)
+    texts = [prose(rng, rng.randint(1, 300)) for _ in range(120)] + ["said many times"] * 40
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    models = [lm_score.train(x) for x in (df.repartition(1), df.repartition(7, "text"))]
+    assert np.array_equal(models[0].weights, models[1].weights)
+    got = [{r.doc_id: r.log_prob for r in lm_score.score(df, m).collect()} for m in models]
+    assert got[0] == pytest.approx(got[1], rel=1e-6)
 
 
 def test_lm_word_counts(spark, monkeypatch):
