@@ -28,12 +28,12 @@ from millrace.llm.common import discard, settle, word_lists
 #: Words of the smallest vocabulary (the border and buckets for rare words included), buckets, width of a layer, classes of the smallest vocabulary.
 VOCAB, RARE, WIDTH, CLASSES = 1024, 64, 32, 32
 #: Rounds, which share the places of every text, so that each place is trained on once; places of a step; step size.
-ROUNDS, STEP, RATE = 2, 4096, 0.1
+ROUNDS, STEP, RATE = 2, 8192, 0.1
 #: Words of a group, for the smallest vocabulary; copies that are averaged at once.
 GROUP, FAN = 2 << 20, 8
 _SIDES = (-2, -1, 1, 2)
 #: Distinct words that a task counts before it passes them on.
-_COUNTED = 200_000
+_COUNTED = 400_000
 #: Words whose counts are broadcast, those of the vocabulary included; counts of the others are joined.
 HEAD = 65_536
 
@@ -66,30 +66,43 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class _Vocabulary(dict):
-    """Word to id, of ``size`` ids: 0 is the border, then come the buckets of rare words, then frequent words."""
+    """Frequent words to codes. 0 is the border, then come the buckets of rare words, then the words of the network's vocabulary, up to ``size``; codes from there on are those of
+    rare words whose counts are known. ``ids`` has the network's id for each code (a bucket for rare words) and ``shares`` the logarithm of a rare word's count."""
 
-    size = VOCAB
+    def __init__(self, known: list[bytes], rare: list[bytes], counts: np.ndarray, size: int = VOCAB):
+        super().__init__(zip(known, range(RARE + 1, size), strict=False))
+        self.update(zip(rare, range(size, size + len(rare)), strict=True))
+        self.size = size
+        self.ids = np.concatenate([np.arange(size), np.array([_bucket(w) for w in rare], np.int64)]).astype(np.int64)
+        self.shares = np.concatenate([np.zeros(size), np.log(counts)])
 
     def __missing__(self, word: bytes) -> int:
-        return 1 + zlib.crc32(word) % RARE
+        return _bucket(word)
 
-    def ids(self, text: str | None) -> np.ndarray:
-        parts = [np.fromiter(map(self.__getitem__, ws), np.int64, len(ws)) for ws in _words(text)]
+    def codes(self, ws: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, ws), np.int64, len(ws))
+
+    def of(self, text: str | None) -> np.ndarray:
+        """The network's ids of the words of a text."""
+        parts = [self.ids[self.codes(ws)] for ws in _words(text)]
         return np.concatenate(parts) if parts else np.empty(0, np.int64)
 
 
+def _bucket(word: bytes) -> int:
+    return 1 + zlib.crc32(word) % RARE
+
+
 class Model(NamedTuple):
-    """The vocabulary, the parameters, logarithms of the counts of broadcast rare words, of the counts of buckets by id, and all other counts above one."""
+    """The vocabulary, the parameters, the logarithms of the counts of buckets by id, and the counts above one of all words without a code."""
 
     words: _Vocabulary
     weights: np.ndarray
-    head: dict[bytes, float]
     buckets: np.ndarray
     tail: DataFrame
 
 
-def vocabulary(docs: DataFrame, text: str = "text") -> tuple[_Vocabulary, dict[bytes, float], np.ndarray, DataFrame, int]:
-    """The most frequent words of all texts (ties by bytes), the counts of all others as in ``Model``, and the number of all.
+def vocabulary(docs: DataFrame, text: str = "text") -> tuple[_Vocabulary, np.ndarray, DataFrame, int]:
+    """The most frequent words of all texts (ties by bytes), the counts of buckets and of all other words as in ``Model``, and the number of all.
 
     Every bucket's count has one more for all words that no text has; a word found once is worth as much as they."""
     counts = settle(docs.select(text).mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
@@ -103,15 +116,13 @@ def vocabulary(docs: DataFrame, text: str = "text") -> tuple[_Vocabulary, dict[b
     top = counts.where(F.col("n") >= cut).orderBy(F.col("n").desc(), "word").limit(HEAD).toArrow().to_pydict()
     size = VOCAB << _doublings(sum(n * k for n, k in alike))
     known = size - RARE - 1
-    words = _Vocabulary((w, i + 1 + RARE) for i, w in enumerate(top["word"][:known]))
-    words.size = size
+    words = _Vocabulary(top["word"][:known], top["word"][known:], np.array(top["n"][known:]), size)
     total = np.ones(RARE + 1)
     for r in counts.groupBy((F.crc32("word") % RARE).alias("b")).agg(F.sum("n").alias("n")).collect():
         total[1 + r.b] += r.n
     for w, n in zip(top["word"][:known], top["n"][:known], strict=True):
-        total[1 + zlib.crc32(w) % RARE] -= n
-    head = dict(zip(top["word"][known:], np.log(top["n"][known:]).tolist(), strict=True))
-    return words, head, np.log(total), counts.where((F.col("n") > 1) & (F.col("n") <= cut)), sum(n * k for n, k in alike)
+        total[_bucket(w)] -= n
+    return words, np.log(total), counts.where((F.col("n") > 1) & (F.col("n") <= cut)), sum(n * k for n, k in alike)
 
 
 def initial(size: int = VOCAB) -> np.ndarray:
@@ -237,9 +248,9 @@ def _trainer(size: int, start, turn: int):
             context, target = (np.concatenate(x) for x in zip(*waiting, strict=True))
             waiting.clear()
             wide, wide_past = p[0].reshape(-1, WIDTH), past[0].reshape(-1, WIDTH)
-            for at in range(0, len(target), STEP):
-                n = len(target[at : at + STEP])
-                rows, g, others = _gradient(p, context[at : at + STEP], target[at : at + STEP])
+            for part in _parts(len(target)):
+                n = part.stop - part.start
+                rows, g, others = _gradient(p, context[part], target[part])
                 g /= n
                 s = wide_past[rows] + g * g
                 wide_past[rows] = s
@@ -277,6 +288,12 @@ def _trainer(size: int, start, turn: int):
     return train
 
 
+def _parts(n: int) -> Iterator[slice]:
+    """Nearly equal parts of n places, of STEP at least (but for a single part) and less than 2 STEP."""
+    ends = np.linspace(0, n, max(1, n // STEP) + 1).astype(int).tolist()
+    return (slice(a, b) for a, b in zip(ends, ends[1:], strict=False))
+
+
 def _id_kind(size: int) -> str:
     return "<u2" if size <= 1 << 16 else "<u4"
 
@@ -291,7 +308,7 @@ def _encoder(sent, size: int):
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([sent.value.ids(t.as_py()).astype(_id_kind(size)).tobytes() for t in batch.column(0)], pa.binary())], ["ids"])
+            yield pa.RecordBatch.from_arrays([pa.array([sent.value.of(t.as_py()).astype(_id_kind(size)).tobytes() for t in batch.column(0)], pa.binary())], ["ids"])
 
     return encode
 
@@ -333,7 +350,7 @@ def train(docs: DataFrame, text: str = "text") -> Model:
 
     A round trains on every ROUNDS-th place of every text, each round from another start, so that all rounds together take every place of every text once.
     Equal texts are numbered, so that many copies of one are spread over the groups."""
-    words, head, buckets, tail, n_words = vocabulary(docs, text)
+    words, buckets, tail, n_words = vocabulary(docs, text)
     spark, now, size = docs.sparkSession, initial(words.size), words.size
     groups = max(1, n_words // (GROUP * size // VOCAB))
     ids = docs.select(text).mapInArrow(_encoder(spark.sparkContext.broadcast(words), size), "ids binary").groupBy("ids").agg(F.count(F.lit(1)).alias("n"))
@@ -345,7 +362,7 @@ def train(docs: DataFrame, text: str = "text") -> Model:
         if mean:
             now = np.frombuffer(mean, np.float32).copy()
     discard(ids)
-    return Model(words, now, head, buckets, tail)
+    return Model(words, now, buckets, tail)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -353,12 +370,12 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     A null, empty or blank text has no word: 0, 0.0 and a null mean. Equal texts get equal scores, as scores are found by the text's digest; keys and
     other columns don't matter. An empty table gives an empty result, and a model trained on one is the initial network."""
-    sent = docs.sparkSession.sparkContext.broadcast(tuple(model[:4]))
+    sent = docs.sparkSession.sparkContext.broadcast(tuple(model[:3]))
 
     @F.arrow_udf("n_tokens long, log_prob double, tail array<struct<word:binary,n:long>>")
     def scored(texts: pa.Array) -> pa.Array:
-        words, flat, head, buckets = sent.value
-        p, n, total, waiting = _unpack(flat, words.size), [], [], []
+        words, flat, buckets = sent.value
+        p, n, total, waiting, n_waiting = _unpack(flat, words.size), [], [], [], 0
         tail_words, tail_n, ends = [], [], [0]
 
         def flush() -> None:
@@ -366,31 +383,30 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             rows, contexts, targets = zip(*waiting, strict=True)
             waiting.clear()
             context, target = np.concatenate(contexts), np.concatenate(targets)
-            each = np.concatenate([log_probs(p, context[at : at + STEP], target[at : at + STEP]) for at in range(0, len(target), STEP)])
+            each = np.concatenate([log_probs(p, context[part], target[part]) for part in _parts(len(target))])
             for row, part in zip(rows, np.split(each, np.cumsum([len(x) for x in targets])[:-1]), strict=True):
                 total[row] += float(part.sum(dtype=np.float64))
 
         for row, t in enumerate(texts):
             parts, rare = [], Counter()
             for ws in _words(t.as_py()):
-                ids = np.fromiter(map(words.__getitem__, ws), np.int64, len(ws))
-                parts.append(ids)
-                rare.update(map(ws.__getitem__, np.flatnonzero(ids <= RARE).tolist()))
-            ids = np.concatenate(parts) if parts else np.empty(0, np.int64)
+                codes = words.codes(ws)
+                parts.append(codes)
+                rare.update(map(ws.__getitem__, np.flatnonzero(codes <= RARE).tolist()))
+            codes = np.concatenate(parts) if parts else np.empty(0, np.int64)
+            ids = words.ids[codes]
             n.append(len(ids))
-            total.append(-float(buckets[ids[ids <= RARE]].sum()))
-            for w, k in rare.items():
-                if w in head:
-                    total[row] += k * head[w]
-                else:
-                    tail_words.append(w)
-                    tail_n.append(k)
+            total.append(float(words.shares[codes].sum() - buckets[ids[ids <= RARE]].sum()))
+            tail_words += rare.keys()
+            tail_n += rare.values()
             ends.append(len(tail_words))
             for at in np.split(np.arange(len(ids)), range(1 << 16, len(ids), 1 << 16)):
                 if len(at):
                     waiting.append((row, _contexts(ids, at), ids[at]))
-                if sum(len(x[2]) for x in waiting) >= STEP:
+                    n_waiting += len(at)
+                if n_waiting >= 2 * STEP:
                     flush()
+                    n_waiting = 0
         if waiting:
             flush()
         tail = pa.StructArray.from_arrays([pa.array(tail_words, pa.binary()), pa.array(tail_n, pa.int64())], ["word", "n"])
