@@ -13,28 +13,39 @@ from millrace.llm.queries import SHARD_BYTES
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that pass the base rules and the thresholds of their language and source."""
-    limits = quality.thresholds(quality.sketch(settle(quality.measure(docs, keep_text=False), "measured")))
-    return quality.judge(quality.measure(docs), limits).where("kept").select(*docs.columns)
+    """The documents that pass the base rules and the thresholds of their language and source.
+
+    A null or blank text fails the base rules. Null languages and sources are groups like any other; each row is judged by itself, so repeated rows and
+    keys share their verdict. A very long text is measured in pieces. An empty table stays empty; extra columns are kept."""
+    measured = settle(quality.measure(docs), "measured")
+    return quality.judge(measured, quality.thresholds(quality.sketch(measured))).where("kept").select(*docs.columns)
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group."""
+    """The document of the smallest id of each group of near copies.
+
+    Texts without words and null ids are in no group and stay; rows with one id are one document and stay or go together. Empty tables stay empty; extra columns are kept."""
     return near_dedup.drop_near_duplicates(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that hold no benchmark item."""
+    """The documents that hold no benchmark item.
+
+    Texts without words hold none, nor do rows with a null id get judged: all these stay. Rows with one id go together. An empty table or benchmark removes nothing; extra columns are kept."""
     return decontaminate.drop_leaks(docs, read(spark, sf_dir, "benchmark"))
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: whole documents and the parts that blocks cut, as often as they are taken."""
+    """The mix: whole documents and the parts that blocks cut, as often as they are taken.
+
+    Texts without words are never taken. The null source is one of its own. Repeated ids of one size are taken as often as all of them together. An empty table gives an empty mix; extra columns are kept."""
     return mixing.mix(docs)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their shards."""
+    """The documents with their shards.
+
+    A null text has 0 bytes. A row above the limit is a shard alone; repeated rows are numbered and spread. An empty table has no shards; extra columns are kept, but for those named as the new ones, which are replaced."""
     return sharding.shard(docs, SHARD_BYTES)
 
 
