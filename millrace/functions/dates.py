@@ -19,6 +19,8 @@ def relative(name: str, day: Column) -> Column:
         "tomorrow": F.date_add(day, 1),
         "tomorrow_evening": F.date_add(day, 1),
         "day_after_tomorrow": F.date_add(day, 2),
+        "this_weekend_saturday": on_or_after(day, 5),
+        "this_weekend_sunday": on_or_after(day, 6),
         "this_saturday": on_or_after(day, 5),
         "this_sunday": on_or_after(day, 6),
         "next_monday": F.next_day(day, "MON"),
@@ -28,7 +30,8 @@ def relative(name: str, day: Column) -> Column:
     return known[name]
 
 
-RELATIVE = ("today", "tonight", "tomorrow", "tomorrow_evening", "day_after_tomorrow", "this_saturday", "this_sunday", "next_monday", "next_friday", "next_weekend")
+#: The names that are known.
+RELATIVE = ("today", "tonight", "tomorrow", "tomorrow_evening", "day_after_tomorrow", "this_weekend_saturday", "this_weekend_sunday", "this_saturday", "this_sunday", "next_monday", "next_friday", "next_weekend")
 
 
 def is_calendar_day(text: Column) -> Column:

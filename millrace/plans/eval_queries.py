@@ -224,7 +224,7 @@ _D = "CAST(o_orderdate AS DATE)"
 _ON = "CAST({d} + CAST((({w} - (isodow({d}) - 1)) % 7 + 7) % 7 AS INTEGER) AS DATE)"
 
 
-@query(f"""SELECT o_orderkey, {_D} AS today, {_D} AS tonight, {_D} + 1 AS tomorrow, {_D} + 1 AS tomorrow_evening, {_D} + 2 AS day_after_tomorrow, {_ON.format(d=_D, w=5)} AS this_saturday, {_ON.format(d=_D, w=6)} AS this_sunday,
+@query(f"""SELECT o_orderkey, {_D} AS today, {_D} AS tonight, {_D} + 1 AS tomorrow, {_D} + 1 AS tomorrow_evening, {_D} + 2 AS day_after_tomorrow, {_ON.format(d=_D, w=5)} AS this_weekend_saturday, {_ON.format(d=_D, w=6)} AS this_weekend_sunday, {_ON.format(d=_D, w=5)} AS this_saturday, {_ON.format(d=_D, w=6)} AS this_sunday,
  {_ON.format(d=f"({_D} + 1)", w=0)} AS next_monday, {_ON.format(d=f"({_D} + 1)", w=4)} AS next_friday, {_ON.format(d=f"({_D} + 1)", w=5)} AS next_weekend FROM orders""")
 def relative_dates(spark: SparkSession, sf: str) -> DataFrame:
     day = F.to_date("o_orderdate")
