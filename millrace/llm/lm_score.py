@@ -6,7 +6,7 @@ given both sides.
 
 The vocabulary comes from the word counts of the whole corpus, and it and the network grow with the corpus. Words outside of it share buckets; such a
 word's probability is its bucket's times its own share of the bucket's count. The counts of all words stay a Spark table: the most frequent ones are
-broadcast, the others joined. Training is data-parallel: texts are dealt by their content to groups of nearly equal numbers of words; in each round a copy
+broadcast, the others joined. Every text is read once, into ids and its rare words; equal texts are one row of that table, for training and for scoring. Training is data-parallel: texts are dealt by their content to groups of nearly equal numbers of words; in each round a copy
 of the network is trained in numpy on each group, and the copies are averaged, weighted by the places seen. Groups and their order depend on the texts alone, so
 the scores don't depend on how rows lie in partitions.
 """
@@ -32,6 +32,8 @@ ROUNDS, STEP, RATE = 2, 8192, 0.1
 #: Words of a group, for the smallest vocabulary; copies that are averaged at once.
 GROUP, FAN = 2 << 20, 8
 _SIDES = (-2, -1, 1, 2)
+#: Longest run of rows that are added along with all runs of that length.
+_SHORT = 8
 #: Distinct words that a task counts before it passes them on.
 _COUNTED = 400_000
 #: Words whose counts are broadcast, those of the vocabulary included; counts of the others are joined.
@@ -82,10 +84,14 @@ class _Vocabulary(dict):
     def codes(self, ws: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, ws), np.int64, len(ws))
 
-    def of(self, text: str | None) -> np.ndarray:
-        """The network's ids of the words of a text."""
-        parts = [self.ids[self.codes(ws)] for ws in _words(text)]
-        return np.concatenate(parts) if parts else np.empty(0, np.int64)
+    def read(self, text: str | None) -> tuple[np.ndarray, Counter[bytes]]:
+        """The codes of the words of a text, and how often each word without a code of its own is found in it."""
+        parts, rare = [np.empty(0, np.int64)], Counter()
+        for ws in _words(text):
+            codes = self.codes(ws)
+            parts.append(codes)
+            rare.update(map(ws.__getitem__, np.flatnonzero(codes <= RARE).tolist()))
+        return np.concatenate(parts), rare
 
 
 def _bucket(word: bytes) -> int:
@@ -201,6 +207,23 @@ def log_probs(p: list[np.ndarray], context: np.ndarray, target: np.ndarray) -> n
     return out
 
 
+def _run_sums(x: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of the runs of rows of ``x`` that begin at ``first``: short ones with all others of their length, each long one as a product."""
+    n = np.diff(first, append=len(x))
+    out = np.empty((len(first), x.shape[1]), x.dtype)
+    for length in range(1, _SHORT + 1):
+        runs = np.flatnonzero(n == length)
+        at = first[runs]
+        total = x.take(at, axis=0)
+        for k in range(1, length):
+            total += x.take(at + k, axis=0)
+        out[runs] = total
+    ones = np.ones(n.max(), x.dtype)
+    for run in np.flatnonzero(n > _SHORT).tolist():
+        out[run] = ones[: n[run]] @ x[first[run] : first[run] + n[run]]
+    return out
+
+
 def _gradient(p: list[np.ndarray], context: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """Of the summed negative log-probability: rows of the embeddings (side * size + id) and their gradients, and the gradients of all others.
 
@@ -227,7 +250,7 @@ def _gradient(p: list[np.ndarray], context: np.ndarray, target: np.ndarray) -> t
     order = np.argsort(flat, kind="stable")
     flat = flat[order]
     first = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
-    return flat[first].astype(np.int64), np.add.reduceat(dh.take(order // len(_SIDES), axis=0), first, axis=0), [ones @ dh, *g]
+    return flat[first].astype(np.int64), _run_sums(dh.take(order // len(_SIDES), axis=0), first), [ones @ dh, *g]
 
 
 def _trainer(size: int, start, turn: int):
@@ -303,16 +326,39 @@ def _first(turn: int):
     return lambda ids: (turn + zlib.crc32(ids[:8].tobytes())) % ROUNDS
 
 
-def _encoder(sent, size: int):
-    """Texts as ids."""
+def _encoder(sent):
+    """Rows (key, text) as rows (key, ids, known, tail): the network's ids, what the counts of words with codes and of buckets say, and the words without a code."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, buckets = sent.value
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([sent.value.of(t.as_py()).astype(_id_kind(size)).tobytes() for t in batch.column(0)], pa.binary())], ["ids"])
+            texts, known, tail_words, tail_n, ends = [], [], [], [], [0]
+            for t in batch.column(1):
+                codes, rare = words.read(t.as_py())
+                ids = words.ids[codes]
+                texts.append(ids.astype(_id_kind(words.size)).tobytes())
+                known.append(float(words.shares[codes].sum() - buckets[ids[ids <= RARE]].sum()))
+                tail_words += rare.keys()
+                tail_n += rare.values()
+                ends.append(len(tail_words))
+            tail = pa.StructArray.from_arrays([pa.array(tail_words, pa.binary()), pa.array(tail_n, pa.int64())], ["word", "n"])
+            tails = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), tail)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary()), pa.array(known, pa.float64()), tails], ["key", "ids", "known", "tail"])
 
     return encode
 
 
+def _key(text: str):
+    return F.unhex(F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")), 256))
+
+
+def encode(docs: DataFrame, words: _Vocabulary, buckets: np.ndarray, text: str = "text") -> DataFrame:
+    """A settled row (key, copies, ids, known, tail) for each different text of ``docs``; null and empty are one text."""
+    sent = docs.sparkSession.sparkContext.broadcast((words, buckets))
+    read = docs.select(_key(text).alias("key"), F.col(f"`{text}`").alias("text")).mapInArrow(_encoder(sent), "key binary, ids binary, known double, tail array<struct<word:binary,n:long>>")
+    return settle(read.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("ids", "known", "tail")]), "encoded")
+
+
 def _mean(rows: list[tuple[int, bytes]]) -> tuple[int, bytes]:
     """The mean of weights, in the order given."""
     seen = sum(n for n, _ in rows)
@@ -346,23 +392,28 @@ def average(copies: DataFrame, groups: int) -> bytes | None:
 
 
 def train(docs: DataFrame, text: str = "text") -> Model:
-    """The vocabulary, the parameters and the word counts for the texts of ``docs``.
+    """The vocabulary, the parameters and the word counts for the texts of ``docs``."""
+    model, encoded = _learned(docs, text)
+    discard(encoded)
+    return model
+
+
+def _learned(docs: DataFrame, text: str) -> tuple[Model, DataFrame]:
+    """The model of ``docs`` and the table of their encoded texts.
 
     A round trains on every ROUNDS-th place of every text, each round from another start, so that all rounds together take every place of every text once.
     Equal texts are numbered, so that many copies of one are spread over the groups."""
     words, buckets, tail, n_words = vocabulary(docs, text)
     spark, now, size = docs.sparkSession, initial(words.size), words.size
     groups = max(1, n_words // (GROUP * size // VOCAB))
-    ids = docs.select(text).mapInArrow(_encoder(spark.sparkContext.broadcast(words), size), "ids binary").groupBy("ids").agg(F.count(F.lit(1)).alias("n"))
-    ids = settle(ids.withColumn("at", F.xxhash64("ids")), "trained-on")
-    copies = ids.select("ids", "at", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("copy")).withColumn("group", F.pmod(F.xxhash64("at", "copy"), F.lit(groups)))
+    encoded = encode(docs, words, buckets, text)
+    copies = encoded.select("ids", F.xxhash64("key").alias("at"), F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")).withColumn("group", F.pmod(F.xxhash64("at", "copy"), F.lit(groups)))
     dealt = copies.repartitionByRange(groups, "group").sortWithinPartitions("group", "at", "copy").select("group", "ids")
     for turn in range(ROUNDS):
         mean = average(dealt.mapInArrow(_trainer(size, spark.sparkContext.broadcast(now), turn), "group long, seen long, weights binary"), groups)
         if mean:
             now = np.frombuffer(mean, np.float32).copy()
-    discard(ids)
-    return Model(words, now, buckets, tail)
+    return Model(words, now, buckets, tail), encoded
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -370,13 +421,23 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     A null, empty or blank text has no word: 0, 0.0 and a null mean. Equal texts get equal scores, as scores are found by the text's digest; keys and
     other columns don't matter. An empty table gives an empty result, and a model trained on one is the initial network."""
-    sent = docs.sparkSession.sparkContext.broadcast(tuple(model[:3]))
+    return _scored(docs, encode(docs, model.words, model.buckets, text), model, text)
+
+
+def train_and_score(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` scored, as by ``score``, with a model trained on themselves; each text is read into ids once for both."""
+    model, encoded = _learned(docs, text)
+    return _scored(docs, encoded, model, text)
+
 
-    @F.arrow_udf("n_tokens long, log_prob double, tail array<struct<word:binary,n:long>>")
-    def scored(texts: pa.Array) -> pa.Array:
-        words, flat, buckets = sent.value
-        p, n, total, waiting, n_waiting = _unpack(flat, words.size), [], [], [], 0
-        tail_words, tail_n, ends = [], [], [0]
+def _scored(docs: DataFrame, encoded: DataFrame, model: Model, text: str) -> DataFrame:
+    """The scores of ``docs`` by their encoded texts, which are deleted."""
+    size = model.words.size
+    sent, kind = docs.sparkSession.sparkContext.broadcast(model.weights), np.dtype(_id_kind(size))
+
+    @F.arrow_udf("double")
+    def network(texts: pa.Array) -> pa.Array:
+        p, total, waiting, n_waiting = _unpack(sent.value, size), np.zeros(len(texts)), [], 0
 
         def flush() -> None:
             """Adds what the network says of the waiting texts."""
@@ -388,18 +449,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 total[row] += float(part.sum(dtype=np.float64))
 
         for row, t in enumerate(texts):
-            parts, rare = [], Counter()
-            for ws in _words(t.as_py()):
-                codes = words.codes(ws)
-                parts.append(codes)
-                rare.update(map(ws.__getitem__, np.flatnonzero(codes <= RARE).tolist()))
-            codes = np.concatenate(parts) if parts else np.empty(0, np.int64)
-            ids = words.ids[codes]
-            n.append(len(ids))
-            total.append(float(words.shares[codes].sum() - buckets[ids[ids <= RARE]].sum()))
-            tail_words += rare.keys()
-            tail_n += rare.values()
-            ends.append(len(tail_words))
+            ids = np.frombuffer(t.as_buffer(), kind).astype(np.int64)
             for at in np.split(np.arange(len(ids)), range(1 << 16, len(ids), 1 << 16)):
                 if len(at):
                     waiting.append((row, _contexts(ids, at), ids[at]))
@@ -409,16 +459,14 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                     n_waiting = 0
         if waiting:
             flush()
-        tail = pa.StructArray.from_arrays([pa.array(tail_words, pa.binary()), pa.array(tail_n, pa.int64())], ["word", "n"])
-        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(total, pa.float64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), tail)], ["n_tokens", "log_prob", "tail"])
-
+        return pa.array(total)
+
+    each = encoded.select("key", F.expr(f"octet_length(ids) div {kind.itemsize}").alias("n_tokens"), (F.col("known") + network("ids")).alias("net"))
+    rare = encoded.select("key", F.explode("tail").alias("t")).select("key", "t.word", F.col("t.n").alias("k")).join(model.tail, "word")
+    shares = rare.groupBy("key").agg(F.sum(F.col("k") * F.log("n")).alias("shares"))
+    by_text = each.join(shares, "key", "left").select(F.col("key").alias("_key"), "n_tokens", (F.col("net") + F.coalesce("shares", F.lit(0.0))).alias("log_prob"))
+    by_text = settle(by_text, "scored")
+    discard(encoded)
     own = [F.col(f"`{c}`") for c in docs.columns if c not in ("n_tokens", "log_prob", "mean_log_prob")]
-    key = F.unhex(F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")), 256)).alias("_key")
-    row = F.struct(*own).alias("_row")
-    read = settle(docs.select(key, scored(F.col(f"`{text}`")).alias("_s")).select("_key", "_s.*"), "scored")
-    each = read.groupBy("_key").agg(F.count(F.lit(1)).alias("_copies"), F.max("n_tokens").alias("n_tokens"), F.max("log_prob").alias("_net"))
-    counted = read.select("_key", F.explode("tail").alias("_t")).select("_key", "_t.word", F.col("_t.n").alias("k")).join(model.tail, "word")
-    shares = counted.groupBy("_key").agg(F.sum(F.col("k") * F.log("n")).alias("_shares"))  # over all copies of a text
-    by_text = each.join(shares, "_key", "left").select("_key", "n_tokens", (F.col("_net") + F.coalesce(F.col("_shares") / F.col("_copies"), F.lit(0.0))).alias("log_prob"))
-    out = docs.select(row, key).join(by_text, "_key").select("_row.*", "n_tokens", "log_prob")
+    out = docs.select(F.struct(*own).alias("_row"), _key(text).alias("_key")).join(by_text, "_key").select("_row.*", "n_tokens", "log_prob")
     return out.withColumn("mean_log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")))

@@ -64,7 +64,7 @@ def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    return lm_score.score(docs, lm_score.train(docs)).select("doc_id", "n_tokens", "log_prob", "mean_log_prob")
+    return lm_score.train_and_score(docs).select("doc_id", "n_tokens", "log_prob", "mean_log_prob")
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
