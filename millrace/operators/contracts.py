@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import text as tx
-from millrace.operators.decisions import SLOTS
+from millrace.operators.decisions import SLOTS, has_any
 from millrace.operators.rules import issues
 
 #: Scenarios in which a false authorization may be made of an answer.
@@ -137,3 +137,23 @@ def trainer_pair(messages: Column, chosen: Column, rejected: Column) -> dict[str
     """A preference pair in one turn: the whole prompt as JSON in one user message, and an answer on either side."""
     said = lambda who, value: F.struct(F.lit(who).alias("from"), value.alias("value"))
     return {"conversations": F.array(said("user", F.to_json(messages))), "chosen": said("assistant", chosen), "rejected": said("assistant", rejected)}
+
+
+#: Cues of what a turn asks for, one of which a rewrite must keep.
+INTENT_CUES = {
+    "modification": ("改成", "换", "换成", "改到", "调整", "从", "改为", "提到", "提高到", "不是", "说错", "纠正", "其实", "应该是"),
+    "requery": ("重新", "再查", "再帮", "重新帮我", "还有没有", "重新看看", "再看看"),
+    "confirmation": ("可以", "确认", "好的", "就这样", "就订", "订"),
+    "rejection": ("不订", "算了", "取消", "先别订", "不要"),
+}
+
+
+def lost_fact(values: Column, said: Column, rewritten: Column) -> Column:
+    """What a rewrite of a turn loses first, null if nothing: ``value`` (one of the turn's values), or an intent of which it keeps no cue.
+
+    Null and empty values aren't asked for; a null rewrite loses all."""
+    text = F.coalesce(rewritten, F.lit(""))
+    out = F.when(F.exists(F.array_compact(values), lambda v: (v != "") & ~F.contains(text, v)), "value")
+    for intent, cues in INTENT_CUES.items():
+        out = out.when(has_any(said, cues) & ~has_any(text, cues), intent)
+    return out

@@ -46,3 +46,10 @@ def test_cases_keys_and_cards(spark):
     df = spark.createDataFrame([(x,) for x in cards], "card string")
     got = [tuple(r) for r in df.select(*[c.scorecard_metrics(F.col("card"))[m] for m in ("protocol_pass_rate", "state_inheritance")]).collect()]
     assert got == [(0.0, None), (0.5, 0.25), (None, None)]
+
+
+def test_lost_facts(spark):
+    rows = [(["a", "b"], "x", "b a", None), (["a", "b"], "x", "b", "value"), ([None, ""], None, None, None), ([], "改成六点", "六点", "modification"), ([], "改成六点", "换六点", None), ([], "取消", "好的", "rejection"), ([], "可以", None, "confirmation"), ([], "再查", "还有没有", None)]
+    df = spark.createDataFrame(rows, "v array<string>, said string, again string, want string")
+    got = df.select("want", c.lost_fact(F.col("v"), F.col("said"), F.col("again")).alias("got")).collect()
+    assert all(r.want == r.got for r in got), got
