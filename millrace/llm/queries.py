@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm import chat_format, decontaminate, lm_score, mixing, near_dedup, quality, repeats, sharding, token_counts, url_filter
+from millrace.llm import chat_format, decontaminate, lm_score, mixing, near_dedup, nearest, quality, repeats, sharding, token_counts, url_filter, vector_codes, whitening
 from millrace.llm.common import read, settle
 from millrace.llm.oracle import ORACLE_SQL
 
@@ -72,4 +72,16 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(read(spark, sf_dir, "pages"), spark.createDataFrame(list(URL_RULES), kind))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_quality, op3_near_dedup, op4_mixing, op5_token_counts, op6_sharding, op7_chat_format, op8_repeats, op9_lm_score, op10_url_filter)}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
+def op12_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.encode(read(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_quality, op3_near_dedup, op4_mixing, op5_token_counts, op6_sharding, op7_chat_format, op8_repeats, op9_lm_score, op10_url_filter, op11_whitening, op12_nearest, op13_vector_codes)}
