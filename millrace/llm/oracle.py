@@ -99,3 +99,26 @@ SELECT p.page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM p LEFT
 """
 
 ORACLE_SQL = {"op1_decontaminate": OP1, "op2_quality": OP2, "op3_near_dedup": OP3, "op7_chat_format": OP7, "op10_url_filter": OP10}
+
+
+def _vector_codes(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Lloyd's rounds unrolled: a_r assigns with codebook b_r (the least of distance * entries + index), s_r and b_(r + 1) replace its entries."""
+    kept = "embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0"
+    out = f"""WITH e AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda c: CAST(floor(4096 * CAST(c AS DOUBLE)) AS BIGINT)) AS x FROM embeddings WHERE {kept}),
+p AS MATERIALIZED (SELECT vec_id, label, part, list_slice(x, part * (len(x) // {parts}) + 1, (part + 1) * (len(x) // {parts})) AS v FROM e, range({parts}) t(part)),
+k AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM e ORDER BY vec_id LIMIT {entries}),
+b0 AS MATERIALIZED (SELECT part, entry, v FROM p JOIN k USING (vec_id))"""
+    for r in range(rounds + 1):
+        out += f""",
+a{r} AS MATERIALIZED (SELECT vec_id, label, p.part, p.v, min(list_sum(list_transform(range(1, len(p.v) + 1), lambda i: (p.v[i] - b.v[i]) * (p.v[i] - b.v[i]))) * {entries} + entry) AS best FROM p JOIN b{r} b ON p.part = b.part GROUP BY ALL)"""
+        if r < rounds:
+            out += f""",
+s{r} AS (SELECT part, best % {entries} AS entry, i, sum(v[i]) AS s, count(*) AS n FROM a{r}, unnest(range(1, len(v) + 1)) u(i) GROUP BY ALL),
+n{r} AS (SELECT part, entry, list(CAST((s - (s % n + n) % n) // n AS BIGINT) ORDER BY i) AS v FROM s{r} GROUP BY part, entry),
+b{r + 1} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(n.v, b.v) AS v FROM b{r} b LEFT JOIN n{r} n ON b.part = n.part AND b.entry = n.entry)"""
+    return out + f""",
+c AS (SELECT vec_id, any_value(label) AS label, string_agg(lpad(lower(hex(CAST(best % {entries} AS BIGINT))), 2, '0'), '' ORDER BY part) AS code, CAST(sum(best // {entries}) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) FROM b{rounds}) AS codebooks_sha256 FROM c"""
+
+
+ORACLE_SQL["op13_vector_codes"] = _vector_codes()

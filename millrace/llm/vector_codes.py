@@ -51,11 +51,11 @@ class Books:
 
 def _above(x: np.ndarray) -> np.ndarray:
     """A single-precision number above a bound, whatever its rounding."""
-    return np.nextafter((x + np.abs(x) * 1e-9).astype(np.float32), np.float32(np.inf))
+    return np.nextafter((x * (1 + np.sign(x) * 1e-9)).astype(np.float32), np.float32(np.inf))
 
 
 def _below(x: np.ndarray) -> np.ndarray:
-    return np.nextafter((x - np.abs(x) * 1e-9).astype(np.float32), np.float32(-np.inf))
+    return np.nextafter((x * (1 - np.sign(x) * 1e-9)).astype(np.float32), np.float32(-np.inf))
 
 
 def _grouped(entries: np.ndarray, groups: int) -> np.ndarray:
