@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 #: Punctuation that normal forms drop, and cue words of the predicates.
 PUNCTUATION = "，。！？、；："
 AFFIRMATIVE = ("确认", "可以", "好的", "就这样", "确认预约")
+BLANK = r"[\s\x{1c}-\x{1f}\x{85}\p{Z}]"
 NEGATIVE_CUE = "不|别|取消"
 AFFIRMATIVE_PREFIX = "^(可以|确认|好的|行|没问题|就订|订|就这样|好，)"
 STRONG_TOKEN = "确认|没问题|就订|就他|就这个|就这样|可以，就"
@@ -46,9 +47,14 @@ def levenshtein_ratio(a: Column, b: Column) -> Column:
     return F.when(longer == 0, 1.0).otherwise(1 - F.levenshtein(a, b) / longer)
 
 
+def stripped(text: Column) -> Column:
+    """Without white space at both ends, Unicode's included."""
+    return F.regexp_replace(text, rf"^{BLANK}+|{BLANK}+$", "")
+
+
 def is_affirmative(text: Column) -> Column:
     """The exact list, then negation cues, then prefixes, then strong tokens: the first that applies decides."""
-    t = F.trim(text)
+    t = stripped(text)
     return F.when(t.isin(*AFFIRMATIVE), True).when(t.rlike(NEGATIVE_CUE), False).when(t.rlike(AFFIRMATIVE_PREFIX), True).when(t.rlike(STRONG_TOKEN), True).otherwise(False)
 
 

@@ -93,15 +93,15 @@ def latest_results(messages: DataFrame) -> DataFrame:
     """Per conversation the status, requested chef and order of chefs of its last tool result that answers an earlier call.
 
     ``messages`` has conv, pos, role (assistant or tool), call_id and content: a call's arguments or a result, as JSON. Chefs are the candidates, else the alternatives, else the one chef.
-    A result without its call before it proves nothing; of two at one position the greater counts."""
+    A result without its call before it proves nothing; of several calls of one id before it the last counts, and of two results at one position the greater."""
     one = "struct<chef_id:string>"
     result = F.from_json("content", f"struct<status:string,candidates:array<{one}>,alternatives:array<{one}>,chef:{one}>")
     calls = messages.where("role = 'assistant'").select("conv", "call_id", F.col("pos").alias("asked_at"), F.get_json_object("content", "$.chef_name").alias("requested"))
     results = messages.where("role = 'tool'").select("conv", "call_id", "pos", result.alias("r"))
     chefs = F.coalesce("r.candidates", "r.alternatives", F.when(F.col("r.chef").isNotNull(), F.array("r.chef")))
     order = F.coalesce(F.array_join(F.transform(chefs, lambda x: x["chef_id"]), ","), F.lit(""))
-    found = results.join(calls, ["conv", "call_id"]).where("asked_at < pos").select("conv", F.struct("pos", F.col("r.status").alias("status"), "requested", order.alias("chef_order")).alias("x"))
-    return found.groupBy("conv").agg(F.max("x").alias("x")).select("conv", "x.*")
+    found = results.join(calls, ["conv", "call_id"]).where("asked_at < pos").select("conv", F.struct("pos", "asked_at", F.col("r.status").alias("status"), "requested", order.alias("chef_order")).alias("x"))
+    return found.groupBy("conv").agg(F.max("x").alias("x")).select("conv", "x.*").drop("asked_at")
 
 
 def case_issues(cases: DataFrame, known: tuple[str, ...]) -> DataFrame:

@@ -1,7 +1,7 @@
 """Scores, assertions, critical tags and perturbations of predicted booking decisions.
 
-A case has nested columns: ``state`` (the slots that hold before the turn), ``expected`` and ``predicted`` (decisions), ``evidence`` (what tools proved), ``expects`` (what
-a reply must do) and the user's words. A decision has action, tool_name, arguments (slots), booking_state (slots, chef_id, confirmation), and the
+A case has nested columns: ``state`` (the slots that hold before the turn), ``expected`` and ``predicted`` (decisions), ``given`` (the keys that the prediction has, see
+``with_prediction``), ``evidence`` (what tools proved), ``expects`` (what a reply must do) and the user's words. A decision has action, tool_name, arguments (slots), booking_state (slots, chef_id, confirmation), and the
 fields of a final answer. Every rule is a column over one case, so a whole rule set is one pass without a shuffle.
 """
 
@@ -52,6 +52,17 @@ def has_any(text: Column, phrases: tuple[str, ...]) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(text, F.lit(p)) for p in phrases])
 
 
+def with_prediction(cases: DataFrame, raw: str) -> DataFrame:
+    """Adds ``predicted`` and ``given`` as read from a model's answer in the column ``raw``.
+
+    An answer that isn't a JSON object has no prediction: null. A null or empty answer is an empty object. ``given`` lists the keys of booking_state and of arguments, each null where that isn't an object;
+    a typed struct alone couldn't tell a key that is absent from one that is null."""
+    text = F.when(F.coalesce(F.col(raw), F.lit("")) == "", "{}").otherwise(F.col(raw))
+    is_object = F.coalesce(F.startswith(F.schema_of_variant(F.try_parse_json(text)), F.lit("OBJECT")), F.lit(False))
+    keys = F.struct(*[F.json_object_keys(F.get_json_object(text, f"$.{part}")).alias(part) for part in ("booking_state", "arguments")])
+    return cases.withColumns({"predicted": F.when(is_object, F.from_json(text, DECISION_TYPE)), "given": F.when(is_object, keys)})
+
+
 def _all_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions)
 
@@ -85,8 +96,9 @@ def final_checks() -> dict[str, Column]:
 def reply_checks() -> dict[str, Column]:
     """Each expectation: whether the reply meets it; null where it isn't expected."""
     t, want = F.coalesce(F.col("predicted.reply"), F.lit("")), lambda k: F.col(f"expects.{k}")
-    missing = F.coalesce(want("mentions_missing_info"), want("asks_missing_info"))
-    said = _all_of([~F.array_contains(missing, k) | has_any(t, phrases) for k, phrases in FIELD_PHRASES.items()])
+    # an empty list gives way to the other expectation
+    missing = F.when(F.size(want("mentions_missing_info")) > 0, want("mentions_missing_info")).otherwise(want("asks_missing_info"))
+    said = F.forall(missing, lambda k: reduce(lambda c, x: c.when(k == x[0], has_any(t, x[1])), FIELD_PHRASES.items(), F.when(F.lit(False), F.lit(False))).otherwise(F.contains(t, k)))
     flag = lambda k, ok: F.when(want(k), ok)
     given = lambda k, phrases: F.when(want(k).isNotNull(), F.contains(t, want(k)) & has_any(t, phrases))
     each = lambda k: F.forall(want(k), lambda x: F.contains(t, x))
@@ -118,23 +130,34 @@ def reply_score() -> Column:
 
 
 def structured_score() -> Column:
+    """Mean of the checks; 0 where there is no prediction."""
     mean = lambda checks: reduce(lambda a, b: a + b, checks.values()) / len(checks)
-    return F.when(F.col("expected.action") == "tool_call", mean(tool_checks())).otherwise(mean(final_checks()))
+    return F.when(F.col("predicted").isNull(), 0.0).when(F.col("expected.action") == "tool_call", mean(tool_checks())).otherwise(mean(final_checks()))
 
 
 def task_score() -> Column:
-    """0.7 of the structured checks and 0.3 of the reply, which counts as met for a tool call."""
+    """0.7 of the structured checks and 0.3 of the reply, which counts as met for a tool call; 0 where there is no prediction."""
     reply = F.when(F.col("expected.action") == "tool_call", 1.0).otherwise(reply_score())
-    return 0.7 * structured_score() + 0.3 * reply
+    return F.when(F.col("predicted").isNull(), 0.0).otherwise(0.7 * structured_score() + 0.3 * reply)
 
 
 def _verified() -> Column:
     return F.coalesce(F.array_contains("evidence.verified_ids", F.col("predicted.booking_state.chef_id")), F.lit(False))
 
 
-def _changed(slots: tuple[str, ...]) -> Column:
-    """A slot of the predicted state differs from what held before."""
-    return reduce(lambda a, b: a | b, [~F.col(f"predicted.booking_state.{s}").eqNullSafe(F.col(f"state.{s}")) for s in slots])
+def _has(part: str, slot: str) -> Column:
+    return F.coalesce(F.array_contains(f"given.{part}", slot), F.lit(False))
+
+
+def _changed(part: str = "booking_state") -> Column:
+    """A slot that the prediction gives differs from what held before. A slot that it leaves out doesn't."""
+    return reduce(lambda a, b: a | b, [_has(part, s) & ~F.col(f"predicted.{part}.{s}").eqNullSafe(F.col(f"state.{s}")) for s in SLOTS])
+
+
+def _query_changed() -> Column:
+    """Of a call its arguments count, else the state."""
+    on_call = F.col("predicted.action").eqNullSafe("tool_call") & F.col("given.arguments").isNotNull()
+    return F.when(on_call, _changed("arguments")).otherwise(_changed())
 
 
 def _claims_authorization() -> Column:
@@ -150,7 +173,8 @@ def _call_complete() -> Column:
 
 
 def _lost_diet() -> Column:
-    return F.size(F.array_except("expected.booking_state.dietary_constraints", "predicted.booking_state.dietary_constraints")) > 0
+    none = F.array().cast("array<string>")
+    return F.size(F.array_except(F.coalesce("expected.booking_state.dietary_constraints", none), F.coalesce("predicted.booking_state.dietary_constraints", none))) > 0
 
 
 def _order_broken() -> Column:
@@ -176,8 +200,8 @@ def assertions() -> dict[str, Column]:
         "dietary_inherited": ~final | ~_lost_diet(),
         "does_not_call_tool": ~call,
         "does_not_call_tool_before_required_slots": ~call | _call_complete(),
-        "invalidates_tool_facts": ~_changed(SLOTS) | (F.col(f"{p}.chef_id").isNull() & (F.coalesce(F.size("predicted.candidate_chefs"), F.lit(0)) == 0)),
-        "mutation_dominates_confirmation": ~(confirms & _changed(SLOTS) & F.coalesce(F.col(f"{p}.confirmation"), F.lit(False))),
+        "invalidates_tool_facts": ~_changed() | (F.col(f"{p}.chef_id").isNull() & (F.coalesce(F.size("predicted.candidate_chefs"), F.lit(0)) == 0)),
+        "mutation_dominates_confirmation": ~(confirms & _changed() & F.coalesce(F.col(f"{p}.confirmation"), F.lit(False))),
         "no_booking_success_claim": ~has_any(F.coalesce(F.col("predicted.reply"), F.lit("")), SUCCESS_IN_REPLY),
         "no_fabricated_chef": grounded,
         "no_tool_retry": ~call,
@@ -201,18 +225,18 @@ def run_assertions(cases: DataFrame, names: list[str] | None = None) -> DataFram
 def critical_tags() -> Column:
     """The critical errors of a case, sorted."""
     p, reply = "predicted.booking_state", F.coalesce(F.col("predicted.reply"), F.lit(""))
-    chef, requested = F.col(f"{p}.chef_id").isNotNull(), F.col("evidence.requested_chef")
+    chef, requested = F.coalesce(F.col(f"{p}.chef_id") != "", F.lit(False)), F.col("evidence.requested_chef")
     named = F.col(f"{p}.chef_name").eqNullSafe(requested)
     reverses = has_any(reply, ("可以吃", "能吃")) & F.exists("expected.booking_state.dietary_constraints", lambda x: F.contains(reply, F.replace(x, F.lit("不吃"), F.lit(""))))
     given = F.col("predicted.action").eqNullSafe("tool_call")
-    # of the state, or of the call's arguments where there is no state
-    now = lambda s: F.when(F.col(p).isNotNull(), F.col(f"{p}.{s}")).otherwise(F.col(f"predicted.arguments.{s}"))
+    # of the state, or of the call's arguments where the state doesn't give it
+    now = lambda s: F.when(_has("booking_state", s), F.col(f"{p}.{s}")).otherwise(F.col(f"predicted.arguments.{s}"))
     stale = reduce(lambda a, b: a | b, [F.coalesce(now(s) != F.col(f"state.{s}"), now(s).isNotNull()) for s in SLOTS[1:]])
     found = issues(
         ("chef_fabrication", chef & ~_verified() & ~named),
         ("unavailable_to_available", chef & (F.col("evidence.latest_status") == "unavailable") & requested.isNotNull() & named),
         ("dietary_constraint_loss_or_reversal", (F.col("expected.action") == "final") & (_lost_diet() | reverses)),
-        ("unauthorized_booking", _claims_authorization() & ~(_allowed() & ~_changed(SLOTS))),
+        ("unauthorized_booking", _claims_authorization() & ~(_allowed() & ~_query_changed())),
         ("claim_booking_success", has_any(reply, SUCCESS_CLAIMS)),
         ("stale_chef_id", chef & stale),
         ("premature_find_chefs", given & ~_call_complete()),

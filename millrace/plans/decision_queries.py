@@ -1,7 +1,7 @@
 """Queries that score, assert, flag and perturb whole booking decisions, nested as the rules expect them.
 
 The test tables hold no such decisions, so ``cases`` makes one from each order and its lines; predictions differ from what is expected in every field, by rules on the order's key.
-A prediction is written as JSON and read back, as a model's answer would be.
+A prediction is written as JSON, some without their null fields and some not as an object, and read back, as a model's answer would be.
 """
 
 from __future__ import annotations
@@ -50,6 +50,8 @@ def cases(spark: SparkSession, sf: str) -> DataFrame:
     }
     expected = state | {"people": F.when(k % 12 == 0, F.col("people") + 1).otherwise(F.col("people"))}
     predicted = expected | {
+        "start_time": F.when(k % 33 == 0, F.lit("00:00")).otherwise(s("start_time")), "people": F.when(k % 35 == 0, F.lit(20)).otherwise(expected["people"]), "address": F.when(k % 38 == 0, F.lit("elsewhere")).otherwise(s("address")), "budget_min": F.when(k % 39 != 0, state["budget_min"]),
+        "ingredient_purchase": F.when(k % 45 == 0, F.lit(True)).otherwise(state["ingredient_purchase"]),
         "chef_name": F.when(k % 37 == 0, F.lit("name-x")).otherwise(s("name")), "service_date": F.when(k % 14 == 0, F.lit("2026-01-01")).otherwise(s("service_date")), "cuisine": F.when(k % 10 == 1, F.array(F.lit("四川菜"))).otherwise(state["cuisine"]),
         "budget_max": F.when(k % 15 != 0, state["budget_max"]), "menu": F.when(k % 9 == 0, none).otherwise(state["menu"]), "dietary_constraints": s("said_diet"), "occasion": F.when(k % 20 == 0, F.array(F.lit("生日宴"))).otherwise(state["occasion"]),
     }
@@ -65,36 +67,48 @@ def cases(spark: SparkSession, sf: str) -> DataFrame:
 
     reply_type = F.when(k % 13 == 0, "booking_authorized").when(F.col("unrelated"), "handoff").otherwise("acknowledge_result")
     right = decision(expected, s("call"), chef(F.get("tool_ids", F.lit(0))), k % 13 == 0, s("query_status"), s("order_ids"), F.size("missing") == 0, s("unrelated"), s("missing"), reply_type, text("好的"))
-    told = decision(predicted, F.when(k % 16 == 5, ~s("call")).otherwise(s("call")), F.when(k % 29 == 0, F.lit("chef_x")).when(k % 31 != 0, chef(F.get("tool_ids", F.lit(0)))), k % 26 == 0, F.when(k % 11 == 0, "not_checked").otherwise(s("query_status")),
-                    F.when(k % 21 == 0, none).otherwise(s("told_ids")), F.size("missing") == 0, F.when(k % 46 == 0, ~s("unrelated")).otherwise(s("unrelated")), F.when(k % 18 == 0, none).otherwise(s("missing")), reply_type, pick(_REPLIES, k))
+    told = decision(predicted, F.when((k % 16 == 5) | (k % 12 == 2), ~s("call")).otherwise(s("call")), F.when(k % 29 == 0, F.lit("chef_x")).when(k % 31 != 0, chef(F.get("tool_ids", F.lit(0)))), k % 26 == 0, F.when(k % 11 == 0, "not_checked").otherwise(s("query_status")),
+                    F.when(k % 21 == 0, none).otherwise(s("told_ids")), (F.size("missing") == 0) != (k % 47 == 0), F.when(k % 46 == 0, ~s("unrelated")).otherwise(s("unrelated")), F.when(k % 18 == 0, none).otherwise(s("missing")), F.when(k % 51 == 0, "handoff").otherwise(reply_type), pick(_REPLIES, k))
+    raw = F.when(k % 3 == 0, F.to_json(told)).otherwise(F.to_json(told, {"ignoreNullFields": "false"}))
+    raw = F.when(k % 41 == 7, F.concat(F.lit("```json"), raw)).when(k % 43 == 9, F.concat(F.lit("["), raw, F.lit("]"))).when(k % 53 != 0, raw)
     asked = lambda n: (k % 17 == n) | (F.floor(k / 17) % 17 == n)
     values = {"asks_confirmation_for": F.lit("chef"), "asks_missing_info": s("missing"), "mentions_missing_info": s("missing"), "mentions_candidates": F.array(F.lit("候选")), "mentions_unavailable": F.lit("替代"), "preserves_candidate_order": s("told_ids"), "preserves_dietary": s("diet")}
     expects = F.struct(*[F.when(asked(n), values.get(e, F.lit(True))).alias(e) for n, e in enumerate(_EXPECTATIONS)])
     evidence = F.struct(s("query_status").alias("latest_status"), F.when(k % 7 != 0, s("name")).alias("requested_chef"), s("order_ids").alias("verified_ids"), s("order_ids").alias("candidate_order"))
-    return r.select(
-        "id", F.concat(F.lit("case_"), k.cast("string")).alias("case_id"), struct(state).alias("state"), right.alias("expected"), F.from_json(F.to_json(told), d.DECISION_TYPE).alias("predicted"), evidence.alias("evidence"), expects.alias("expects"),
+    made = r.select(
+        "id", F.concat(F.lit("case_"), k.cast("string")).alias("case_id"), struct(state).alias("state"), right.alias("expected"), raw.alias("answer"), evidence.alias("evidence"), expects.alias("expects"),
         pick(_SAID, k).alias("user_input"), (k % 3 != 1).alias("awaiting_confirmation"), pick(_SCENARIOS, k).alias("scenario"), s("confirms").alias("user_confirms"),
         F.struct(F.when(k % 3 == 0, "today").when(k % 9 == 2, "next_monday").when(k % 21 == 5, "tomorrow").alias("expression"), F.concat("service_date", F.lit("T10:00")).alias("base")).alias("relative"),
         F.when(k % 2 == 0, F.array(F.lit("dietary_constraints"))).otherwise(none).alias("preserved"), F.struct("mode", "status", (k % 25 < 9).alias("retryable"), s("order_ids").alias("ids")).alias("tool"),
     )
+    return d.with_prediction(made, "answer")
 
 
 def _sql_pick(values: tuple[str, ...]) -> str:
     return "([" + ", ".join(f"'{v}'" for v in values) + f"])[CAST(id % {len(values)} + 1 AS INT)]"
 
 
-#: The cases as flat columns: what held before (s_), what is expected (e_) and what was predicted (p_).
+#: Slots of the cases in SQL: what holds before, and what is predicted (None: as before).
+_SLOTS = {
+    "name": ("name", "CASE WHEN id % 37 = 0 THEN 'name-x' ELSE name END"), "date": ("service_date", "CASE WHEN id % 14 = 0 THEN '2026-01-01' ELSE service_date END"), "time": ("start_time", "CASE WHEN id % 33 = 0 THEN '00:00' ELSE start_time END"),
+    "people": ("people", "CASE WHEN id % 35 = 0 THEN 20 ELSE e_people END"), "address": ("address", "CASE WHEN id % 38 = 0 THEN 'elsewhere' ELSE address END"), "cuisine": ("cuisine", "CASE WHEN id % 10 = 1 THEN ['四川菜'] ELSE cuisine END"),
+    "min": ("b_min", "CASE WHEN id % 39 <> 0 THEN b_min END"), "max": ("b_max", "CASE WHEN id % 15 <> 0 THEN b_max END"), "menu": ("menu", "CASE WHEN id % 9 = 0 THEN [] ELSE menu END"), "buys": ("buys", "CASE WHEN id % 45 = 0 THEN true ELSE buys END"),
+    "diet": ("diet", "said_diet"), "occ": ("occ", "CASE WHEN id % 20 = 0 THEN ['生日宴'] ELSE occ END"),
+}
+_BY_MEANING = ("cuisine", "menu", "diet", "occ")
+#: Fields of a predicted answer, null in a call and where there is no prediction; some answers have lost their null fields (bare).
+_ANSWER = {
+    "chef": "CASE WHEN id % 29 = 0 THEN 'chef_x' WHEN id % 31 <> 0 THEN e_chef END", "conf": "id % 26 = 0", "type": "CASE WHEN id % 51 = 0 THEN 'handoff' ELSE reply_type END", "status": "CASE WHEN id % 11 = 0 THEN 'not_checked' ELSE latest END",
+    "cand": "CASE WHEN id % 21 = 0 THEN [] ELSE told_ids END", "unrelated": "CASE WHEN id % 46 = 0 THEN NOT unrelated ELSE unrelated END", "missing": "CASE WHEN id % 18 = 0 THEN [] ELSE missing END", "complete": "(len(missing) = 0) <> (id % 47 = 0)", "said": "reply",
+}
 _CASES = _RECORDS + f""", c0 AS (SELECT r.*, query_status, coalesce(query_status, 'not_checked') AS latest, list_transform(tool_ids, lambda x: 'chef_' || x) AS order_ids, list_transform(said_ids, lambda x: 'chef_' || x) AS told_ids,
- CASE WHEN mode = 'specific' THEN 'name-' || chef_id END AS name, id % 4 = 1 AS call FROM r LEFT JOIN st USING (mode, status)),
-c1 AS (SELECT *, CASE WHEN id % 16 = 5 THEN NOT call ELSE call END AS p_call, CASE WHEN id % 7 <> 0 THEN name END AS requested, {_sql_pick(_SAID)} AS said, id % 3 <> 1 AS awaiting, CASE WHEN id % 12 = 0 THEN people + 1 ELSE people END AS e_people,
- CASE WHEN id % 37 = 0 THEN 'name-x' ELSE name END AS p_name, CASE WHEN id % 14 = 0 THEN '2026-01-01' ELSE service_date END AS p_date, CASE WHEN id % 5 < 2 THEN ['川菜'] ELSE [] END AS cuisine, CASE WHEN id % 10 = 1 THEN ['四川菜'] WHEN id % 5 < 2 THEN ['川菜'] ELSE [] END AS p_cuisine,
- CASE WHEN id % 3 = 0 THEN id % 7 * 100 + 1000 END AS b_max, CASE WHEN id % 3 = 0 AND id % 15 <> 0 THEN id % 7 * 100 + 1000 END AS p_max, CASE WHEN id % 6 = 0 THEN ['鱼', '汤'] ELSE [] END AS menu, CASE WHEN id % 6 = 0 AND id % 9 <> 0 THEN ['鱼', '汤'] ELSE [] END AS p_menu,
- CASE WHEN id % 10 = 0 THEN ['生日'] ELSE [] END AS occ, CASE WHEN id % 20 = 0 THEN ['生日宴'] WHEN id % 10 = 0 THEN ['生日'] ELSE [] END AS p_occ, 'chef_' || tool_ids[1] AS e_chef,
+ CASE WHEN mode = 'specific' THEN 'name-' || chef_id END AS name, id % 4 = 1 AS call, id % 53 = 0 AS empty, id % 53 <> 0 AND false AS no, id % 41 = 7 OR id % 43 = 9 AS bad, id % 3 = 0 AS bare FROM r LEFT JOIN st USING (mode, status)),
+c1 AS (SELECT *, NOT bad AND NOT empty AND CASE WHEN id % 16 = 5 OR id % 12 = 2 THEN NOT call ELSE call END AS p_call, NOT bad AND NOT empty AND CASE WHEN id % 16 = 5 OR id % 12 = 2 THEN call ELSE NOT call END AS p_final,
+ CASE WHEN id % 7 <> 0 THEN name END AS requested, {_sql_pick(_SAID)} AS said, id % 3 <> 1 AS awaiting, CASE WHEN id % 12 = 0 THEN people + 1 ELSE people END AS e_people, CASE WHEN id % 5 < 2 THEN ['川菜'] ELSE [] END AS cuisine, id % 7 * 100 AS b_min,
+ CASE WHEN id % 3 = 0 THEN id % 7 * 100 + 1000 END AS b_max, CASE WHEN id % 6 = 0 THEN ['鱼', '汤'] ELSE [] END AS menu, id % 8 = 0 AS buys, CASE WHEN id % 10 = 0 THEN ['生日'] ELSE [] END AS occ, 'chef_' || tool_ids[1] AS e_chef,
  CASE WHEN id % 13 = 0 THEN 'booking_authorized' WHEN unrelated THEN 'handoff' ELSE 'acknowledge_result' END AS reply_type, {_sql_pick(_REPLIES)} AS reply FROM c0),
-c AS (SELECT *, CASE WHEN NOT p_call THEN CASE WHEN id % 29 = 0 THEN 'chef_x' WHEN id % 31 <> 0 THEN e_chef END END AS p_chef, NOT p_call AND id % 26 = 0 AS p_conf, CASE WHEN NOT p_call THEN reply_type END AS p_type,
- CASE WHEN NOT p_call THEN CASE WHEN id % 11 = 0 THEN 'not_checked' ELSE latest END END AS p_status, CASE WHEN NOT p_call THEN CASE WHEN id % 21 = 0 THEN [] ELSE told_ids END END AS p_cand, CASE WHEN NOT p_call THEN CASE WHEN id % 46 = 0 THEN NOT unrelated ELSE unrelated END END AS p_unrelated,
- CASE WHEN NOT p_call THEN CASE WHEN id % 18 = 0 THEN [] ELSE missing END END AS p_missing, CASE WHEN p_call THEN '' ELSE reply END AS p_reply FROM c1)
-"""
+c AS (SELECT *, {', '.join(f"CASE WHEN p_call OR p_final THEN {p} END AS p_{n}" for n, (_, p) in _SLOTS.items())}, {', '.join(f"CASE WHEN p_final THEN {x} END AS p_{n}" for n, x in _ANSWER.items())}, coalesce(CASE WHEN p_final THEN reply END, '') AS p_reply FROM c1)
+""".replace(", id % 53 <> 0 AND false AS no", "")
 
 
 def _any(column: str, phrases: tuple[str, ...]) -> str:
@@ -104,7 +118,7 @@ def _any(column: str, phrases: tuple[str, ...]) -> str:
 _ASKED = {e: f"(id % 17 = {n} OR id // 17 % 17 = {n})" for n, e in enumerate(_EXPECTATIONS)}
 _FIELDS = " AND ".join(f"(NOT list_contains(missing, '{k}') OR {_any('p_reply', v)})" for k, v in d.FIELD_PHRASES.items())
 _CHECKS = {
-    f"({_ASKED['mentions_missing_info']} OR {_ASKED['asks_missing_info']})": _FIELDS,
+    f"(({_ASKED['mentions_missing_info']} AND len(missing) > 0) OR {_ASKED['asks_missing_info']})": _FIELDS,
     _ASKED["asks_confirmation_for"]: f"contains(p_reply, 'chef') AND {_any('p_reply', d.CONFIRMATION)}",
     _ASKED["mentions_candidates"]: "contains(p_reply, '候选')",
     _ASKED["mentions_unavailable"]: f"contains(p_reply, '替代') AND {_any('p_reply', d.UNAVAILABLE)}",
@@ -141,15 +155,20 @@ def _same(e: str, p: str) -> str:
     return f"CAST({e} IS NOT DISTINCT FROM {p} AS INT)"
 
 
-_SLOT_SQL = [_same("name", "p_name"), _same("service_date", "p_date"), "4", _same("b_max", "p_max"), "1", _meaning("cuisine", "p_cuisine"), _meaning("menu", "p_menu"), _meaning("diet", "said_diet"), _meaning("occ", "p_occ")]
-_NO = {"name": _same("name", "NULL"), "date": _same("service_date", "NULL"), "time": _same("start_time", "NULL"), "people": _same("e_people", "NULL"), "address": _same("address", "NULL"), "max": _same("b_max", "NULL")}
-_EMPTY = " + ".join([*_NO.values(), *(f"CAST(len({x}) = 0 AS INT)" for x in ("cuisine", "menu", "diet", "occ"))])
-_FINAL = [_same("e_chef", "p_chef"), _same("id % 13 = 0", "p_conf"), _same("latest", "p_status"), _same("order_ids", "p_cand"), "1", _same("unrelated", "p_unrelated"), _same("missing", "p_missing"), "1"]
-_STRUCTURED = f"""CASE WHEN call AND p_call THEN (2 + {' + '.join(_SLOT_SQL)}) / 14 WHEN call THEN ({_EMPTY}) / 14 WHEN NOT p_call THEN (1 + {' + '.join(_SLOT_SQL)} + {' + '.join(_FINAL)}) / 21
- ELSE ({_EMPTY} + {_same('e_chef', 'NULL')}) / 21 END"""
+def _slot(n: str, e: str, p: str) -> str:
+    return _meaning(e, p) if n in _BY_MEANING else _same(e, p)
+
+
+_EXPECTED = {n: "e_people" if n == "people" else e for n, (e, _) in _SLOTS.items()}
+_SLOT_SQL = " + ".join(_slot(n, e, f"p_{n}") for n, e in _EXPECTED.items())
+_NO_SLOTS = " + ".join(_slot(n, e, "[]" if n in _BY_MEANING else "NULL") for n, e in _EXPECTED.items())
+_RIGHT = {"e_chef": "p_chef", "id % 13 = 0": "p_conf", "latest": "p_status", "order_ids": "p_cand", "len(missing) = 0": "p_complete", "unrelated": "p_unrelated", "missing": "p_missing", "reply_type": "p_type"}
+_FINAL = " + ".join(_same(e, p) for e, p in _RIGHT.items())
+_NO_FINAL = " + ".join(_same(e, "NULL") for e in _RIGHT)
+_STRUCTURED = f"""CASE WHEN bad THEN 0 WHEN call AND p_call THEN (2 + {_SLOT_SQL}) / 14 WHEN call THEN ({_NO_SLOTS}) / 14 WHEN p_final THEN (1 + {_SLOT_SQL} + {_FINAL}) / 21 ELSE ({_NO_SLOTS} + {_NO_FINAL}) / 21 END"""
 
 
-@query(_CASES + f"""SELECT id, CASE WHEN call THEN 14 ELSE 21 END AS n_checks, round({_STRUCTURED}, 6) AS structured, round(0.7 * ({_STRUCTURED}) + 0.3 * CASE WHEN call OR {_OF} = 0 THEN 1 ELSE ({_MET}) / ({_OF}) END, 6) AS score FROM c""")
+@query(_CASES + f"""SELECT id, CASE WHEN call THEN 14 ELSE 21 END AS n_checks, round({_STRUCTURED}, 6) AS structured, round(0.7 * ({_STRUCTURED}) + 0.3 * CASE WHEN bad THEN 0 WHEN call OR {_OF} = 0 THEN 1 ELSE ({_MET}) / ({_OF}) END, 6) AS score FROM c""")
 def decision_scores(spark: SparkSession, sf: str) -> DataFrame:
     """All 14 checks of a tool call or 21 of a final answer, and the score with the reply."""
     n = F.when(F.col("expected.action") == "tool_call", len(d.tool_checks())).otherwise(len(d.final_checks()))
@@ -157,13 +176,14 @@ def decision_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _SAYS = "(said IN ('确认', '可以', '好的', '就这样', '确认预约'))"
-_MOVED = """(NOT p_call AND (name IS DISTINCT FROM p_name OR service_date IS DISTINCT FROM p_date OR people IS DISTINCT FROM e_people OR cuisine <> p_cuisine OR b_max IS DISTINCT FROM p_max OR menu <> p_menu OR diet <> said_diet OR occ <> p_occ))"""
-_DIFFERS = f"(p_call OR {_MOVED})"  # a call has no state, and the lowest budget before is never null
+#: A slot that the prediction gives (a bare answer gives no null) is other than before.
+_OTHER = "(" + " OR ".join(f"((NOT bare OR p_{n} IS NOT NULL) AND p_{n} IS DISTINCT FROM {e})" for n, (e, _) in _SLOTS.items()) + ")"
+_MOVED, _DIFFERS = f"(p_final AND {_OTHER})", f"((p_final OR p_call) AND {_OTHER})"
 _VERIFIED = "coalesce(list_contains(order_ids, p_chef), false)"
-_CLAIMS = "(p_conf OR coalesce(p_type = 'booking_authorized', false))"
+_CLAIMS = "(coalesce(p_conf, false) OR coalesce(p_type = 'booking_authorized', false))"
 _ALLOWED = f"(awaiting AND {_SAYS} AND {_VERIFIED})"
-_COMPLETE = "(p_call AND p_date IS NOT NULL AND start_time IS NOT NULL AND e_people IS NOT NULL AND address IS NOT NULL)"
-_KEPT_DIET = "(call OR (NOT p_call AND list_has_all(said_diet, diet)))"
+_COMPLETE = "(p_call AND p_date IS NOT NULL AND p_time IS NOT NULL AND p_people IS NOT NULL AND p_address IS NOT NULL)"
+_KEPT_DIET = "(call OR list_has_all(CASE WHEN p_final THEN p_diet ELSE [] END, diet))"
 _BROKEN = "(coalesce(len(p_cand), 0) > 0 AND p_cand <> order_ids)"
 _ASSERTS = {
     "asks_missing_info": "call OR list_has_all(coalesce(p_missing, []), missing)",
@@ -171,18 +191,18 @@ _ASSERTS = {
     "calls_find_chefs_after_required_slots": _COMPLETE,
     "tool_fact_grounded": f"p_chef IS NULL OR {_VERIFIED}",
     "candidate_order_preserved": f"NOT {_BROKEN}",
-    "dietary_inherited": "call OR list_has_all(CASE WHEN p_call THEN [] ELSE said_diet END, diet)",
+    "dietary_inherited": _KEPT_DIET,
     "does_not_call_tool": "NOT p_call",
     "does_not_call_tool_before_required_slots": f"NOT p_call OR {_COMPLETE}",
-    "invalidates_tool_facts": f"NOT {_DIFFERS} OR (p_chef IS NULL AND coalesce(len(p_cand), 0) = 0)",
-    "mutation_dominates_confirmation": f"NOT (({_SAYS} OR contains(said, '确认')) AND {_DIFFERS} AND p_conf)",
+    "invalidates_tool_facts": f"NOT {_MOVED} OR (p_chef IS NULL AND coalesce(len(p_cand), 0) = 0)",
+    "mutation_dominates_confirmation": f"NOT (({_SAYS} OR contains(said, '确认')) AND {_MOVED} AND coalesce(p_conf, false))",
     "no_booking_success_claim": f"NOT {_any('p_reply', d.SUCCESS_IN_REPLY)}",
     "no_fabricated_chef": f"p_chef IS NULL OR {_VERIFIED}",
     "no_tool_retry": "NOT p_call",
     "no_unauthorized_booking": f"NOT {_CLAIMS} OR {_ALLOWED}",
     "invalid_json": "false",
     "protocol_invalid_json": "false",
-    "unavailable_requested_chef_not_selected": "NOT (latest = 'unavailable' AND requested IS NOT NULL AND NOT p_call AND p_name IS NOT DISTINCT FROM requested)",
+    "unavailable_requested_chef_not_selected": "NOT (latest = 'unavailable' AND requested IS NOT NULL AND p_final AND p_name IS NOT DISTINCT FROM requested)",
     "unrelated_handoff": "coalesce(p_unrelated, false) = coalesce(p_type = 'handoff', false)",
 }
 
@@ -194,11 +214,11 @@ def assertion_results(spark: SparkSession, sf: str) -> DataFrame:
     return a.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.count_if("passed").alias("n_passed"))
 
 
-_STALE = "(NOT p_call AND (p_date <> coalesce(service_date, '') OR (e_people IS NOT NULL AND e_people IS DISTINCT FROM people) OR cuisine <> p_cuisine OR menu <> p_menu OR diet <> said_diet OR occ <> p_occ))"
+_STALE = "(" + " OR ".join(f"(p_{n} IS NOT NULL AND p_{n} IS DISTINCT FROM {e})" for n, (e, _) in _SLOTS.items() if n != "name") + ")"
 _TAGS = {
     "chef_fabrication": f"p_chef IS NOT NULL AND NOT {_VERIFIED} AND p_name IS DISTINCT FROM requested",
     "unavailable_to_available": "p_chef IS NOT NULL AND latest = 'unavailable' AND requested IS NOT NULL AND p_name IS NOT DISTINCT FROM requested",
-    "dietary_constraint_loss_or_reversal": "NOT call AND (NOT list_has_all(CASE WHEN p_call THEN [] ELSE said_diet END, diet) OR ((contains(p_reply, '可以吃') OR contains(p_reply, '能吃')) AND len(list_filter(diet, lambda x: contains(p_reply, replace(x, '不吃', '')))) > 0))",
+    "dietary_constraint_loss_or_reversal": f"NOT call AND (NOT {_KEPT_DIET} OR ((contains(p_reply, '可以吃') OR contains(p_reply, '能吃')) AND len(list_filter(diet, lambda x: contains(p_reply, replace(x, '不吃', '')))) > 0))",
     "unauthorized_booking": f"{_CLAIMS} AND NOT ({_ALLOWED} AND NOT {_DIFFERS})",
     "claim_booking_success": _any("p_reply", d.SUCCESS_CLAIMS),
     "stale_chef_id": f"p_chef IS NOT NULL AND {_STALE}",
@@ -213,17 +233,17 @@ def critical_tags(spark: SparkSession, sf: str) -> DataFrame:
     return cases(spark, sf).select("id", F.array_join(d.critical_tags(), ",").alias("tags"))
 
 
-_POLICY = " OR ".join(f"(scenario = '{k}' AND reply_type IN ({', '.join(repr(x) for x in v)}))" for k, v in d.REPLY_POLICY.items())
+_POLICY = " OR ".join(f"(scenario = '{k}' AND p_type IN ({', '.join(repr(x) for x in v)}))" for k, v in d.REPLY_POLICY.items())
 _DUE = "CASE WHEN id % 3 = 0 THEN CAST(service_date AS DATE) WHEN id % 9 = 2 THEN CAST(service_date AS DATE) + CAST(8 - isodow(CAST(service_date AS DATE)) AS INT) WHEN id % 21 = 5 THEN CAST(service_date AS DATE) + 1 END"
-_OUR_MISSING = "list_filter([CASE WHEN p_date IS NULL THEN 'service_date' END, CASE WHEN start_time IS NULL THEN 'start_time' END, CASE WHEN e_people IS NULL THEN 'people' END, CASE WHEN address IS NULL THEN 'address' END], lambda x: x IS NOT NULL)"
+_OUR_MISSING = "list_filter([CASE WHEN p_date IS NULL THEN 'service_date' END, CASE WHEN p_time IS NULL THEN 'start_time' END, CASE WHEN p_people IS NULL THEN 'people' END, CASE WHEN p_address IS NULL THEN 'address' END], lambda x: x IS NOT NULL)"
 _SEMANTIC = {
     "relative_time": f"p_date <> strftime({_DUE}, '%Y-%m-%d')",
-    "tool_fact_grounding": "NOT p_call AND ((p_chef IS NOT NULL AND NOT list_contains(order_ids, p_chef)) OR NOT list_has_all(order_ids, p_cand))",
-    "candidate_order": "NOT p_call AND list_filter(p_cand, lambda x: list_contains(order_ids, x)) <> list_filter(order_ids, lambda x: list_contains(p_cand, x))",
-    "dietary": "id % 2 = 0 AND said_diet IS DISTINCT FROM diet",
-    "confirmation": "NOT p_call AND ((scenario = 'explicit_confirmation' AND NOT p_conf) OR (reply_type = 'booking_authorized' AND scenario <> 'explicit_confirmation' AND NOT confirms))",
-    "reply_policy": f"NOT p_call AND scenario <> 'other' AND NOT ({_POLICY} OR (scenario = 'tool_error' AND id % 25 < 9 AND reply_type = 'acknowledge_result'))",
-    "decision_consistency": f"NOT p_call AND ({_OUR_MISSING} <> p_missing OR (len(missing) = 0) <> (len({_OUR_MISSING}) = 0) OR (p_status = 'matched' AND len(p_cand) = 0) OR (p_status = 'no_match' AND len(p_cand) > 0) OR (query_status IS NOT NULL AND query_status <> p_status))",
+    "tool_fact_grounding": "p_final AND ((p_chef IS NOT NULL AND NOT list_contains(order_ids, p_chef)) OR NOT list_has_all(order_ids, p_cand))",
+    "candidate_order": "p_final AND list_filter(p_cand, lambda x: list_contains(order_ids, x)) <> list_filter(order_ids, lambda x: list_contains(p_cand, x))",
+    "dietary": "id % 2 = 0 AND p_diet IS DISTINCT FROM diet",
+    "confirmation": "p_final AND ((scenario = 'explicit_confirmation' AND NOT p_conf) OR (p_type = 'booking_authorized' AND scenario <> 'explicit_confirmation' AND NOT confirms))",
+    "reply_policy": f"p_final AND scenario <> 'other' AND NOT ({_POLICY} OR (scenario = 'tool_error' AND id % 25 < 9 AND p_type = 'acknowledge_result'))",
+    "decision_consistency": f"p_final AND ({_OUR_MISSING} <> p_missing OR p_complete <> (len({_OUR_MISSING}) = 0) OR (p_status = 'matched' AND len(p_cand) = 0) OR (p_status = 'no_match' AND len(p_cand) > 0) OR (query_status IS NOT NULL AND query_status <> p_status))",
 }
 
 

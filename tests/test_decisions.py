@@ -28,14 +28,16 @@ def changed(of, **fields):
 def case(i, predicted, expected=RIGHT, expects=None, said="好的", awaiting=False, status="matched", requested=None, scenario="matched_candidates", retryable=False):
     evidence = {"latest_status": status, "requested_chef": requested, "verified_ids": ["a", "b"], "candidate_order": ["a", "b"]}
     more = {"relative": {"expression": "next_friday", "base": "2026-08-12T09:00"}, "preserved": ["dietary_constraints"], "tool": {"mode": "search", "status": status, "retryable": retryable, "ids": ["a", "b"]}}
-    return (i, *(json.dumps(x) for x in (SLOTS, expected, predicted, evidence, expects or {}, more)), said, awaiting, scenario)
+    texts = [x if isinstance(x, str) else json.dumps(x) for x in (SLOTS, expected, predicted, evidence, expects or {}, more)]
+    return (i, *texts, said, awaiting, scenario)
 
 
 @pytest.fixture(scope="module")
 def made(spark):
     def make(*cases):
         df = spark.createDataFrame(list(cases), "id string, state string, expected string, predicted string, evidence string, expects string, more string, user_input string, awaiting_confirmation boolean, scenario string")
-        kinds = {"state": STATE, "expected": d.DECISION_TYPE, "predicted": d.DECISION_TYPE, "expects": EXPECTS, "evidence": "struct<latest_status:string,requested_chef:string,verified_ids:array<string>,candidate_order:array<string>>",
+        df = d.with_prediction(df.withColumnRenamed("predicted", "answer"), "answer")
+        kinds = {"state": STATE, "expected": d.DECISION_TYPE, "expects": EXPECTS, "evidence": "struct<latest_status:string,requested_chef:string,verified_ids:array<string>,candidate_order:array<string>>",
                  "more": "struct<relative:struct<expression:string,base:string>,preserved:array<string>,tool:struct<mode:string,status:string,retryable:boolean,ids:array<string>>>"}
         return df.withColumns({c: F.from_json(c, k) for c, k in kinds.items()}).select("*", "more.*", F.lit(False).alias("user_confirms"))
 
@@ -49,6 +51,47 @@ def test_scores(made):
     assert got["one"] == (round(20 / 21, 4), round(0.7 * 20 / 21 + 0.3, 4)) and got["wrong"][0] < 0.3
 
 
+def test_answers_that_are_no_decision(made):
+    """Not JSON or not an object: no credit at all. Nothing said: an empty object, whose absent fields equal null ones."""
+    near = changed(RIGHT, booking_state=None)
+    rows = made(case("text", "sorry"), case("fence", "```json" + json.dumps(RIGHT)), case("list", json.dumps([RIGHT])), case("call", "sorry", CALL), case("empty", ""), case("null", "null"), case("part", '{"action": "final"}'), case("none", near))
+    got = {r.id: (round(r.a, 4), round(r.b, 4)) for r in rows.select("id", d.structured_score().alias("a"), d.task_score().alias("b")).collect()}
+    assert got["text"] == got["fence"] == got["list"] == got["call"] == got["null"] == (0.0, 0.0)
+    # chef_name, budget_max, menu and occasion are null or empty in what is expected
+    assert got["empty"] == (round(4 / 21, 4), round(0.7 * 4 / 21 + 0.3, 4)) and got["part"][0] == round(5 / 21, 4) and got["none"][0] == round((21 - 14 + 4) / 21, 4)
+    assert {r.id: r.t for r in rows.select("id", d.critical_tags().alias("t")).collect()} == dict.fromkeys(("text", "fence", "list", "empty", "null", "part", "none"), ["dietary_constraint_loss_or_reversal"]) | {"call": []}
+
+
+def test_a_call_where_an_answer_is_expected(made):
+    """It has no state, so the constraints are lost; an empty set of constraints is kept by anything."""
+    free = changed(RIGHT, booking_state__dietary_constraints=[])
+    rows = made(case("lost", CALL), case("free", CALL, free))
+    assert {r.id: r.t for r in rows.select("id", d.critical_tags().alias("t")).collect()} == {"lost": ["dietary_constraint_loss_or_reversal"], "free": []}
+    passed = {(r.id, r.name): r.passed for r in d.run_assertions(rows, ["dietary_inherited", "invalidates_tool_facts"]).collect()}
+    assert passed == {("lost", "dietary_inherited"): False, ("free", "dietary_inherited"): True, ("lost", "invalidates_tool_facts"): True, ("free", "invalidates_tool_facts"): True}
+
+
+def test_absent_keys_are_no_change(made):
+    state = {"chef_id": "a", "confirmation": True}
+    rows = made(
+        case("absent", RIGHT | {"booking_state": state}, awaiting=True), case("null", RIGHT | {"booking_state": state | {"people": None}}, awaiting=True), case("same", RIGHT | {"booking_state": state | {"people": 4}}, awaiting=True),
+        case("call", CALL | {"reply_type": "booking_authorized", "booking_state": state}, awaiting=True), case("moved", changed(CALL, arguments__people=9) | {"reply_type": "booking_authorized", "booking_state": state}, awaiting=True),
+    )
+    passed = {r.id: r.passed for r in d.run_assertions(rows, ["mutation_dominates_confirmation"]).collect()}
+    assert passed == {"absent": True, "null": False, "same": True, "call": True, "moved": True}
+    tags = {r.id: "unauthorized_booking" in r.t for r in rows.select("id", d.critical_tags().alias("t")).collect()}
+    assert tags == {"absent": False, "null": True, "same": False, "call": False, "moved": True}  # of a call its arguments count
+
+
+def test_missing_fields_by_name(made):
+    says = lambda text: changed(RIGHT, reply=text)
+    rows = made(
+        case("unknown", says("哪天 budget"), expects={"asks_missing_info": ["service_date", "budget"]}), case("unsaid", says("哪天"), expects={"asks_missing_info": ["service_date", "budget"]}), case("other", says("哪天"), expects={"mentions_missing_info": [], "asks_missing_info": ["people"]}),
+        case("none", says(""), expects={"mentions_missing_info": []}), case("empty", says(""), expects={"asks_missing_info": []}),
+    )
+    assert {r.id: r.s for r in rows.select("id", d.reply_score().alias("s")).collect()} == {"unknown": 1.0, "unsaid": 0.0, "other": 0.0, "none": 1.0, "empty": 1.0}
+
+
 def test_replies(made):
     says = lambda text: changed(RIGHT, reply=text)
     rows = made(
