@@ -11,8 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import text as tx
+from millrace.operators.booking_shapes import DECISION
 from millrace.operators.decisions import SLOTS, has_any
 from millrace.operators.rules import issues
+from millrace.operators.shapes import problems_of_text
 
 #: Scenarios in which a false authorization may be made of an answer.
 CHOICE_SCENARIOS = ("candidate_selection", "specific_available", "matched_candidates", "specific_unavailable")
@@ -54,16 +56,15 @@ def may_be_falsely_authorized() -> Column:
 
 
 def protocol_error(raw: Column) -> Column:
-    """Why a model's text isn't a decision, null where it is: missing_raw_text, markdown_fence, JSONDecodeError, not_object or ValueError (an unknown action; other fields aren't looked at)."""
+    """Why a model's text isn't a decision, null where it is: missing_raw_text, markdown_fence, JSONDecodeError, not_object or ValidationError (any fault of its structure)."""
     t = F.btrim(raw, F.lit(SPACE))
     parsed = F.try_parse_json(t)
-    action = F.try_variant_get(parsed, "$.action", "string")
     return (
         F.when(raw.isNull(), "missing_raw_text")
         .when(t.startswith("```") | t.endswith("```"), "markdown_fence")
         .when(parsed.isNull(), "JSONDecodeError")
         .when(~F.schema_of_variant(parsed).startswith("OBJECT"), "not_object")
-        .when(~F.coalesce(action.isin("tool_call", "final"), F.lit(False)), "ValueError")
+        .when(F.size(problems_of_text(DECISION, t)) > 0, "ValidationError")
     )
 
 

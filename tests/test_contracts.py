@@ -8,7 +8,8 @@ from millrace.operators import contracts as c
 
 
 def test_protocol_errors(spark):
-    rows = [(None, "missing_raw_text"), ("", "JSONDecodeError"), ("```", "markdown_fence"), ("null", "not_object"), ("[]", "not_object"), ("{}", "ValueError"), ('{"action": null}', "ValueError"), ('\t{"action": "final"}\r\n', None), ('{"action": "tool_call", "x": [1]}', None)]
+    call = json.dumps({"action": "tool_call", "arguments": dict.fromkeys(("chef_name", "service_date", "start_time", "people", "address", "cuisine", "budget_min", "budget_max", "ingredient_purchase", "occasion")) | {"menu": [], "dietary_constraints": []}})
+    rows = [(None, "missing_raw_text"), ("", "JSONDecodeError"), ("```", "markdown_fence"), ("null", "not_object"), ("[]", "not_object"), ("{}", "ValidationError"), ('{"action": null}', "ValidationError"), (f"\t{call}\r\n", None), (call.replace("null", "7", 1), "ValidationError"), (call[:-1], "JSONDecodeError")]
     got = spark.createDataFrame(rows, "raw string, want string").select("want", c.protocol_error(F.col("raw")).alias("got")).collect()
     assert all(r.want == r.got for r in got), got
 
@@ -29,10 +30,10 @@ def test_latest_results(spark):
     call, found = lambda chef: json.dumps({"chef_name": chef}), lambda *ids: json.dumps({"status": "matched", "candidates": [{"chef_id": i} for i in ids]})
     rows = [
         (1, 1, "assistant", "x", call("n")), (1, 2, "tool", "x", found("b", "a")), (1, 3, "tool", "y", found("late")), (1, 4, "assistant", "y", call(None)),
-        (2, 1, "tool", "x", found("a")), (3, 1, "assistant", "x", call(None)), (3, 2, "tool", "x", '{"status": "available", "chef": {"chef_id": "c"}}'), (3, 3, "tool", "x", '{"status": "error"}'), (4, 1, "user", None, None),
+        (2, 1, "tool", "x", found("a")), (3, 1, "assistant", "x", call(None)), (3, 2, "tool", "x", '{"status": "available", "chef": {"chef_id": "c"}}'), (3, 3, "tool", "x", '{"status": "error"}'), (4, 1, "user", None, None), (5, 1, "assistant", "x", call("zz")), (5, 2, "assistant", "x", call("aa")), (5, 3, "tool", "x", found("d")),
     ]
     df = spark.createDataFrame(rows, "conv long, pos long, role string, call_id string, content string")
-    assert {tuple(r) for r in c.latest_results(df).collect()} == {(1, 2, "matched", "n", "b,a"), (3, 3, "error", None, "")}
+    assert {tuple(r) for r in c.latest_results(df).collect()} == {(1, 2, "matched", "n", "b,a"), (3, 3, "error", None, ""), (5, 3, "matched", "aa", "d")}
     assert c.latest_results(df.limit(0)).count() == 0
 
 
