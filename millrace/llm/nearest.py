@@ -92,7 +92,7 @@ def learn(sample: np.ndarray, ids: np.ndarray) -> Codes:
     projection = np.hstack([projection, np.zeros((len(projection), -projection.shape[1] % 16))])
     codes = Codes(centre, projection, np.zeros(0), np.zeros(0, np.int64), sample, ids)
     # pairs of rows, and rows moved towards others, show how codes differ at any distance
-    a, b = sample[rng.integers(0, len(sample), 1 << 17)], sample[rng.integers(0, len(sample), 1 << 17)]
+    a, b = sample[rng.integers(0, len(sample), PAIRS)], sample[rng.integers(0, len(sample), PAIRS)]
     moved = a + (b - a) * rng.random(len(a))[:, None] ** 2
     d, h = np.concatenate([_distance(a, b), _distance(a, moved)]), np.concatenate([hamming(codes.of(a), codes.of(b)), hamming(codes.of(a), codes.of(moved))])
     edges = np.linspace(0, d.max(initial=0), 129)[1:]

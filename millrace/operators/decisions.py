@@ -321,3 +321,16 @@ def preference_pairs(cases: DataFrame) -> DataFrame:
     each = F.array(*[F.struct(F.lit(h).alias("heuristic"), F.to_json(d, {"ignoreNullFields": "false"}).alias("rejected")) for h, d in perturbations().items()])
     pairs = cases.select("id", chosen.alias("chosen"), F.explode(each).alias("p")).select("id", "chosen", "p.*").where("chosen <> rejected")
     return pairs.withColumns({"chosen_sha256": F.sha2("chosen", 256), "rejected_sha256": F.sha2("rejected", 256)})
+
+
+#: Scenarios in which a made-up chef may be put into an answer.
+CHEF_SCENARIOS = ("matched_candidates", "candidate_selection", "specific_available", "specific_unavailable", "explicit_confirmation")
+
+
+def targeted_pairs(cases: DataFrame, may_be_authorized: Column) -> DataFrame:
+    """The preference pairs of the heuristics that a case's ``targets`` name.
+
+    H1 is for answers in scenarios that name a chef. H6 goes to each case that may be falsely authorized (see ``contracts.may_be_falsely_authorized``), named or not."""
+    known = preference_pairs(cases).join(cases.select("id", "targets", "scenario", (F.col("expected.action") == "final").alias("is_final"), may_be_authorized.alias("may")), "id")
+    named = F.array_contains("targets", F.col("heuristic")) & ((F.col("heuristic") != "H1") | (F.col("is_final") & F.col("scenario").isin(*CHEF_SCENARIOS)))
+    return known.where(F.when(F.col("heuristic") == "H6", F.col("may")).otherwise(named)).drop("targets", "scenario", "is_final", "may")

@@ -13,11 +13,11 @@ def top_by_rank(df: DataFrame, within: list[str], order: list[Column], k: Column
     return df.withColumn(out, rank.cast("long")).where(F.col(out) <= k)
 
 
-def ranked(df: DataFrame, key: str, within: list[str], seed: int) -> DataFrame:
-    """``df`` with _rank (by a hash order of ``key``) and _n (rows) within groups.
+def ranked(df: DataFrame, key: str, within: list[str], seed: int, order: Column | None = None) -> DataFrame:
+    """``df`` with _rank (by a hash order of ``key``, or by ``order``, a text that starts with a hash) and _n (rows) within groups.
 
     A group is ranked by cells of its hash prefix, 4096 at most, whose counts are known beforehand; so even a group of all rows is spread over many tasks."""
-    d = df.withColumn("_d", drawn(seed, F.col(key))).withColumn("_cell", F.substring("_d", 1, 3))
+    d = df.withColumn("_d", drawn(seed, F.col(key)) if order is None else order).withColumn("_cell", F.substring("_d", 1, 3))
     groups = [F.col(w) for w in within]
     cells = d.groupBy(*within, "_cell").agg(F.count(F.lit(1)).alias("_c"))
     whole = Window.partitionBy(*groups)

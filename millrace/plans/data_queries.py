@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import text as tx
-from millrace.operators import chats, selection
+from millrace.operators import chats, selection, spans
 from millrace.sources.tables import canonical_json, nonblank, table, without_fences
 
 QUERIES: dict = {}
@@ -435,3 +435,26 @@ def placeholder_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").withColumn("hidden", hidden)
     back = tx.restored(F.col("hidden"), F.create_map(F.lit("<SOURCE_1>"), F.col("source"), F.lit("<LANG_1>"), F.col("lang")))
     return d.select("doc_id", F.size(tx.placeholders(F.col("hidden"))).cast("long").alias("n_placeholders"), (back == F.col("text")).alias("same"))
+
+
+_W = "[A-Za-z]{5,}"
+_VALUES_SQL = f"""WITH f AS (SELECT conv_id, arg_min(text, turn) AS t FROM conversations GROUP BY conv_id),
+v AS (SELECT DISTINCT conv_id, v, CASE WHEN contains(v, ' ') THEN 'PAIR' WHEN length(v) > 7 THEN 'LONG' ELSE 'WORD' END AS kind FROM (SELECT conv_id, unnest(list_concat(regexp_extract_all(t, '{_W}'), regexp_extract_all(t, '{_W} {_W}'))) AS v FROM f)),
+c AS (SELECT x.conv_id, x.turn, i AS s, i + length(v) AS e, v, kind FROM conversations x JOIN v ON v.conv_id = x.conv_id, unnest(range(1, length(x.text) - length(v) + 2)) u(i) WHERE substr(x.text, i, length(v)) = v),
+l AS (SELECT conv_id, turn, list([{{'s': s, 'e': e, 'v': v, 'kind': kind}}] ORDER BY e - s DESC, s) AS l FROM c GROUP BY ALL),
+g AS (SELECT conv_id, turn, unnest(list_reduce(l, lambda a, x: CASE WHEN len(list_filter(a, lambda y: y.s < x[1].e AND x[1].s < y.e)) > 0 THEN a ELSE list_concat(a, x) END), recursive := true) FROM l),
+n AS (SELECT *, '<' || kind || '_' || row_number() OVER (PARTITION BY conv_id, turn, kind ORDER BY s) || '>' AS token, coalesce(lag(e) OVER (PARTITION BY conv_id, turn ORDER BY s), 1) AS was FROM g)"""
+
+
+@query(_VALUES_SQL + """, h AS (SELECT conv_id, turn, string_agg(substr(x.text, was, s - was) || token, '' ORDER BY s) AS head, max(e) AS last, count(*) AS k, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds FROM n JOIN conversations x USING (conv_id, turn) GROUP BY ALL),
+r AS (SELECT x.conv_id, x.turn, coalesce(k, 0) AS n_spans, coalesce(kinds, '') AS kinds, coalesce(head, '') || substr(x.text, coalesce(last, 1)) AS hidden FROM conversations x LEFT JOIN h ON h.conv_id = x.conv_id AND h.turn = x.turn)
+SELECT *, regexp_replace(hidden, '<[A-Z]+_[0-9]+>', '某', 'g') AS marked FROM r""")
+def placeholder_spans(spark: SparkSession, sf: str) -> DataFrame:
+    """Words and pairs of words of a conversation's first turn hidden in all its turns, longest first, and each token as one mark."""
+    t = table(spark, sf, "conversations")
+    first = t.groupBy("conv_id").agg(F.min_by("text", "turn").alias("first"))
+    found = F.concat(*[F.regexp_extract_all("first", F.lit(p), F.lit(0)) for p in (_W, f"{_W} {_W}")])
+    values = F.transform(F.array_distinct(found), lambda v: F.struct(v.alias("value"), F.when(v.contains(" "), "PAIR").when(F.length(v) > 7, "LONG").otherwise("WORD").alias("type")))
+    h = t.join(first.select("conv_id", values.alias("values")), "conv_id").withColumn("h", spans.hide(F.col("text"), F.col("values")))
+    kinds = F.array_join(F.map_keys(spans.token_counts(F.col("h.hidden"))), ",")
+    return h.select("conv_id", "turn", F.size("h.spans").cast("long").alias("n_spans"), kinds.alias("kinds"), "h.hidden", spans.marked(F.col("h.hidden")).alias("marked"))
