@@ -2,7 +2,7 @@
 
 A short item is hardly visible in the minima of a long document, so both sides keep all hashes of shingles below a bound rather than a fixed
 number of minima (scaled MinHash). The bound depends on the item's size: items are partitioned by powers of two, and a partition keeps the share that
-leaves some ``SKETCH`` hashes of each item, all of a short one. The share of an item's kept hashes that a document
+leaves some ``SKETCH`` hashes of each item, all of a short one. The sketches of a document for the partitions are nested, so it keeps one: that of the greatest share that an item has. The share of an item's kept hashes that a document
 has estimates the containment whatever the document's size. Candidates are then verified on all shingles.
 
 Only DataFrame expressions. Items are the small side: their sketches are broadcast if they are counted and found small, else shuffled.
@@ -16,10 +16,15 @@ from pyspark.sql import functions as F
 from millrace.llm.common import settle, small, words
 
 #: Words of a shingle; per cent of an item's shingles that make a leak; hashes of an item that a sketch keeps; share of them that makes a candidate.
-SHINGLE, PER_CENT, SKETCH, CANDIDATE = 5, 75, 64, 0.4
+SHINGLE, PER_CENT, SKETCH, CANDIDATE = 5, 75, 48, 0.3
 _SCALE = 1 << 20
 
 
+def _place(shingle: Column) -> Column:
+    """Where a shingle's hash lies below ``_SCALE``: a sketch keeps those below its share."""
+    return F.pmod(F.xxhash64(F.lit(3), shingle), F.lit(_SCALE))
+
+
 def _shingles(w: Column) -> Column:
     """Distinct hashes of the shingles of the word hashes ``w``; with too few words, of all of them as one; without any, none."""
     n = F.size(w)
@@ -44,14 +49,17 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     longest counts. Rows with a null key and items with a null id are left out. Empty tables give an empty result. Other columns are ignored."""
     sets = shingled(items.where(F.col(item).isNotNull()), item, item_text, "item").groupBy("item").agg(F.max(F.struct(F.size("s").alias("n"), "s")).alias("x")).select("item", F.col("x.n").alias("n_item"), F.col("x.s").alias("of_item")).where("n_item > 0")
     share = F.least(F.lit(1.0), SKETCH / F.pow(F.lit(2.0), F.ceil(F.log2("n_item"))))
-    kept = F.filter("of_item", lambda x: F.pmod(F.xxhash64(F.lit(3), x), F.lit(_SCALE)) < F.col("share") * _SCALE)
+    kept = F.filter("of_item", lambda x: _place(x) < F.col("share") * _SCALE)
     # an item whose sketch came out empty is looked up by all it has
-    sets = sets.withColumn("share", share).withColumn("kept", kept).withColumn("kept", F.when(F.size("kept") > 0, F.col("kept")).otherwise(F.col("of_item")))
-    sets = settle(sets.select("item", "n_item", "of_item", "kept", F.size("kept").alias("n_kept")), "item-sets")
+    sets = sets.withColumn("share", share).withColumn("kept", kept)
+    empty = F.size("kept") == 0
+    sets = sets.withColumns({"kept": F.when(empty, F.col("of_item")).otherwise(F.col("kept")), "share": F.when(empty, 1.0).otherwise(F.col("share"))})
+    sets = settle(sets.select("item", "n_item", "of_item", "kept", "share", F.size("kept").alias("n_kept")), "item-sets")
+    largest = sets.agg(F.coalesce(F.max("share"), F.lit(0.0))).first()[0]
     sketch = settle(sets.select("item", "n_kept", F.explode("kept").alias("s")), "item-sketches")
 
     known = docs.select(F.col(f"`{key}`").alias("doc"), F.col(f"`{text}`").alias("text")).where("doc is not null")
-    seen = shingled(known, "doc", "text", "doc").select("doc", F.explode("s").alias("s"))
+    seen = shingled(known, "doc", "text", "doc").select("doc", F.explode(F.filter("s", lambda x: _place(x) < largest * _SCALE)).alias("s"))
     hits = seen.join(small(sketch), "s").groupBy("doc", "item", "n_kept").agg(F.count_distinct("s").alias("hits"))
     candidates = settle(hits.where(F.col("hits") >= CANDIDATE * F.col("n_kept")).select("doc", "item"), "candidates")
 

@@ -38,6 +38,11 @@ def _fences(by: str) -> str:
                 FROM (SELECT {keys}, bin, count(*) AS n FROM binned GROUP BY ALL)) GROUP BY {keys})"""
 
 
+def _blend(of: str, side: str, wider: str) -> str:
+    weight = f"({of}.docs + {quality.PRIOR})"
+    return f"(({of}.docs * {of}.{side} + {quality.PRIOR} * {wider} + {quality.LIFT} * {weight}) // {weight} - {quality.LIFT})"
+
+
 OP2 = rf"""
 WITH w AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS text, {_WORDS.format(text="text")} AS w FROM documents),
 each AS (SELECT r, unnest(w) AS a, generate_subscripts(w, 1) AS i FROM w),
@@ -56,8 +61,7 @@ vals AS ({_UNNEST}),
 binned AS (SELECT *, CASE WHEN v < 64 THEN v ELSE 32 * (length(bin(v)) - 6) + (v >> CAST(length(bin(v)) - 6 AS INTEGER)) END AS bin FROM vals),
 f2 AS ({_fences("lang, source")}), f1 AS ({_fences("lang")}), f0 AS ({_fences("")}),
 out AS (
-  SELECT v.doc_id, bool_and(v.v BETWEEN CASE WHEN f2.docs >= 100 THEN f2.low WHEN f1.docs >= 100 THEN f1.low ELSE f0.low END
-                                AND CASE WHEN f2.docs >= 100 THEN f2.high WHEN f1.docs >= 100 THEN f1.high ELSE f0.high END) AS inside
+  SELECT v.doc_id, bool_and(v.v BETWEEN {_blend("f2", "low", _blend("f1", "low", "f0.low"))} AND {_blend("f2", "high", _blend("f1", "high", "f0.high"))}) AS inside
   FROM vals v JOIN f2 ON f2.lang IS NOT DISTINCT FROM v.lang AND f2.source IS NOT DISTINCT FROM v.source AND f2.metric = v.metric
   JOIN f1 ON f1.lang IS NOT DISTINCT FROM v.lang AND f1.metric = v.metric JOIN f0 ON f0.metric = v.metric GROUP BY v.doc_id)
 SELECT m.doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,

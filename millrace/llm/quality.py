@@ -2,7 +2,8 @@
 
 Every text is measured once. A few fixed base rules reject what can't be judged; for the rest, thresholds come from quantile sketches of each
 language and source. A sketch is a histogram over bins of equal relative width, so sketches merge by adding counts: exactly, in any order, and with the same
-result on every run. A source with few documents uses the merged sketch of its language, a language with few that of all.
+result on every run. A fence of a source is the mean of its own and that of its language, weighted by its documents and ``PRIOR``; a language's in turn
+that of its own and all documents'. So few documents lean on what is known of more, and no number of documents switches from one rule to another.
 
 A value is unusual where it lies beyond three interquartile ranges, plus a margin, outside the quartiles. Thresholds are then
 joined to the measures, and the unusual documents go.
@@ -28,8 +29,10 @@ METRICS = {
     "dup_lines": ("1000 * n_dup_lines div n_lines", 250, False),
     "repeats": ("1000 * n_repeat_words div n_words", 250, False),
 }
-#: Documents that a sketch of its own takes; interquartile ranges; base rules: words at least, and share of repeated words at most.
-MIN_DOCS, RANGES, MIN_WORDS, MAX_REPEAT = 100, 3, 50, 50
+#: Documents that the wider group's fence counts as; interquartile ranges; base rules: words at least, and share of repeated words at most.
+PRIOR, RANGES, MIN_WORDS, MAX_REPEAT = 100, 3, 50, 50
+#: Added while whole numbers are divided, so that no quotient is negative and all engines round alike.
+LIFT = 1_000_000
 
 _BLANK = " \t\n\x0b\x0c\r"
 _FIELDS = ("n_words", "word_chars", "n_symbols", "n_capitals", "n_lines", "n_dup_lines", "n_repeat_words")
@@ -110,12 +113,18 @@ def _fences(sketches: DataFrame, *by: str) -> DataFrame:
     return q.select(*keys, "docs", F.when(both, F.col("q1") - width).otherwise(F.lit(-1)).cast("long").alias("low"), (F.col("q3") + width).cast("long").alias("high"))
 
 
+def _blended(docs: Column, own: Column, wider: Column) -> Column:
+    """Mean of two fences, weighted by ``docs`` and ``PRIOR``, rounded down."""
+    weight = docs + PRIOR
+    return F.call_function("div", docs * own + PRIOR * wider + LIFT * weight, weight) - LIFT
+
+
 def thresholds(sketches: DataFrame) -> DataFrame:
     """One row for each language and source: t_lang, t_source and fences (a struct low, high for each metric)."""
     a, b, c = (_fences(sketches, *by) for by in (("lang", "source"), ("lang",), ()))
     j = a.alias("a").join(b.alias("b"), F.col("a.lang").eqNullSafe(F.col("b.lang")) & (F.col("a.metric") == F.col("b.metric"))).join(c.alias("c"), F.col("a.metric") == F.col("c.metric"))
-    pick = lambda x: F.when(F.col("a.docs") >= MIN_DOCS, F.col(f"a.{x}")).when(F.col("b.docs") >= MIN_DOCS, F.col(f"b.{x}")).otherwise(F.col(f"c.{x}"))
-    rows = j.select(F.col("a.lang").alias("t_lang"), F.col("a.source").alias("t_source"), F.col("a.metric").alias("metric"), F.struct(pick("low").alias("low"), pick("high").alias("high")).alias("fence"))
+    blend = lambda x: _blended(F.col("a.docs"), F.col(f"a.{x}"), _blended(F.col("b.docs"), F.col(f"b.{x}"), F.col(f"c.{x}")))
+    rows = j.select(F.col("a.lang").alias("t_lang"), F.col("a.source").alias("t_source"), F.col("a.metric").alias("metric"), F.struct(blend("low").alias("low"), blend("high").alias("high")).alias("fence"))
     return rows.groupBy("t_lang", "t_source").agg(*[F.max(F.when(F.col("metric") == m, F.col("fence"))).alias(f"f_{m}") for m in METRICS])
 
 

@@ -218,6 +218,8 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     spans = windows.join(twice, ["part", "kind"]).select("id", "size", F.col("place").alias("a"), (F.col("place") + WINDOW).alias("e"))
     start = F.shiftright("place", 16)
     spans = spans.union(whole_runs.union(whole_blocks).select("id", "size", start, start + F.shiftright("place", 8).bitwiseAND(255) - 1 + WINDOW))
+    # every copy of a text has sent the same spans
+    spans = spans.distinct()
     # spans that touch or overlap are one
     by_start = Window.partitionBy("id", "size").orderBy("a", "e")
     reach = F.max("e").over(by_start.rowsBetween(Window.unboundedPreceding, -1))

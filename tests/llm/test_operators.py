@@ -218,6 +218,33 @@ def test_very_long_texts(spark):
     assert {r.doc_id: r.n_tokens for r in lm_score.score(df, lm_score.train(df.where("doc_id = 2"))).collect()} == dict(enumerate(n))
 
 
+def test_leaks_at_the_bound(spark):
+    """Items of all sizes inside long documents, with so many words changed that their containment lies around 75 %: no leak is missed."""
+    rng = random.Random(31)
+    items = [(i, prose(rng, rng.choice((3, 5, 9, 20, 40, 64, 90, 150, 400)))) for i in range(60)]
+    docs = []
+    for i, text in items:
+        for _ in range(6):
+            w = text.split()
+            for _ in range(rng.randint(0, max(1, len(w) // 18))):
+                w[rng.randrange(len(w))] = "changed"
+            docs.append((len(docs), f"{prose(rng, rng.randint(0, 300))} {' '.join(w)} {prose(rng, rng.randint(0, 300))}"))
+    want = {}
+    of = [(i, shingles(t)) for i, t in items]
+    for d, text in docs:
+        s = shingles(text)
+        want |= {(d, i): len(s & x) for i, x in of if 100 * len(s & x) >= 75 * len(x)}
+    got = decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): r.n_shared for r in got} == want and len(want) > 100
+
+
+def test_small_groups_lean_on_wider_ones(spark):
+    """A fence moves from the wider group's to its own as documents come, without a step."""
+    own, wider = F.lit(10), F.lit(110)
+    at = [spark.range(1).select(quality._blended(F.lit(n), own, wider)).first()[0] for n in (0, 1, 50, 100, 101, 10_000)]
+    assert at == [110, 109, 76, 60, 59, 10] and spark.range(1).select(quality._blended(F.lit(1), F.lit(-7), F.lit(-8))).first()[0] == -8
+
+
 def test_quality_measures(spark, rows, docs):
     got = {}
     for r in quality.measure(docs).collect():
