@@ -110,13 +110,6 @@ def diversity_audit(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumn("passed", (F.col("n_exact") >= 300) & (F.col("n_normalized") >= 240) & (F.col("n_skeletons") >= 100))
 
 
-@query(f"""SELECT {_SKEL} AS skeleton, count(*) AS n FROM documents WHERE length({_SKEL}) <= 40 GROUP BY 1 ORDER BY n DESC, skeleton LIMIT 10""")
-def skeleton_top_frequency(spark: SparkSession, sf: str) -> DataFrame:
-    """The ten most frequent short skeletons."""
-    s = table(spark, sf, "documents").select(tx.skeleton(F.col("text")).alias("skeleton")).where(F.length("skeleton") <= 40)
-    return s.groupBy("skeleton").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "skeleton").limit(10)
-
-
 @query(f"""SELECT sha256({_SKEL}) AS digest, max(length({_SKEL})) AS n_chars, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1 ORDER BY n DESC, digest LIMIT 10""")
 def skeleton_top_all(spark: SparkSession, sf: str) -> DataFrame:
     """The ten most frequent skeletons of any length, by digest."""
@@ -296,42 +289,6 @@ def intent_multilabel(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").where("role = 'user'").select("conv_id", "turn", F.array_join(tx.labels(cues), ",").alias("intents"))
 
 
-@query("""WITH b AS (SELECT item_id, left(text, 60) AS t FROM benchmark), g AS (SELECT item_id, list_distinct(list_transform(range(1, greatest(length(t), 2)), lambda i: substr(t, i, 2))) AS g FROM b)
-SELECT x.item_id AS a, y.item_id AS b, round(len(list_intersect(x.g, y.g)) / len(list_distinct(list_concat(x.g, y.g))), 6) AS similarity FROM g x JOIN g y ON x.item_id < y.item_id AND x.item_id % 10 = y.item_id % 10""")
-def bigram_jaccard_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Bigram similarity of the heads of benchmark items within their blocks."""
-    g = table(spark, sf, "benchmark").select("item_id", (F.col("item_id") % 10).alias("block"), tx.bigrams(F.substring("text", 1, 60)).alias("g"))
-    j = g.alias("x").join(g.alias("y"), (F.col("x.block") == F.col("y.block")) & (F.col("x.item_id") < F.col("y.item_id")))
-    return j.select(F.col("x.item_id").alias("a"), F.col("y.item_id").alias("b"), F.round(tx.jaccard(F.col("x.g"), F.col("y.g")), 6).alias("similarity"))
-
-
-_ASCII = "substr(regexp_replace(text, '[^a-z ]', '', 'g'), 1, 40)"
-
-
-@query(f"""WITH b AS (SELECT item_id, {_ASCII} AS t FROM benchmark)
-SELECT x.item_id AS a, y.item_id AS b, round(1 - levenshtein(x.t, y.t) / greatest(length(x.t), length(y.t)), 6) AS ratio, 1 - levenshtein(x.t, y.t) / greatest(length(x.t), length(y.t)) <= 0.85 AS passed
-FROM b x JOIN b y ON x.item_id < y.item_id AND x.item_id % 10 = y.item_id % 10""")
-def levenshtein_gate(spark: SparkSession, sf: str) -> DataFrame:
-    """Edit similarity of item heads within their blocks, and the 0.85 gate."""
-    b = table(spark, sf, "benchmark").select("item_id", (F.col("item_id") % 10).alias("block"), F.substring(F.regexp_replace("text", "[^a-z ]", ""), 1, 40).alias("t"))
-    j = b.alias("x").join(b.alias("y"), (F.col("x.block") == F.col("y.block")) & (F.col("x.item_id") < F.col("y.item_id")))
-    r = tx.levenshtein_ratio(F.col("x.t"), F.col("y.t"))
-    return j.select(F.col("x.item_id").alias("a"), F.col("y.item_id").alias("b"), F.round(r, 6).alias("ratio"), (r <= 0.85).alias("passed"))
-
-
-@query("""WITH q AS (SELECT vec_id, label, embedding AS e FROM embeddings WHERE vec_id % 50 = 0),
-p AS (SELECT q.vec_id AS query_id, x.vec_id, round(list_dot_product(q.e::DOUBLE[], x.embedding::DOUBLE[]) / sqrt(list_dot_product(q.e::DOUBLE[], q.e::DOUBLE[]) * list_dot_product(x.embedding::DOUBLE[], x.embedding::DOUBLE[])), 6) AS similarity FROM q JOIN embeddings x ON q.label = x.label AND q.vec_id <> x.vec_id)
-SELECT query_id, vec_id, similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM p) WHERE rank <= 5""")
-def embedding_topk(spark: SparkSession, sf: str) -> DataFrame:
-    """The five nearest of the same label, by cosine, for every fiftieth vector (a top-k report)."""
-    e = table(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("e"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label", F.col("e").alias("qe"))
-    s = dot(F.col("qe"), F.col("e")) / F.sqrt(dot(F.col("qe"), F.col("qe")) * dot(F.col("e"), F.col("e")))
-    pairs = q.join(e, "label").where("query_id <> vec_id").select("query_id", "vec_id", F.round(s, 6).alias("similarity"))
-    return selection.top_by_rank(pairs, ["query_id"], [F.col("similarity").desc(), F.col("vec_id")], 5)
-
-
 def _best_anchor(asked: DataFrame, items: DataFrame) -> DataFrame:
     """The most similar other item for each asked one, by the greater of both similarities of whole normal forms; equal skeletons of three characters or more raise 0.5 to 1.0."""
     forms = lambda d: d.where("text IS NOT NULL").select(
@@ -403,14 +360,6 @@ def first_row_limit(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").select("conv_id", "turn", "role").orderBy("conv_id", "turn").limit(1)
 
 
-@query("""SELECT item_id, rank, doc_id FROM (SELECT b.item_id, d.doc_id, row_number() OVER (PARTITION BY b.item_id ORDER BY abs(length(b.text) - d.n_chars), d.doc_id) AS rank FROM benchmark b JOIN documents d ON d.n_chars // 64 = length(b.text) // 64) WHERE rank <= 4""")
-def priority_topk_anchors(spark: SparkSession, sf: str) -> DataFrame:
-    """Up to four documents of like length for each item."""
-    b = table(spark, sf, "benchmark").select("item_id", F.length("text").alias("len"), F.expr("length(text) div 64").alias("block"))
-    d = table(spark, sf, "documents").select("doc_id", "n_chars", F.expr("n_chars div 64").alias("block"))
-    return selection.top_by_rank(d.join(b, "block"), ["item_id"], [F.abs(F.col("len") - F.col("n_chars")), F.col("doc_id")], 4).select("item_id", "rank", "doc_id")
-
-
 @query("""SELECT item_id, rank, doc_id FROM (SELECT b.item_id, d.doc_id, row_number() OVER (PARTITION BY b.item_id ORDER BY abs(length(b.text) - d.n_chars), d.doc_id) AS rank FROM benchmark b JOIN documents d ON b.text IS NOT NULL AND d.n_chars IS NOT NULL) WHERE rank <= 4""")
 def nearest_length_all(spark: SparkSession, sf: str) -> DataFrame:
     """The four documents nearest in length for each item, of all documents.
