@@ -115,7 +115,7 @@ def _fences(sketches: DataFrame, *by: str) -> DataFrame:
 
 def _blended(docs: Column, own: Column, wider: Column) -> Column:
     """Mean of two fences, weighted by ``docs`` and ``PRIOR``, rounded down."""
-    weight = docs + PRIOR
+    weight = (docs + PRIOR).cast("long")
     return F.call_function("div", docs * own + PRIOR * wider + LIFT * weight, weight) - LIFT
 
 
