@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators.quantiles import quantiles
+
 
 def rate(cond: Column) -> Column:
     """Share of rows for which ``cond`` holds, of all rows, to four digits."""
@@ -21,17 +25,17 @@ def scorecard(cases: DataFrame, by: list[str]) -> DataFrame:
 
 
 def latency(events: DataFrame, by: list[str]) -> DataFrame:
-    """Counts, and mean, median and 95th percentile (interpolated and nearest rank) over positive values of successful events."""
+    """Counts, and mean, median and 95th percentile (interpolated) over positive values of successful events; null where a group has none."""
     good = F.when((F.col("event_type") != "error") & (F.col("value") > 0), F.col("value"))
-    return events.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_type") == "error").alias("n_failed"),
-        F.round(F.avg(good), 4).alias("mean"), F.round(F.median(good), 4).alias("p50"), F.round(F.percentile(good, 0.95), 4).alias("p95"),
-    )
+    counts = events.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_type") == "error").alias("n_failed"), F.round(F.avg(good), 4).alias("mean"))
+    found = quantiles(events, by, good, {"p50": 0.5, "p95": 0.95}).alias("q")
+    same = reduce(lambda x, y: x & y, [F.col(f"c.`{k}`").eqNullSafe(F.col(f"q.`{k}`")) for k in by], F.lit(True))
+    return counts.alias("c").join(found, same, "left").select("c.*", F.round("q.p50", 4).alias("p50"), F.round("q.p95", 4).alias("p95"))
 
 
 def nearest_rank(events: DataFrame, by: list[str], p: float) -> DataFrame:
     """The value of rank ceil(p n) of each group."""
-    return events.where("event_type <> 'error'").groupBy(*by).agg(F.expr(f"percentile_disc({p}) within group (order by value)").alias("p95"), F.count(F.lit(1)).alias("n"))
+    return quantiles(events.where("event_type <> 'error'"), by, F.col("value"), {"p95": p}, nearest=True).withColumnRenamed("_n", "n").select(*by, "p95", "n")
 
 
 def throughput(tokens: Column, latency_ms: Column, first_ms: Column, native: Column) -> tuple[Column, Column]:

@@ -294,7 +294,7 @@ def _best_anchor(asked: DataFrame, items: DataFrame) -> DataFrame:
     forms = lambda d: d.where("text IS NOT NULL").select(
         "item_id", F.regexp_replace("text", rf"[{tx.PUNCTUATION}\s\x{{3000}}]", "").alias("t"), F.regexp_replace(F.regexp_replace("text", r"[\x{4e00}-\x{9fff}]+", "X"), "[0-9]+", "N").alias("s")
     ).withColumn("g", tx.bigrams(F.col("t")))
-    j = F.broadcast(forms(asked)).alias("x").join(forms(items).alias("y"), F.col("x.item_id") != F.col("y.item_id"))
+    j = forms(asked).alias("x").join(forms(items).alias("y"), F.col("x.item_id") != F.col("y.item_id"))
     surface = F.greatest(tx.jaccard(F.col("x.g"), F.col("y.g")), tx.levenshtein_ratio(F.col("x.t"), F.col("y.t")))
     pairs = j.select(F.col("x.item_id").alias("item_id"), F.col("y.item_id").alias("anchor_id"), surface.alias("sim"), ((F.col("x.s") == F.col("y.s")) & (F.length("x.s") >= 3)).alias("same"))
     sim = F.when(F.col("same") & (F.col("sim") >= 0.5), 1.0).otherwise(F.col("sim"))
@@ -350,7 +350,7 @@ def embedding_topk_all(spark: SparkSession, sf: str) -> DataFrame:
     """The five nearest of all rows, by cosine, for every fiftieth vector: five of each block, then of all."""
     e = table(spark, sf, "embeddings").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"))
     q, x = _vector_blocks(e.where("vec_id % 50 = 0"), "q", _QUERIES), _vector_blocks(e, "x", _ROWS)
-    near = F.broadcast(q).crossJoin(x).mapInArrow(_nearest_in_blocks, "query_id long, vec_id long, similarity double")
+    near = q.crossJoin(x).mapInArrow(_nearest_in_blocks, "query_id long, vec_id long, similarity double")
     return selection.top_by_rank(near, ["query_id"], [F.col("similarity").desc(), F.col("vec_id")], 5)
 
 

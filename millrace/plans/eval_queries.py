@@ -251,3 +251,10 @@ def predictions_map_explode(spark: SparkSession, sf: str) -> DataFrame:
 def sse_log_parse(spark: SparkSession, sf: str) -> DataFrame:
     lines = [("r1", 1, 'data: {"delta": "Hel"}'), ("r1", 2, ": ping"), ("r1", 3, 'data: {"delta": "lo"}'), ("r1", 4, "data: [DONE]"), ("r1", 5, 'data: {"delta": "late"}'), ("r2", 2, "data: {broken"), ("r2", 3, 'data: {"delta": "x"}')]
     return stream_text(spark.createDataFrame(lines, "run string, pos long, line string"))
+
+
+@query("""WITH e AS (SELECT event_type, value, value / 10 AS first, CAST(json_extract(props, '$.k') AS BIGINT) AS tokens FROM events)
+SELECT 'all' AS scope, count(*) AS n, count(*) FILTER (event_type = 'error') AS n_failed, round(avg(value) FILTER (event_type <> 'error' AND value > 0), 4) AS mean, round(quantile_cont(value, 0.5) FILTER (event_type <> 'error' AND value > 0), 4) AS p50, round(quantile_cont(value, 0.95) FILTER (event_type <> 'error' AND value > 0), 4) AS p95 FROM e""")
+def latency_of_all(spark: SparkSession, sf: str) -> DataFrame:
+    """The latency report of all events as one group."""
+    return reports.latency(table(spark, sf, "events").withColumn("scope", F.lit("all")), ["scope"])
