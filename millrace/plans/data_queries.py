@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import text as tx
-from millrace.operators import chats, selection, spans
+from millrace.operators import chats, coverage, selection, spans
 from millrace.sources.tables import canonical_json, nonblank, table, without_fences
 
 QUERIES: dict = {}
@@ -407,3 +407,18 @@ def placeholder_spans(spark: SparkSession, sf: str) -> DataFrame:
     h = t.join(first.select("conv_id", values.alias("values")), "conv_id").withColumn("h", spans.hide(F.col("text"), F.col("values")))
     kinds = F.array_join(F.map_keys(spans.token_counts(F.col("h.hidden"))), ",")
     return h.select("conv_id", "turn", F.size("h.spans").cast("long").alias("n_spans"), kinds.alias("kinds"), "h.hidden", spans.marked(F.col("h.hidden")).alias("marked"))
+
+
+#: Caps of languages, labels each prefers, and labels that must be covered somewhere (a report of a few picks is the operator).
+_CAPS = {"en": 8, "de": 9, "es": 8, "fr": 5}
+_MUST = ("toxic", "poor", "good", "short", "long", "s0", "s1", "s2", "s3", "s4", "s5")
+
+
+@query()
+def coverage_repaired_pick(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents of each language that cover quality labels, lengths and kinds of sources first, with repairs; the walk isn't expressible in SQL."""
+    d = table(spark, sf, "documents")
+    judged = d.select("doc_id").join(table(spark, sf, "labels"), "doc_id").select("doc_id", F.explode(F.array_compact(F.array(F.when(F.col("toxic") == 1, "toxic"), F.when(F.col("quality") == 0, "poor"), F.when(F.col("quality") == 1, "good")))).alias("label"))
+    kind = F.concat(F.lit("s"), F.pmod(F.crc32(F.coalesce("source", F.lit(""))), F.lit(6)).cast("string"))
+    own = d.select("doc_id", F.explode(F.array_compact(F.array(F.when(F.length("text") < 200, "short"), F.when(F.length("text") > 20000, "long"), kind))).alias("label"))
+    return coverage.coverage_pick(d, judged.union(own), "doc_id", "lang", _CAPS, {b: list(_MUST[i::2]) for i, b in enumerate(_CAPS)}, list(_MUST))
