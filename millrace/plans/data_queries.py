@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions import leaves
 from millrace.functions import text as tx
 from millrace.operators import chats, coverage, selection, spans
 from millrace.sources.tables import canonical_json, nonblank, table, without_fences
@@ -422,3 +423,14 @@ def coverage_repaired_pick(spark: SparkSession, sf: str) -> DataFrame:
     kind = F.concat(F.lit("s"), F.pmod(F.crc32(F.coalesce("source", F.lit(""))), F.lit(6)).cast("string"))
     own = d.select("doc_id", F.explode(F.array_compact(F.array(F.when(F.length("text") < 200, "short"), F.when(F.length("text") > 20000, "long"), kind))).alias("label"))
     return coverage.coverage_pick(d, judged.union(own), "doc_id", "lang", _CAPS, {b: list(_MUST[i::2]) for i, b in enumerate(_CAPS)}, list(_MUST))
+
+
+@query("""WITH t AS (SELECT conv_id, list({'role': role, 'content': text, 'more': {'tags': [role, NULL, ' '], 'n': turn}} ORDER BY turn) AS turns FROM conversations GROUP BY conv_id),
+j AS (SELECT conv_id, to_json({'id': 'c' || conv_id, 'turns': turns}) AS j FROM t), s AS (SELECT conv_id, x.id, regexp_replace(x.atom ->> '$', '^\\s+|\\s+$', '', 'g') AS v FROM j, json_tree(j.j) x WHERE x.type = 'VARCHAR')
+SELECT conv_id, string_agg(v, chr(10) ORDER BY id) AS line FROM s WHERE v <> '' GROUP BY conv_id""")
+def calibration_leaves(spark: SparkSession, sf: str) -> DataFrame:
+    """All texts at any depth of a conversation's nested JSON, a line each, in the order of the document."""
+    turn = F.struct("turn", "role", F.col("text").alias("content"), F.struct(F.array("role", F.lit(None).cast("string"), F.lit(" ")).alias("tags"), F.col("turn").alias("n")).alias("more"))
+    t = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    whole = F.to_json(F.struct(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("id"), F.transform("turns", lambda x: x.dropFields("turn")).alias("turns")))
+    return t.select("conv_id", leaves.calibration_line(whole).alias("line"))

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.functions import leaves
 from millrace.operators import booking_shapes as b
 from millrace.operators import shapes as s
 from millrace.sources import checked
@@ -180,3 +181,22 @@ def test_loading_stops_at_faults(spark, files, tmp_path_factory):
     good.write_text('{"id": "a", "n": 1}\r\n\r\n{"n": 2, "id": "b"}\r\n')
     assert sorted(map(tuple, checked.load_valid(spark, str(good), LINE, "id string, n long", key="id").collect())) == [("a", 1), ("b", 2)]
     assert checked.load_valid(spark, f"{files[0]}/three.jsonl", LINE, "id string").count() == 0
+
+
+def test_string_leaves(spark):
+    deep = "x"
+    for i in range(300):
+        deep = {"k": [deep, i]} if i % 2 else [deep, {"z": f"t{i}"}]
+    rng = random.Random(8)
+    texts = [None, "", "nope", "3", '"one"', '{"b": "2", "a": "1", "b": "3"}', '[" a ", "", null, true, {"k": {}}]', json.dumps(deep), *[json.dumps(spoilt(rng, rng.choice([FINAL, CALL, *MESSAGES])), ensure_ascii=False) for _ in range(40)]]
+
+    def collect(v):
+        if isinstance(v, str):
+            yield v
+        for x in v if isinstance(v, list) else v.values() if isinstance(v, dict) else ():
+            yield from collect(x)
+
+    got = [r.x for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(leaves.string_leaves(F.col("t")).alias("x")).collect()]
+    assert got[:7] == [[], [], [], [], ["one"], ["2", "1", "3"], [" a ", ""]]
+    assert got[7:] == [list(collect(json.loads(t))) for t in texts[7:]]
+    assert spark.range(1).select(leaves.calibration_line(F.lit(texts[6])).alias("x")).first().x == "a"
