@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from millrace.functions import dates
 from millrace.operators import reports
+from millrace.shared import new_path
 from millrace.sources.tables import predictions, stream_text, table
+from millrace.streaming import runs
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -258,3 +260,43 @@ SELECT 'all' AS scope, count(*) AS n, count(*) FILTER (event_type = 'error') AS
 def latency_of_all(spark: SparkSession, sf: str) -> DataFrame:
     """The latency report of all events as one group."""
     return reports.latency(table(spark, sf, "events").withColumn("scope", F.lit("all")), ["scope"])
+
+
+#: Milliseconds without an event after which a run is cut; how event types read as a token stream's.
+_GAP = 6 * 3_600_000
+_KINDS = {"click": "token", "view": "token", "purchase": "figure", "signup": "end", "error": "error"}
+_KIND_SQL = "CASE event_type " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in _KINDS.items()) + " ELSE 'other' END"
+_RUNS_SQL = f"""WITH e AS (SELECT user_id AS run, epoch_us(ts) // 1000 AS ms, {_KIND_SQL} AS kind, value FROM events),
+o AS (SELECT *, row_number() OVER w AS place, lag(ms) OVER w AS before, lag(kind) OVER w AS was FROM e WINDOW w AS (PARTITION BY run ORDER BY ms, CASE kind WHEN 'token' THEN 0 WHEN 'figure' THEN 1 WHEN 'end' THEN 3 WHEN 'error' THEN 3 ELSE 2 END, kind, value NULLS LAST)),
+n AS (SELECT *, sum(CASE WHEN before IS NULL OR was IN ('end', 'error') OR ms - before > {_GAP} THEN 1 ELSE 0 END) OVER (PARTITION BY run ORDER BY place) AS no FROM o)
+SELECT run, min(ms) AS started_ms, min(ms) FILTER (kind = 'token') AS first_token_ms, max(ms) AS last_ms, count(*) AS n_events, count(*) FILTER (kind = 'token') AS n_tokens, arg_max(value, place) FILTER (kind = 'figure') AS figure,
+ CASE WHEN arg_max(kind, place) IN ('end', 'error') THEN arg_max(kind, place) ELSE 'cut' END AS outcome FROM n GROUP BY run, no"""
+
+
+def _run_events(spark: SparkSession, sf: str) -> DataFrame:
+    kind = F.coalesce(F.create_map(*[F.lit(x) for pair in _KINDS.items() for x in pair])[F.col("event_type")], F.lit("other"))
+    return table(spark, sf, "events").select(F.col("user_id").alias("run"), F.col("ts").cast("timestamp").alias("at"), kind.alias("kind"), "value")
+
+
+@query(_RUNS_SQL)
+def run_telemetry(spark: SparkSession, sf: str) -> DataFrame:
+    """Token streams of each user's events: first token, counts, the server's figure, and how they stopped."""
+    return runs.runs_of_table(_run_events(spark, sf), _GAP)
+
+
+@query(_RUNS_SQL)
+def run_telemetry_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The same by a stateful stream over the events in files by time, a file a batch; an event far later makes the timers close what is left open."""
+    e = _run_events(spark, sf)
+    path = new_path(spark, "event-stream")
+    days = F.expr("unix_seconds(at) div (5 * 86400)")
+    first, last = e.agg(F.min(days), F.max(days)).first()
+    # one write for every five days, so that files come by time; within them they come in any order, which the watermark allows for
+    for n in range(first, last + 1) if first is not None else ():
+        e.where(days == n).write.mode("append").parquet(f"{path}/in")
+    end = e.agg(F.max("at").alias("at")).select(F.lit(-1).cast("long").alias("run"), (F.coalesce("at", F.current_timestamp()) + F.expr("INTERVAL 30 DAYS")).alias("at"), F.lit("end").alias("kind"), F.lit(None).cast("double").alias("value"))
+    end.write.mode("append").parquet(f"{path}/in")
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    told = runs.runs(stream, _GAP, "6 days").writeStream.format("parquet").option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start(f"{path}/out")
+    told.awaitTermination()
+    return spark.read.parquet(f"{path}/out").where("run <> -1")
