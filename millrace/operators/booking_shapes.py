@@ -80,3 +80,7 @@ SAMPLE = optional(
     },
     id=TEXT, dataset_version=TEXT, scenario=TEXT, output_kind=one_of("tool_call", "final"), conversation_kind=one_of("single_turn", "multi_turn"), input=INPUT, expected=DECISION, generation=_GENERATION,
 )
+_SAID = Record({"role": TEXT, "content": TEXT})
+_SHA256 = Leaf("text", pattern=r"^[\s\S]{64}$")
+SFT_ROW = optional({"tags": _TEXTS}, id=TEXT, raw_id=TEXT, dataset_version=TEXT, messages=Items(_SAID), prompt_sha256=_SHA256, completion_sha256=_SHA256)
+DPO_ROW = optional({"tags": _TEXTS}, id=TEXT, raw_id=TEXT, dataset_version=TEXT, heuristic=TEXT, prompt=Items(_SAID), chosen=TEXT, rejected=TEXT, chosen_sha256=_SHA256, rejected_sha256=_SHA256)

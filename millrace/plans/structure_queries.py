@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators import booking_shapes as b
-from millrace.operators import contracts, shapes
+from millrace.operators import contracts, preflight, shapes
 from millrace.operators.rules import missing_slots, with_tool_status
 from millrace.operators.shapes import TEXT, WHOLE, Nullable, Record, one_of
 from millrace.plans.rule_queries import _RECORDS, records
@@ -167,3 +167,37 @@ def message_structure(spark: SparkSession, sf: str) -> DataFrame:
     turns = table(spark, sf, "conversations").select(F.lit("turn"), F.col("conv_id") * 100 + F.col("turn"), _json(role=F.col("role"), content=F.col("text")))
     spoilt = calls.union(results).union(turns).withColumn("t", _spoilt(F.col("t"), F.col("n"), _MESSAGE_CHANGES))
     return spoilt.select("kind", "n", F.explode(shapes.problems_of_text(b.WHOLE_MESSAGE, F.col("t"))).alias("p")).select("kind", "n", "p.path", "p.issue")
+
+
+_DPO_CHANGES = ((11, 0, '"heuristic":"H1"', '"heuristic":null'), (13, 1, '"chosen_sha256":"[0-9a-f]{4}', '"chosen_sha256":"'), (17, 2, '"rejected_sha256":"[0-9a-f]{4}', '"rejected_sha256":"0000'), (19, 3, '"id":"dpo', '"id":"dpo-FROZEN'), (23, 4, '}$', ''), (29, 5, '"tags":', '"more":1,"tags":'), (31, 6, '"id":"dpo-[0-9]+', '"id":"dpo-1'))
+_DPO_SQL = _DECISIONS.replace(", s AS (", ", sp AS (") + f""", l0 AS (SELECT id, to_json({{'id': 'dpo-' || id || '-H1', 'raw_id': 'r' || id, 'dataset_version': 'v', 'heuristic': 'H1', 'prompt': [{{'role': 'user', 'content': 'hi'}}], 'chosen': t, 'rejected': t || ' ', 'chosen_sha256': sha256(t), 'rejected_sha256': sha256(t || ' '), 'tags': ['a']}})::VARCHAR AS t FROM sp),
+s AS (SELECT id, {_spoilt_sql('t', 'id', _DPO_CHANGES)} AS t FROM l0), k AS (SELECT *, {problems_of_text_sql(b.DPO_ROW, 't')} AS p, CASE WHEN json_valid(t) THEN json_extract_string(t, '$.id') END AS name FROM s),
+d AS (SELECT *, name IS NOT NULL AND row_number() OVER (PARTITION BY name ORDER BY lpad(CAST(id // 500 AS VARCHAR), 9, '0'), id) > 1 AS again FROM k), c AS (SELECT *, len(p) = 0 AS sound FROM d),
+f AS (SELECT id, sound, list_concat(list_concat(list_concat(p, CASE WHEN sound AND regexp_matches(lower(name), 'frozen|diagnostic|missing_mock_prediction|phase02|base_benchmark') THEN [{{'path': '$.id', 'issue': 'forbidden'}}] ELSE [] END),
+ CASE WHEN sound AND NOT regexp_matches(lower(name), 'frozen|diagnostic|missing_mock_prediction|phase02|base_benchmark') AND sha256(t ->> '$.rejected') <> (t ->> '$.rejected_sha256') THEN [{{'path': '$.rejected_sha256', 'issue': 'digest'}}] ELSE [] END), CASE WHEN again THEN [{{'path': '$.id', 'issue': 'duplicate'}}] ELSE [] END) AS p FROM c)
+"""
+
+
+def _dpo_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """A line-delimited file of preference pairs of all orders, sound or spoilt, checked."""
+    a, k = F.col("answer"), F.col("id").cast("string")
+    other = F.concat(a, F.lit(" "))
+    line = _json(id=F.concat(F.lit("dpo-"), k, F.lit("-H1")), raw_id=F.concat(F.lit("r"), k), dataset_version=F.lit("v"), heuristic=F.lit("H1"), prompt=F.array(F.struct(F.lit("user").alias("role"), F.lit("hi").alias("content"))),
+                 chosen=a, rejected=other, chosen_sha256=F.sha2(a, 256), rejected_sha256=F.sha2(other, 256), tags=F.array(F.lit("a")))
+    lines = decision_texts(spark, sf).select("id", F.lpad(F.expr("id div 500").cast("string"), 9, "0").alias("part"), _spoilt(line, F.col("id"), _DPO_CHANGES).alias("value"))
+    path = new_path(spark, "pairs")
+    lines.repartition("part").sortWithinPartitions("part", "id").select("part", "value").write.partitionBy("part").text(path)
+    rows = preflight.forbid_ids(checked.read_checked(spark, f"{path}/*/*.txt", b.DPO_ROW))
+    return checked.with_duplicates(preflight.check_digests(rows, {"chosen_sha256": "chosen", "rejected_sha256": "rejected"}), "id")
+
+
+@query(_DPO_SQL + ", u AS (SELECT unnest(p, recursive := true) FROM f) SELECT path, issue, count(*) AS n FROM u GROUP BY ALL")
+def preference_faults(spark: SparkSession, sf: str) -> DataFrame:
+    """Faults of a file of preference pairs by path and kind: structure, digests, ids of evaluation rows, repeated ids."""
+    return preflight.by_issue(_dpo_lines(spark, sf))
+
+
+@query(_DPO_SQL + "SELECT count(*) AS n_rows, (SELECT count(*) FROM orders) AS n_expected, count(*) FILTER (len(p) > 0) AS n_bad, CAST(sum(len(p)) AS BIGINT) AS n_problems, count(*) FILTER (len(p) > 0) = 0 AND count(*) = (SELECT count(*) FROM orders) AS passed FROM f")
+def preference_preflight(spark: SparkSession, sf: str) -> DataFrame:
+    """The gate's verdict on that file: rows, faults, and whether it may be trained on."""
+    return preflight.report(_dpo_lines(spark, sf), F.lit(table(spark, sf, "orders").count()))
