@@ -6,6 +6,7 @@ Each stage takes (spark, docs, sf_dir) and returns documents; its output is writ
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from millrace.llm import decontaminate, mixing, near_dedup, quality, sharding
 from millrace.llm.common import read, settle
@@ -17,8 +18,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     A null or blank text fails the base rules. Null languages and sources are groups like any other; each row is judged by itself, so repeated rows and
     keys share their verdict. A very long text is measured in pieces. An empty table stays empty; extra columns are kept."""
-    measured = settle(quality.measure(docs), "measured")
-    return quality.judge(measured, quality.thresholds(quality.sketch(measured))).where("kept").select(*docs.columns)
+    # rows travel as one column, so that none of theirs meets a measure's name
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_")
+    measured = settle(quality.measure(docs.select(whole, "text", "lang", "source"), keep_text=False), "measured")
+    return quality.judge(measured, quality.thresholds(quality.sketch(measured))).where("kept").select("row_.*")
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
