@@ -73,13 +73,19 @@ _GENERATION = optional({
     "state_transition_metadata": Nullable(optional({"changed_fields": _TEXTS, "preserved_fields": _TEXTS, "invalidated_fields": _TEXTS})),
     "tool_fact_metadata": Nullable(optional({"tool_mode": TEXT, "tool_result_status": TEXT, "requested_chef": _TEXT, "candidate_ids": _TEXTS, "candidate_order": _TEXTS, "evidence_fields": _TEXTS})),
 }, prompt_sha256=Leaf("text", pattern=r"^[\s\S]{64}$"), generated_at=TEXT)
-SAMPLE = optional(
-    {
-        "contract_id": one_of("homechef-booking-v1"), "source": one_of("synthetic"), "tags": _TEXTS, "dpo_targets": Items(one_of(*TARGETS)),
-        "review": optional({"status": one_of("machine_validated", "human_reviewed", "rejected"), "reviewer": _TEXT, "notes": _TEXTS}),
-    },
-    id=TEXT, dataset_version=TEXT, scenario=TEXT, output_kind=one_of("tool_call", "final"), conversation_kind=one_of("single_turn", "multi_turn"), input=INPUT, expected=DECISION, generation=_GENERATION,
-)
+
+
+def sample(contract: str) -> Record:
+    """A raw sample made under the contract of this name."""
+    return optional(
+        {
+            "contract_id": one_of(contract), "source": one_of("synthetic"), "tags": _TEXTS, "dpo_targets": Items(one_of(*TARGETS)),
+            "review": optional({"status": one_of("machine_validated", "human_reviewed", "rejected"), "reviewer": _TEXT, "notes": _TEXTS}),
+        },
+        id=TEXT, dataset_version=TEXT, scenario=TEXT, output_kind=one_of("tool_call", "final"), conversation_kind=one_of("single_turn", "multi_turn"), input=INPUT, expected=DECISION, generation=_GENERATION,
+    )
+
+
 _SAID = Record({"role": TEXT, "content": TEXT})
 _SHA256 = Leaf("text", pattern=r"^[\s\S]{64}$")
 SFT_ROW = optional({"tags": _TEXTS}, id=TEXT, raw_id=TEXT, dataset_version=TEXT, messages=Items(_SAID), prompt_sha256=_SHA256, completion_sha256=_SHA256)

@@ -110,13 +110,14 @@ def test_shapes_as_by_recursion(spark, shape, sound):
 
 
 def test_whole_samples(spark):
+    shape = b.sample("contract-1")
     state = {"booking_state": {}, "awaiting_confirmation": False}
     given = {"history": MESSAGES, "current_state": state, "user_input": None, "current_time": "2026-08-12 09:00", "available_tools": [{"type": "function", "function": {"name": "find_chefs", "description": "d", "parameters": {"any": 1}}}]}
     sample = {"id": "a", "dataset_version": "v", "scenario": "s", "output_kind": "final", "conversation_kind": "multi_turn", "input": given, "expected": FINAL, "generation": {"prompt_sha256": "0" * 64, "generated_at": "t", "relative_time_metadata": None}, "dpo_targets": ["H1", "H9"]}
     rng = random.Random(6)
-    values = [sample, sample | {"dpo_targets": ["H10"]}, sample | {"contract_id": "x"}, *[spoilt(rng, sample) for _ in range(60)]]
-    rows = spark.createDataFrame([(i, json.dumps(v)) for i, v in enumerate(values)], "i long, t string").select("i", s.problems_of_text(b.SAMPLE, F.col("t")).alias("p")).collect()
-    assert {r.i: sorted(map(tuple, r.p)) for r in rows} == {i: sorted(plain(b.SAMPLE, v)) for i, v in enumerate(values)}
+    values = [sample, sample | {"dpo_targets": ["H10"]}, sample | {"contract_id": "x"}, sample | {"contract_id": "contract-1"}, *[spoilt(rng, sample) for _ in range(60)]]
+    rows = spark.createDataFrame([(i, json.dumps(v)) for i, v in enumerate(values)], "i long, t string").select("i", s.problems_of_text(shape, F.col("t")).alias("p")).collect()
+    assert {r.i: sorted(map(tuple, r.p)) for r in rows} == {i: sorted(plain(shape, v)) for i, v in enumerate(values)}
 
 
 def test_texts_that_are_no_json(spark):
