@@ -34,11 +34,15 @@ def _json(**fields: Column) -> Column:
 
 #: How texts are spoilt: those of which the number leaves rest r on division by m have a pattern replaced (in SQL's notation of groups), or lose their last character.
 def _spoilt(text: Column, number: Column, changes) -> Column:
-    for m, r, pattern, to in changes:  # each text appears once in the expression: elsewhere the pattern is one that fits nothing
-        text = F.regexp_replace(text, F.when(number % m == r, pattern).otherwise("(?!)"), F.lit(to.replace("\\1", "$1")))
+    for change in changes:  # only texts that are changed meet a pattern, and each text is computed once
+        text = shapes.let(text, _changed(number, *change))
     return text
 
 
+def _changed(number: Column, m: int, r: int, pattern: str, to: str):
+    return lambda t: F.when(number % m == r, F.regexp_replace(t, F.lit(pattern), F.lit(to.replace("\\1", "$1")))).otherwise(t)
+
+
 def _spoilt_sql(text: str, number: str, changes) -> str:
     for m, r, pattern, to in changes:
         text = f"CASE WHEN {number} % {m} = {r} THEN regexp_replace({text}, '{pattern}', '{to}', 'g') ELSE {text} END"

@@ -201,3 +201,27 @@ def test_string_leaves(spark):
     assert got[:7] == [[], [], [], [], ["one"], ["2", "1", "3"], [" a ", ""]]
     assert got[7:] == [list(collect(json.loads(t))) for t in texts[7:]]
     assert spark.range(1).select(leaves.calibration_line(F.lit(texts[6])).alias("x")).first().x == "a"
+
+
+def test_objects_are_not_asked_for_their_schema(spark):
+    # the schema of a scalar only: that of an object costs as much as reading all of it, at every level again
+    plan = spark.range(1).select(s.problems_of_text(b.DECISION, F.lit("{}")).alias("p"))._jdf.queryExecution().logical().toString().lower()
+    assert "^object" not in plan and "^array" not in plan
+    deep = '{"action":"tool_call","arguments":' * 3 + "null" + "}" * 3
+    assert [tuple(p) for p in spark.range(1).select(s.problems_of_text(b.DECISION, F.lit(deep)).alias("p")).first().p][-1] == ("$.arguments.arguments", "extra")
+
+
+def test_spoilt_texts_meet_constant_patterns_only(spark):
+    from millrace.plans import structure_queries as q
+
+    changes = ((2, 0, "a", "b"), (3, 0, "^(.)", "<\\1>"))
+    out = spark.range(7).select(q._spoilt(F.when(F.col("id") != 1, "aha"), F.col("id"), changes).alias("t"))
+    assert [r.t for r in out.collect()] == ["<b>hb", None, "bhb", "<a>ha", "bhb", "aha", "<b>hb"]
+    assert "(?!)" not in out._jdf.queryExecution().logical().toString()
+
+
+def test_records_are_spread_over_tasks(spark):
+    from millrace.plans.rule_queries import records
+
+    plan = records(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
