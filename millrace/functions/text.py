@@ -49,7 +49,9 @@ def levenshtein_ratio(a: Column, b: Column) -> Column:
 
 def stripped(text: Column) -> Column:
     """Without white space at both ends, Unicode's included."""
-    return F.regexp_replace(text, rf"^{BLANK}+|{BLANK}+$", "")
+    # most texts have none, and a search for it would read the whole text
+    ends = F.left(text, F.lit(1)).rlike(BLANK) | F.right(text, F.lit(1)).rlike(BLANK)
+    return F.when(ends, F.regexp_replace(text, rf"^{BLANK}+|{BLANK}+$", "")).otherwise(text)
 
 
 def is_affirmative(text: Column) -> Column:

@@ -10,6 +10,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from millrace.operators.shapes import let
+
 #: What ids of rows for evaluation contain.
 FORBIDDEN_IDS = ("frozen", "diagnostic", "missing_mock_prediction", "phase02", "base_benchmark")
 
@@ -26,11 +28,15 @@ def forbid_ids(rows: DataFrame, forbidden: tuple[str, ...] = FORBIDDEN_IDS) -> D
 
 def check_digests(rows: DataFrame, texts: dict[str, str]) -> DataFrame:
     """Adds a problem to sound rows in which a digest isn't that of its text (``texts``: key of the digest to key of the text)."""
-    parsed, out = F.try_parse_json("value"), F.col("problems")
-    get = lambda k: F.try_variant_get(parsed, f"$.{k}", "string")
-    for digest, text in texts.items():
-        out = _add(out, (F.size("problems") == 0) & (F.sha2(get(text), 256) != get(digest)), f"$.{digest}", "digest")
-    return rows.withColumn("problems", out)
+    get = lambda v, k: F.try_variant_get(v, f"$.{k}", "string")
+
+    def found(v: Column) -> Column:
+        out = F.col("problems")
+        for digest, text in texts.items():
+            out = _add(out, F.sha2(get(v, text), 256) != get(v, digest), f"$.{digest}", "digest")
+        return out
+
+    return rows.withColumn("problems", F.when(F.size("problems") == 0, let(F.try_parse_json("value"), found)).otherwise(F.col("problems")))
 
 
 @dataclass(frozen=True)

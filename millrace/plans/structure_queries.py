@@ -182,13 +182,17 @@ f AS (SELECT id, sound, list_concat(list_concat(list_concat(p, CASE WHEN sound A
 """
 
 
+#: Orders whose pairs share a file, some 50 MB of it: files of any number of orders, by the order of ids, have their lines in one order.
+_PART = 50_000
+
+
 def _dpo_lines(spark: SparkSession, sf: str) -> DataFrame:
     """A line-delimited file of preference pairs of all orders, sound or spoilt, checked."""
     a, k = F.col("answer"), F.col("id").cast("string")
     other = F.concat(a, F.lit(" "))
     line = _json(id=F.concat(F.lit("dpo-"), k, F.lit("-H1")), raw_id=F.concat(F.lit("r"), k), dataset_version=F.lit("v"), heuristic=F.lit("H1"), prompt=F.array(F.struct(F.lit("user").alias("role"), F.lit("hi").alias("content"))),
                  chosen=a, rejected=other, chosen_sha256=F.sha2(a, 256), rejected_sha256=F.sha2(other, 256), tags=F.array(F.lit("a")))
-    lines = decision_texts(spark, sf).select("id", F.lpad(F.expr("id div 500").cast("string"), 9, "0").alias("part"), _spoilt(line, F.col("id"), _DPO_CHANGES).alias("value"))
+    lines = decision_texts(spark, sf).select("id", F.lpad(F.expr(f"id div {_PART}").cast("string"), 9, "0").alias("part"), _spoilt(line, F.col("id"), _DPO_CHANGES).alias("value"))
     path = new_path(spark, "pairs")
     lines.repartition("part").sortWithinPartitions("part", "id").select("part", "value").write.partitionBy("part").text(path)
     rows = preflight.forbid_ids(checked.read_checked(spark, f"{path}/*/*.txt", b.DPO_ROW))

@@ -42,3 +42,10 @@ def test_sound_and_empty_files(spark, tmp_path):
     assert tuple(preflight.report(read(spark, tmp_path / "a.jsonl"), F.lit(5)).first()) == (5, 5, 0, 0, True)
     assert preflight.write_gated(read(spark, tmp_path / "a.jsonl"), str(tmp_path / "out"), 5).passed
     assert tuple(preflight.report(read(spark, tmp_path / "b.jsonl"), F.lit(5)).first()) == (0, 5, 0, 0, False)
+
+
+def test_files_of_pairs_hold_many_orders(spark):
+    from millrace.plans import structure_queries as q
+
+    # a file of 500 orders made their number grow with the input: three files here
+    assert q._dpo_lines(spark, "/root/testdata/sf0.001").select("file").distinct().count() == 1
