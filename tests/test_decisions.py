@@ -132,3 +132,12 @@ def test_pairs(made):
     day = {(r.id, r.heuristic): json.loads(r.rejected) for r in rows}
     assert day["final", "H5"]["booking_state"]["service_date"] == "2026-08-15" and day["final", "H8"]["candidate_chefs"] == ["b", "a"] and day["final", "H2"]["arguments"]["menu"] == []
     assert all(r.chosen != r.rejected and r.chosen_sha256 != r.rejected_sha256 and len(r.chosen_sha256) == 64 for r in rows)
+
+
+def test_pairs_write_the_chosen_side_once(spark):
+    from millrace.operators import decisions as d
+    from millrace.plans import decision_queries as q
+
+    plan = d.preference_pairs(q.cases(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
+    # nothing above the rows of pairs compares with the chosen side's JSON again
+    assert not [x for x in plan.splitlines() if x.lstrip(" :+-").startswith("Filter") and "rejected" in x]
