@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from millrace.operators.decisions import SLOTS
 from millrace.operators.rules import REQUIRED, STATUS, issues
+from millrace.operators.shapes import let
 
 CHEFS = "array<struct<chef_id:string,chef_name:string>>"
 
@@ -133,8 +134,7 @@ def _spaced(value: Column, kind: T.DataType) -> Column:
         return F.when(value.isNull(), "null").otherwise(F.concat(F.lit("{"), F.array_join(F.array(*each), ", "), F.lit("}")))
     if isinstance(kind, T.ArrayType):
         return F.when(value.isNull(), "null").otherwise(F.concat(F.lit("["), F.array_join(F.transform(value, lambda x: _spaced(x, kind.elementType)), ", "), F.lit("]")))
-    text = F.to_json(F.array(value))
-    return F.substr(text, F.lit(2), F.length(text) - 2)
+    return let(F.to_json(F.array(value)), lambda text: F.substr(text, F.lit(2), F.length(text) - 2))
 
 
 def spaced_json(df: DataFrame, column: str) -> DataFrame:
@@ -157,7 +157,7 @@ def prompt(contract: Column, rules: Column, time: Column, state: Column, tools:
     """The messages of a prompt, each as canonical JSON: a system message that holds the contract, rules, time, state and tools, then the past ones, then what the user says, if anything.
 
     ``contract``, ``state`` and ``tools`` are canonical JSON themselves, ``past`` an array of such messages (null: none)."""
-    quoted = lambda c: F.substr(F.to_json(F.array(c)), F.lit(2), F.length(F.to_json(F.array(c))) - 2)
+    quoted = lambda c: let(F.to_json(F.array(c)), lambda text: F.substr(text, F.lit(2), F.length(text) - 2))
     body = F.concat(F.lit('{"available_tools":'), tools, F.lit(',"current_state":'), state, F.lit(',"current_time":'), quoted(time), F.lit(',"output_contract":'), contract, F.lit(',"rules":'), quoted(rules), F.lit("}"))
     message = lambda role, text: F.to_json(F.struct(text.alias("content"), F.lit(role).alias("role")))
     now = F.when(said.isNotNull(), F.array(message("user", said))).otherwise(F.array().cast("array<string>"))
@@ -166,9 +166,10 @@ def prompt(contract: Column, rules: Column, time: Column, state: Column, tools:
 
 def with_block(messages: Column, block: str) -> Column:
     """The messages with a block of text added to the content of the first system message."""
-    first = F.array_position(F.transform(messages, lambda m: F.get_json_object(m, "$.role")), "system")
     put = lambda m: F.to_json(F.struct(F.concat(F.get_json_object(m, "$.content"), F.lit(block)).alias("content"), F.lit("system").alias("role")))
-    return F.transform(messages, lambda m, i: F.when(i + 1 == first, put(m)).otherwise(m))
+    # the messages, and the place of the first, are found once, not once more for each message
+    place = lambda all_: F.array_position(F.transform(all_, lambda m: F.get_json_object(m, "$.role")), "system")
+    return let(messages, lambda all_: let(place(all_), lambda first: F.transform(all_, lambda m, i: F.when(i + 1 == first, put(m)).otherwise(m))))
 
 
 def to_text(messages: Column) -> Column:

@@ -45,7 +45,7 @@ def facts(spark: SparkSession, sf: str) -> DataFrame:
     tool = k % 7 != 3
     return r.select(
         "id", F.struct(*[v.alias(n) for n, v in booking.items()]).alias("booking"), F.when(tool, c("mode")).otherwise("").alias("tool_mode"), F.when(tool, c("status")).otherwise("").alias("tool_status"), F.when(tool, result).alias("result"),
-        F.when(k % 9 == 0, one).alias("selected"), F.when(k % 4 == 3, "王师傅").alias("requested_chef"), "confirms", "rejects", F.when(c("unrelated"), "unrelated").otherwise("other").alias("scenario"),
+        F.when(k % 9 == 0, one).alias("selected"), F.when(k % 4 == 3, "王师傅").alias("requested_chef"), "confirms", "rejects", F.when(c("unrelated"), "unrelated").otherwise("other").alias("scenario"), "chefs",
     )
 
 
@@ -100,12 +100,10 @@ def prompt_messages(spark: SparkSession, sf: str) -> DataFrame:
     """The whole prompt of each scenario, a line of canonical JSON for each message: system with an added block, history with call and answer, user."""
     f = facts(spark, sf).select(
         "id", renders.current_state().alias("state"), renders.arguments().alias("args"), F.when(F.col("tool_mode") != "", F.concat(F.lit("call_"), F.col("id").cast("string"))).alias("call_id"),
-        F.struct(F.col("tool_mode").alias("mode"), F.col("tool_status").alias("status"), F.coalesce("result.candidates", "result.alternatives", F.array().cast(renders.CHEFS)).alias("chefs")).alias("answer"),
+        F.struct(F.col("tool_mode").alias("mode"), F.col("tool_status").alias("status"), F.col("chefs").alias("chefs")).alias("answer"),
     )
-    chefs = records(spark, sf).select("id", F.transform("tool_ids", lambda x: F.struct(F.concat(F.lit("chef_"), x.cast("string")).alias("chef_id"), F.concat(F.lit("厨师"), x.cast("string")).alias("chef_name"))).alias("chefs"))
-    f = f.join(chefs, "id").withColumn("answer", F.col("answer").withField("chefs", F.col("chefs")))
     f = renders.spaced_json(renders.spaced_json(renders.canonical_json(f, ["state"]), "args"), "answer")
     past = F.when(F.col("call_id").isNotNull(), renders.history(F.col("call_id"), F.lit("你好"), F.col("args"), F.col("answer")))
     messages = renders.prompt(F.lit(_CONTRACT), F.lit(_RULES_TEXT), F.lit("2026-08-12 09:00"), F.col("state"), F.lit(_TOOLS), past, F.when(F.col("id") % 5 != 2, '4"人'))
     text = renders.to_text(renders.with_block(messages, _BLOCK))
-    return f.select("id", F.length(text).cast("long").alias("n_chars"), F.sha2(text, 256).alias("prompt_sha256"))
+    return f.select("id", text.alias("text")).select("id", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("prompt_sha256"))

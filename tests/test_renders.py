@@ -83,3 +83,9 @@ def test_prompts(spark):
     want = [*map(canonical, [system, *past, {"role": "user", "content": "4人"}])]
     assert got.a == want and got.b == want[:1] and got.t == "\n".join(want)
     assert got.c == [canonical(system | {"content": canonical(body) + "\n!"}), *want[1:]]
+
+
+def test_prompts_read_the_records_once(spark):
+    from millrace.plans import render_queries as q
+
+    assert q.prompt_messages(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().count("Scan parquet") == 2
