@@ -286,17 +286,32 @@ def run_telemetry(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(_RUNS_SQL)
 def run_telemetry_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """The same by a stateful stream over the events in files by time, a file a batch; an event far later makes the timers close what is left open."""
+    """The same by a stateful stream over the events in folders by time, five days a batch at any size; an event far later makes the timers close what is left open."""
     e = _run_events(spark, sf)
     path = new_path(spark, "event-stream")
     days = F.expr("unix_seconds(at) div (5 * 86400)")
     first, last = e.agg(F.min(days), F.max(days)).first()
-    # one write for every five days, so that files come by time; within them they come in any order, which the watermark allows for
-    for n in range(first, last + 1) if first is not None else ():
-        e.where(days == n).write.mode("append").parquet(f"{path}/in")
+    # the events are read once; each five days are then a folder
+    e.withColumn("days", days).write.partitionBy("days").parquet(f"{path}/days")
+    by_days = spark.read.schema(e.withColumn("days", days).schema).parquet(f"{path}/days")
+    e.limit(0).write.parquet(f"{path}/in")
     end = e.agg(F.max("at").alias("at")).select(F.lit(-1).cast("long").alias("run"), (F.coalesce("at", F.current_timestamp()) + F.expr("INTERVAL 30 DAYS")).alias("at"), F.lit("end").alias("kind"), F.lit(None).cast("double").alias("value"))
+    chunks = [by_days.where(F.col("days") == n).drop("days") for n in (range(first, last + 1) if first is not None else ())]
+    stream = runs.runs(spark.readStream.schema(e.schema).parquet(f"{path}/in"), _GAP, "6 days").writeStream.format("parquet").option("checkpointLocation", f"{path}/progress")
+    # the next five days come when the stream has taken those before, in however many files: batches grow in size, not in number. Within them events come in any order, which the watermark allows for
+    timers = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(timers)
+    spark.conf.set(timers, "false")  # timers may wait for the next batch while one follows
+    try:
+        told = stream.start(f"{path}/out")
+    finally:
+        spark.conf.set(timers, before)
+    try:
+        for chunk in chunks:
+            chunk.write.mode("append").parquet(f"{path}/in")
+            told.processAllAvailable()
+    finally:
+        told.stop()
     end.write.mode("append").parquet(f"{path}/in")
-    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
-    told = runs.runs(stream, _GAP, "6 days").writeStream.format("parquet").option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start(f"{path}/out")
-    told.awaitTermination()
+    stream.trigger(availableNow=True).start(f"{path}/out").awaitTermination()
     return spark.read.parquet(f"{path}/out").where("run <> -1")

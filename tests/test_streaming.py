@@ -53,3 +53,16 @@ def test_runs_of_a_stream_as_of_the_table(spark, tmp_path):
     got = sorted(map(repr, spark.read.parquet(str(tmp_path / "out")).where("run <> 99").select(names).collect()))
     want = sorted(map(repr, runs_of_table(spark.createDataFrame(rows, kind), 5000).select(names).collect()))
     assert got == want and len(want) > 50 and {r.split("outcome=")[1] for r in want} == {"'cut')", "'end')", "'error')"}
+
+
+def test_batches_do_not_grow_with_files(spark, tmp_path, monkeypatch):
+    from millrace.plans import eval_queries as q
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    events.repartition(6).write.parquet(str(tmp_path / "sf" / "events.parquet"))
+    monkeypatch.setattr(q, "new_path", lambda spark, name: str(tmp_path / name))
+    got = q.run_telemetry_stream(spark, str(tmp_path / "sf")).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, q.run_telemetry(spark, str(tmp_path / "sf")).collect()))
+    chunks = events.selectExpr("unix_seconds(cast(ts as timestamp)) div 432000 AS n").distinct().count()
+    batches = [p for p in (tmp_path / "event-stream" / "progress" / "commits").iterdir() if p.name.isdigit()]
+    assert len(batches) <= chunks + 3
