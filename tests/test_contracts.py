@@ -54,3 +54,10 @@ def test_lost_facts(spark):
     df = spark.createDataFrame(rows, "v array<string>, said string, again string, want string")
     got = df.select("want", c.lost_fact(F.col("v"), F.col("said"), F.col("again")).alias("got")).collect()
     assert all(r.want == r.got for r in got), got
+
+
+def test_trainer_format_makes_the_cases_once(spark):
+    from millrace.plans import contract_queries as q
+
+    # pairs carry what the user said; joined to the cases again, both sides of every pair would be shuffled
+    assert q.dpo_trainer_format(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().count("Scan parquet") == 2
