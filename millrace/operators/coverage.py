@@ -72,7 +72,8 @@ def coverage_pick(items: DataFrame, labels: DataFrame, key: str, bucket: str, ca
 
     # the walk passes over no more than it takes, so it never looks beyond these
     seen = first(rows, "bucket").union(first(tagged, "bucket", "label")).union(first(tagged, "label")).distinct()
-    seen = seen.join(known.groupBy("key").agg(F.array_sort(F.collect_set("label")).alias("labels")), "key", "left").coalesce(1).sortWithinPartitions("key")
+    # one task takes these rows only: coalescing would draw the labels of all items into it
+    seen = seen.join(known.groupBy("key").agg(F.array_sort(F.collect_set("label")).alias("labels")), "key", "left").repartition(1).sortWithinPartitions("key")
     schema = T.StructType([T.StructField(key, items.schema[key].dataType), T.StructField(bucket, T.StringType()), T.StructField("place", T.IntegerType())])
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -43,3 +43,10 @@ def test_repairs():
 def test_nothing(spark):
     none = spark.createDataFrame([], "id long, level string")
     assert c.coverage_pick(none, spark.createDataFrame([], "id long, label string"), "id", "level", CAPS, {}, LABELS).count() == 0
+
+
+def test_the_walk_is_given_bounded_rows_only(spark):
+    from millrace.plans import data_queries as q
+
+    plan = q.coverage_repaired_pick(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Coalesce 1" not in plan and "SinglePartition" in plan
