@@ -61,3 +61,9 @@ def test_trainer_format_makes_the_cases_once(spark):
 
     # pairs carry what the user said; joined to the cases again, both sides of every pair would be shuffled
     assert q.dpo_trainer_format(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().count("Scan parquet") == 2
+
+
+def test_a_protocol_text_is_parsed_once(spark):
+    # and an object isn't asked for its whole schema to be told from a list
+    plan = spark.createDataFrame([("{}",)], "raw string").select(c.protocol_error(F.col("raw")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") == 1
