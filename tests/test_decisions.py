@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import decisions as d
+from millrace.plans import decision_queries as q
 
 SLOTS = {"chef_name": None, "service_date": "2026-08-14", "start_time": "18:00", "people": 4, "address": "here", "cuisine": ["川菜"], "budget_min": 100, "budget_max": None, "menu": [], "ingredient_purchase": False, "dietary_constraints": ["不吃花生"], "occasion": []}
 RIGHT = {
@@ -136,8 +137,13 @@ def test_pairs(made):
 
 def test_pairs_write_the_chosen_side_once(spark):
     from millrace.operators import decisions as d
-    from millrace.plans import decision_queries as q
 
     plan = d.preference_pairs(q.cases(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
     # nothing above the rows of pairs compares with the chosen side's JSON again
     assert not [x for x in plan.splitlines() if x.lstrip(" :+-").startswith("Filter") and "rejected" in x]
+
+
+def test_predictions_of_cases_are_made_once(spark):
+    # a value that only predictions have: in the arguments of a call, and in the state of an answer
+    plan = q.cases(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("elsewhere") <= 2
