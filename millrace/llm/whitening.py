@@ -152,7 +152,8 @@ def covariance(products: Pair, dim: int, n: int) -> np.ndarray:
 def eigen(v: np.ndarray) -> Pair:
     """Eigenvalues, falling, and unit eigenvectors as columns.
 
-    Two steps of iterative refinement in extended precision bring the vectors to the full precision of a double; within a cluster of equal eigenvalues they are made orthogonal only."""
+    Two steps of iterative refinement in extended precision bring the vectors to the full precision of a double; within a cluster of equal eigenvalues they are made orthogonal only.
+    What vectors of nearly equal eigenvalues have lost of their right angles is put right at last."""
     v = v.astype(np.longdouble)
     q = np.linalg.eigh(v.astype(np.float64))[1].astype(np.longdouble)
     for _ in range(2):
@@ -162,6 +163,7 @@ def eigen(v: np.ndarray) -> Pair:
         gap = e[None, :] - e[:, None]
         apart = np.abs(gap) > near
         q = q + q @ np.where(apart, (s + r * e[None, :]) / np.where(apart, gap, 1), r / 2)
+    q = q + q @ (np.eye(len(v)) - q.T @ q) / 2
     order = np.argsort(-e, kind="stable")
     return e[order], q[:, order]
 
