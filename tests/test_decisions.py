@@ -147,3 +147,11 @@ def test_predictions_of_cases_are_made_once(spark):
     # a value that only predictions have: in the arguments of a call, and in the state of an answer
     plan = q.cases(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("elsewhere") <= 2
+
+
+def test_targeted_pairs_make_the_cases_once(spark):
+    # and carry the customer; joined to cases and orders again, every pair was shuffled
+    cases = q.cases(spark, "/root/testdata/sf0.001").withColumn("targets", F.array(F.lit("H1"), F.lit("H3")))
+    pairs = d.targeted_pairs(cases, F.col("id") % 5 == 0, "cust")
+    assert pairs._jdf.queryExecution().executedPlan().toString().count("Scan parquet") == 2
+    assert {r.heuristic for r in pairs.select("heuristic").distinct().collect()} == {"H1", "H3", "H6"}
