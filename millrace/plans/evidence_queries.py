@@ -10,7 +10,6 @@ from millrace.operators import evidence as ev
 from millrace.plans.rule_queries import _RECORDS
 from millrace.plans.shape_sql import problems_of_text_sql
 from millrace.plans.structure_queries import _RESULT_CHANGES, _RESULT_SQL, _spoilt_sql, tool_results
-from millrace.sources.tables import table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -28,7 +27,7 @@ def query(sql: str):
 def histories(spark: SparkSession, sf: str) -> DataFrame:
     """A history for each customer with orders: each order is a call, a result, or both; ids of calls repeat, and some results answer none. Every third customer brings a state."""
     k = F.col("id")
-    results = tool_results(spark, sf).join(table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("cust")), "id")
+    results = tool_results(spark, sf)
     called = F.concat(F.lit("c"), (k % 3).cast("string"))
     args = F.concat(F.lit('{"chef_name":'), F.when(k % 4 == 0, "null").otherwise(F.concat(F.lit('"n'), (k % 7).cast("string"), F.lit('"'))), F.lit(',"people":'), (k % 5).cast("string"), F.lit("}"))
     message = lambda place, role, name, content: F.struct(k.alias("id"), F.lit(place).alias("place"), F.lit(role).alias("role"), name.alias("call_id"), content.alias("content"))

@@ -81,7 +81,7 @@ _RESULT_SQL = f"""CASE WHEN status = 'odd' THEN to_json({{'mode': mode, 'status'
 
 
 def tool_results(spark: SparkSession, sf: str) -> DataFrame:
-    """A tool result (id, content) as JSON for each order, in all variants, sound or spoilt."""
+    """A tool result (id, customer, content) as JSON for each order, in all variants, sound or spoilt."""
     mode, status = F.col("mode"), F.col("status")
     chefs = F.transform("tool_ids", lambda x: F.struct(F.concat(F.lit("chef_"), x.cast("string")).alias("chef_id"), F.concat(F.lit("name-"), x.cast("string")).alias("chef_name")))
     text = (
@@ -91,7 +91,7 @@ def tool_results(spark: SparkSession, sf: str) -> DataFrame:
         .when(status == "available", _json(mode=mode, status=status, chef=F.get(chefs, F.lit(0))))
         .otherwise(_json(mode=mode, status=status, requested_chef=F.lit("n"), alternatives=chefs))
     )
-    return records(spark, sf).select("id", "mode", "status", _spoilt(text, F.col("id"), _RESULT_CHANGES).alias("content"))
+    return records(spark, sf).select("id", "cust", "mode", "status", _spoilt(text, F.col("id"), _RESULT_CHANGES).alias("content"))
 
 
 @query(_RECORDS + f""", t AS (SELECT id, {_RESULT_SQL}::VARCHAR AS t FROM r), s AS (SELECT id, {_spoilt_sql('t', 'id', _RESULT_CHANGES)} AS t FROM t),

@@ -81,3 +81,9 @@ def test_no_history_and_no_state(spark):
     df = spark.createDataFrame([(None, None), ([], None)], f"messages {ev.MESSAGES}, state {STATE}").withColumn("seen", ev.fold(ev.parsed(F.col("messages"))))
     rows = df.select(ev.evidence(F.col("seen"), F.col("state")).alias("e"), ev.verified_set(F.col("seen"), F.col("state")).alias("m")).collect()
     assert all(tuple(r.e) == (None, None, [], [], []) and r.m == [] for r in rows)
+
+
+def test_histories_read_orders_once(spark):
+    from millrace.plans.evidence_queries import histories
+
+    assert histories(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().count("Scan parquet") == 2
