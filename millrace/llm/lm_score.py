@@ -14,12 +14,12 @@ the scores don't depend on how rows lie in partitions.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +36,10 @@ _SIDES = (-2, -1, 1, 2)
 _SHORT = 8
 #: Distinct words that a task counts before it passes them on.
 _COUNTED = 400_000
+#: Bytes of text that are split into words at once.
+_PIECE = 8 << 20
+#: Bytes of freed arrays that a task keeps, instead of getting new pages in each step.
+_KEPT = 24 << 20
 #: Words whose counts are broadcast, those of the vocabulary included; counts of the others are joined.
 HEAD = 65_536
 
@@ -50,48 +54,95 @@ def _shapes(size: int) -> tuple[tuple[int, ...], ...]:
     return (len(_SIDES), size, WIDTH), (WIDTH,), (WIDTH, classes), (classes,), (classes, WIDTH, size // classes), (classes, size // classes)
 
 
-def _words(text: str | None) -> Iterator[list[bytes]]:
-    return word_lists((text or "").encode("utf-8", "surrogatepass").lower())
+def _pieces(texts: pa.Array) -> Iterator[tuple[int, int, Iterator[pa.Array]]]:
+    """Texts in runs of about ``_PIECE`` bytes: begin, end, and their texts as one array. A longer text is a run of its own, in several arrays that are cut between words."""
+    texts = pc.fill_null(texts, "")
+    ends, at = np.cumsum(pc.binary_length(texts).to_numpy()), 0
+    while at < len(texts):
+        begin = ends[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(ends, begin + _PIECE, "right")))
+        if ends[end - 1] - begin > _PIECE:
+            yield at, end, (pa.array([b" ".join(ws)], pa.binary()).view(pa.string()) for ws in word_lists(texts[at].as_buffer().to_pybytes(), _PIECE))
+        else:
+            yield at, end, iter([texts.slice(at, end - at)])
+        at = end
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: Counter[bytes] = Counter()
-    batch_of = lambda: pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
-    for batch in batches:
-        for t in batch.column(0):
-            for ws in _words(t.as_py()):
-                seen.update(ws)
-        if len(seen) > _COUNTED:
-            yield batch_of()
-            seen.clear()
-    yield batch_of()
+def _split(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The different words of texts in lower case, and for each word of the texts the index of it and of its text. A blank at an end of a text leaves an empty word there."""
+    found = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words = found.flatten().dictionary_encode()
+    return words.dictionary.cast(pa.binary()), words.indices.to_numpy(), np.repeat(np.arange(len(texts)), pc.list_value_length(found).to_numpy())
 
 
-class _Vocabulary(dict):
-    """Frequent words to codes. 0 is the border, then come the buckets of rare words, then the words of the network's vocabulary, up to ``size``; codes from there on are those of
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen, n_seen = [], 0
+    total = lambda: pa.concat_tables(seen).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"])
+    for batch in batches:
+        for _, _, parts in _pieces(batch.column(0)):
+            for part in parts:
+                words, which, _ = _split(part)
+                counts = pa.table({"word": words, "n": np.bincount(which, minlength=len(words))})
+                seen.append(counts.filter(pc.greater(pc.binary_length(words), 0)))
+                n_seen += len(words)
+                if n_seen > 2 * _COUNTED:
+                    seen = [total()]
+                    n_seen = len(seen[0])
+                    if n_seen > _COUNTED:
+                        yield from seen.pop().to_batches()
+                        n_seen = 0
+    if seen:
+        yield from total().to_batches()
+
+
+class _Read(NamedTuple):
+    """Of texts: the network's ids of all their words, the number of each one's words, what the counts of words with codes and of buckets say, and
+    the words without a code, how often each text has each, and their number by text."""
+
+    ids: np.ndarray
+    n: np.ndarray
+    known: np.ndarray
+    tail: pa.Array
+    tail_n: np.ndarray
+    n_tail: np.ndarray
+
+
+class _Vocabulary:
+    """Frequent words and their codes. 0 is the border, then come the buckets of rare words, then the words of the network's vocabulary, up to ``size``; codes from there on are those of
     rare words whose counts are known. ``ids`` has the network's id for each code (a bucket for rare words) and ``shares`` the logarithm of a rare word's count."""
 
     def __init__(self, known: list[bytes], rare: list[bytes], counts: np.ndarray, size: int = VOCAB):
-        super().__init__(zip(known, range(RARE + 1, size), strict=False))
-        self.update(zip(rare, range(size, size + len(rare)), strict=True))
+        codes = np.r_[RARE + 1 : RARE + 1 + len(known), size : size + len(rare)]
+        self.words, self.codes = pa.array([*known, *rare], pa.binary()), codes.astype(np.int64)
         self.size = size
-        self.ids = np.concatenate([np.arange(size), np.array([_bucket(w) for w in rare], np.int64)]).astype(np.int64)
+        self.ids = np.concatenate([np.arange(size), np.array([_bucket(w) for w in rare], np.int64)]).astype(_id_kind(size))
         self.shares = np.concatenate([np.zeros(size), np.log(counts)])
 
-    def __missing__(self, word: bytes) -> int:
-        return _bucket(word)
-
-    def codes(self, ws: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, ws), np.int64, len(ws))
-
-    def read(self, text: str | None) -> tuple[np.ndarray, Counter[bytes]]:
-        """The codes of the words of a text, and how often each word without a code of its own is found in it."""
-        parts, rare = [np.empty(0, np.int64)], Counter()
-        for ws in _words(text):
-            codes = self.codes(ws)
-            parts.append(codes)
-            rare.update(map(ws.__getitem__, np.flatnonzero(codes <= RARE).tolist()))
-        return np.concatenate(parts), rare
+    def read(self, texts: pa.Array, buckets: np.ndarray) -> _Read:
+        words, which, row = _split(texts)
+        at = pc.index_in(words, value_set=self.words)
+        rare = at.is_null().to_numpy(zero_copy_only=False)
+        codes = np.empty(len(words), np.int64)
+        codes[~rare] = self.codes[at.drop_null().to_numpy()]
+        codes[rare] = np.fromiter(map(_bucket, words.filter(pa.array(rare)).to_pylist()), np.int64, int(rare.sum()))
+        filled = pc.binary_length(words).to_numpy() > 0
+        if not filled.all():
+            which, row = (x[filled[which]] for x in (which, row))
+        ids = self.ids[codes]
+        worth = self.shares[codes] - np.where(ids <= RARE, buckets[np.minimum(ids, RARE)], 0)
+        odd = rare[which]
+        tails, tail_n = np.unique(row[odd] * len(words) + which[odd], return_counts=True)
+        n, known, n_tail = np.bincount(row, minlength=len(texts)), np.bincount(row, worth[which], len(texts)), np.bincount(tails // max(1, len(words)), minlength=len(texts))
+        return _Read(ids[which], n, known, words.take(pa.array(tails % max(1, len(words)))), tail_n, n_tail)
+
+    def read_all(self, texts: pa.Array, buckets: np.ndarray) -> Iterator[tuple[int, int, _Read]]:
+        """Runs of texts: begin, end, and what is read of them."""
+        for begin, end, parts in _pieces(texts):
+            parts = [self.read(part, buckets) for part in parts]
+            if len(parts) > 1:  # of one text
+                ids, n, known, tail, tail_n, n_tail = zip(*parts, strict=True)
+                parts = [_Read(np.concatenate(ids), sum(n), sum(known), pa.concat_arrays(tail), np.concatenate(tail_n), sum(n_tail))]
+            yield begin, end, parts[0]
 
 
 def _bucket(word: bytes) -> int:
@@ -145,36 +196,23 @@ def _unpack(flat: np.ndarray, size: int) -> list[np.ndarray]:
     return out
 
 
-def _contexts(ids: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """Ids at the sides of the places, the border beyond the ends."""
+def _contexts(ids: np.ndarray) -> list[np.ndarray]:
+    """Ids at each side of all places, the border beyond the ends."""
     wide = np.zeros(len(ids) + 4, np.int64)
     wide[2:-2] = ids
-    return wide[places[:, None] + 2 + np.array(_SIDES)]
+    return [wide[2 + side : len(ids) + 2 + side] for side in _SIDES]
 
 
-def _exp(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Turns ``x`` into exponentials, each row up to a factor; their sums by row, and the logarithms of the factors (one number where one is safe for all rows)."""
-    top = x.max()
-    if top - x.min() > 60:
+def _exp(x: np.ndarray) -> tuple[np.ndarray, np.ndarray | int]:
+    """Turns ``x`` into exponentials, each row up to a factor; their sums by row, and the logarithms of the factors (0 where all rows are safe without)."""
+    top = 0
+    if max(x.max(), -x.min()) > 60:
         top = x.max(axis=1)
         x -= top[:, None]
-    else:
-        x -= top
     np.exp(x, out=x)
     return x @ np.ones(x.shape[1], x.dtype), top
 
 
-def _softmax(x: np.ndarray) -> None:
-    """Softmax of the rows of ``x``, in its place."""
-    x /= _exp(x)[0][:, None]
-
-
-def _log_sum(x: np.ndarray) -> np.ndarray:
-    """Logarithms of the sums of the exponentials of rows; overwrites ``x``."""
-    total, top = _exp(x)
-    return np.log(total) + top
-
-
 def _hidden(p: list[np.ndarray], context: np.ndarray) -> np.ndarray:
     h = p[0][0].take(context[:, 0], axis=0)
     for k in range(1, len(_SIDES)):
@@ -190,67 +228,100 @@ def _classes(p: list[np.ndarray], target: np.ndarray) -> Iterator[tuple[int, int
     return ((c, ends[c], ends[c + 1]) for c in range(classes) if ends[c] < ends[c + 1])
 
 
+def _order(ids: np.ndarray, size: int) -> np.ndarray:
+    """The stable order of ids below ``size``; 16 bits are sorted by digits."""
+    return np.argsort(ids.astype(np.uint16) if size <= 1 << 16 else ids, kind="stable")
+
+
+def _logits(p: list[np.ndarray], h: np.ndarray, target: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The classes of sorted targets and the words in them: the logits of all, and the target's index among them."""
+    inner = p[5].shape[1]
+    x = h @ p[2]
+    x += p[3]
+    yield x, target // inner
+    x = np.empty((len(h), inner), h.dtype)
+    for c, a, b in _classes(p, target):
+        np.matmul(h[a:b], p[4][c], out=x[a:b])
+        x[a:b] += p[5][c]
+    yield x, target % inner
+
+
 def log_probs(p: list[np.ndarray], context: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Log-probability of each target between its context."""
-    order = np.argsort(target, kind="stable")
+    order = _order(target, p[0].shape[1])
     context, target, at = context.take(order, axis=0), target[order], np.arange(len(target))
-    h, inner = _hidden(p, context), p[5].shape[1]
-    x = h @ p[2] + p[3]
-    each = x[at, target // inner]
-    each -= _log_sum(x)
-    for c, a, b in _classes(p, target):
-        x = h[a:b] @ p[4][c] + p[5][c]
-        each[a:b] += x[at[: b - a], target[a:b] - c * inner]
-        each[a:b] -= _log_sum(x)
+    h = _hidden(p, context)
+    each = np.zeros(len(h), h.dtype)
+    for x, own in _logits(p, h, target):
+        each += x[at, own]
+        total, top = _exp(x)
+        each -= np.log(total) + top
     out = np.empty_like(each)
     out[order] = each
     return out
 
 
-def _run_sums(x: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Sums of the runs of rows of ``x`` that begin at ``first``: short ones with all others of their length, each long one as a product."""
-    n = np.diff(first, append=len(x))
+def _run_sums(x: np.ndarray, at: np.ndarray, first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of runs, the rows ``at[first : first + n]`` of ``x``, and the run that each is of: short ones with all others of their length, long ones as sums of short ones."""
+    run = np.argsort(np.minimum(n, _SHORT + 1).astype(np.uint8), kind="stable")
+    ends = np.searchsorted(n[run], np.arange(1, _SHORT + 1), "right").tolist()
     out = np.empty((len(first), x.shape[1]), x.dtype)
-    for length in range(1, _SHORT + 1):
-        runs = np.flatnonzero(n == length)
-        at = first[runs]
-        total = x.take(at, axis=0)
+    for length, a, b in zip(range(1, _SHORT + 1), [0, *ends], ends, strict=False):
+        begin = first[run[a:b]]
+        x.take(at[begin], axis=0, out=out[a:b], mode="clip")
         for k in range(1, length):
-            total += x.take(at + k, axis=0)
-        out[runs] = total
-    ones = np.ones(n.max(), x.dtype)
-    for run in np.flatnonzero(n > _SHORT).tolist():
-        out[run] = ones[: n[run]] @ x[first[run] : first[run] + n[run]]
-    return out
+            out[a:b] += x.take(at[begin + k], axis=0)
+    long = run[ends[-1] :]
+    if len(long):
+        parts = -(-n[long] // _SHORT)
+        begin = np.cumsum(parts) - parts
+        start = np.repeat(first[long] - _SHORT * begin, parts) + _SHORT * np.arange(parts.sum())
+        sums, of = _run_sums(x, at, start, np.minimum(_SHORT, np.repeat(first[long] + n[long], parts) - start))
+        where = np.empty_like(of)
+        where[of] = np.arange(len(of))
+        out[ends[-1] :], of = _run_sums(sums, where, begin, parts)
+        run[ends[-1] :] = long[of]
+    return out, run
 
 
 def _gradient(p: list[np.ndarray], context: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """Of the summed negative log-probability: rows of the embeddings (side * size + id) and their gradients, and the gradients of all others.
 
     Places are put in the order of their targets, so that each class is a slice."""
-    order = np.argsort(target, kind="stable")
+    size = p[0].shape[1]
+    order = _order(target, size)
     context, target, at = context.take(order, axis=0), target[order], np.arange(len(target))
-    h, inner = _hidden(p, context), p[5].shape[1]
-    d = h @ p[2] + p[3]
-    _softmax(d)
-    d[at, target // inner] -= 1
+    h, errors = _hidden(p, context), []
+    for x, own in _logits(p, h, target):
+        x *= (1 / _exp(x)[0])[:, None]
+        x[at, own] -= 1
+        errors.append(x)
+    d, e = errors
     ones = np.ones(len(h), h.dtype)
-    g = [h.T @ d, ones @ d, np.zeros_like(p[4]), np.zeros_like(p[5])]
+    g = [(d.T @ h).T, ones @ d, np.zeros_like(p[4]), np.zeros_like(p[5])]
     dh = d @ p[2].T
     for c, a, b in _classes(p, target):
-        e = h[a:b] @ p[4][c] + p[5][c]
-        _softmax(e)
-        e[at[: b - a], target[a:b] - c * inner] -= 1
-        g[2][c], g[3][c] = h[a:b].T @ e, ones[a:b] @ e
-        dh[a:b] += e @ p[4][c].T
+        np.matmul(h[a:b].T, e[a:b], out=g[2][c])
+        np.matmul(ones[a:b], e[a:b], out=g[3][c])
+        dh[a:b] += e[a:b] @ p[4][c].T
     h *= h
     dh *= np.subtract(1, h, out=h)
-    size = p[0].shape[1]
-    flat = (context + np.arange(len(_SIDES)) * size).astype(np.uint16 if len(_SIDES) * size <= 1 << 16 else np.int64).ravel()
-    order = np.argsort(flat, kind="stable")
+    flat = (context + np.arange(len(_SIDES)) * size).ravel()
+    order = _order(flat, len(_SIDES) * size)
     flat = flat[order]
     first = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
-    return flat[first].astype(np.int64), _run_sums(dh.take(order // len(_SIDES), axis=0), first), [ones @ dh, *g]
+    sums, run = _run_sums(dh, order // len(_SIDES), first, np.diff(first, append=len(flat)))
+    return flat[first[run]], sums, [ones @ dh, *g]
+
+
+def _learn(w: np.ndarray, past: np.ndarray, g: np.ndarray, rows=...) -> None:
+    """A step of ``w`` (or rows of it) against ``g``, which is overwritten, by the squares of all ``past`` gradients."""
+    s = g * g
+    s += past[rows]
+    past[rows] = s
+    g *= RATE
+    g /= np.sqrt(s, out=s)
+    w[rows] -= g
 
 
 def _trainer(size: int, start, turn: int):
@@ -275,13 +346,10 @@ def _trainer(size: int, start, turn: int):
                 n = part.stop - part.start
                 rows, g, others = _gradient(p, context[part], target[part])
                 g /= n
-                s = wide_past[rows] + g * g
-                wide_past[rows] = s
-                wide[rows] -= RATE * g / np.sqrt(s)
+                _learn(wide, wide_past, g, rows)
                 for w, s, g in zip(p[1:], past[1:], others, strict=True):
                     g /= n
-                    s += g * g
-                    w -= RATE * g / np.sqrt(s)
+                    _learn(w, s, g)
             seen += len(target)
 
         def copy() -> pa.RecordBatch:
@@ -289,6 +357,7 @@ def _trainer(size: int, start, turn: int):
                 step()
             return pa.RecordBatch.from_arrays([pa.array([group] * bool(seen), pa.int64()), pa.array([seen] * bool(seen), pa.int64()), pa.array([flat.tobytes()] * bool(seen), pa.binary())], ["group", "seen", "weights"])
 
+        np.empty(_KEPT, np.uint8)  # freed at once, upon which malloc keeps as much for later arrays
         flat, p, past, seen, waiting, n_waiting = None, [], [], 0, [], 0
         for batch in batches:
             for g, ids in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -298,10 +367,11 @@ def _trainer(size: int, start, turn: int):
                     group, n_waiting = g, 0
                     begin()
                 ids = np.frombuffer(ids.as_buffer(), kind).astype(np.int64)
-                places = np.arange(first(ids), len(ids), ROUNDS)
-                if len(places):
-                    waiting.append((_contexts(ids, places), ids[places]))
-                    n_waiting += len(places)
+                places = slice(first(ids), None, ROUNDS)
+                target = ids[places]
+                if len(target):
+                    waiting.append((np.stack([x[places] for x in _contexts(ids)], axis=1), target))
+                    n_waiting += len(target)
                 if n_waiting >= STEP:
                     step()
                     n_waiting = 0
@@ -332,18 +402,12 @@ def _encoder(sent):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, buckets = sent.value
         for batch in batches:
-            texts, known, tail_words, tail_n, ends = [], [], [], [], [0]
-            for t in batch.column(1):
-                codes, rare = words.read(t.as_py())
-                ids = words.ids[codes]
-                texts.append(ids.astype(_id_kind(words.size)).tobytes())
-                known.append(float(words.shares[codes].sum() - buckets[ids[ids <= RARE]].sum()))
-                tail_words += rare.keys()
-                tail_n += rare.values()
-                ends.append(len(tail_words))
-            tail = pa.StructArray.from_arrays([pa.array(tail_words, pa.binary()), pa.array(tail_n, pa.int64())], ["word", "n"])
-            tails = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), tail)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary()), pa.array(known, pa.float64()), tails], ["key", "ids", "known", "tail"])
+            for begin, end, read in words.read_all(batch.column(1), buckets):
+                offsets = np.r_[0, np.cumsum(read.n)] * read.ids.itemsize
+                ids = pa.Array.from_buffers(pa.binary(), end - begin, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(read.ids)])
+                tail = pa.StructArray.from_arrays([read.tail, pa.array(read.tail_n)], ["word", "n"])
+                tails = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(read.n_tail)].astype(np.int32)), tail)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), ids, pa.array(read.known), tails], ["key", "ids", "known", "tail"])
 
     return encode
 
@@ -450,10 +514,11 @@ def _scored(docs: DataFrame, encoded: DataFrame, model: Model, text: str) -> Dat
 
         for row, t in enumerate(texts):
             ids = np.frombuffer(t.as_buffer(), kind).astype(np.int64)
-            for at in np.split(np.arange(len(ids)), range(1 << 16, len(ids), 1 << 16)):
-                if len(at):
-                    waiting.append((row, _contexts(ids, at), ids[at]))
-                    n_waiting += len(at)
+            sides = _contexts(ids)
+            for at in range(0, len(ids), 1 << 16):
+                places = slice(at, at + (1 << 16))
+                waiting.append((row, np.stack([x[places] for x in sides], axis=1), ids[places]))
+                n_waiting += len(ids[places])
                 if n_waiting >= 2 * STEP:
                     flush()
                     n_waiting = 0

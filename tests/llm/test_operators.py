@@ -469,6 +469,62 @@ def test_lm_network():
             w[at] = old
 
 
+def test_lm_reads_each_word_of_a_run_once(monkeypatch):
+    """A rare word is looked up once for a run of texts, not at each place; texts of any blanks, and longer than a run, are read as word by word."""
+    import pyarrow as pa
+
+    known, rare = [b"the", b"of"], [b"seldom"]
+    words = lm_score._Vocabulary(known, rare, np.array([3]))
+    buckets = np.log(np.arange(1.0, lm_score.RARE + 2))
+    texts = ["the odd Odd\x0b\todd " * 500, None, "", " \n ", "  The of\r\nof seldom", "\u00c9t\u00e9\u00a0x \u00e9", "odd the", " seldom " * 40 + "odd\x1cone two"] * 3
+    bucket, asked = lm_score._bucket, Counter()
+    monkeypatch.setattr(lm_score, "_bucket", lambda w: asked.update([w]) or bucket(w))
+    batch = pa.RecordBatch.from_arrays([pa.array([b"%d" % i for i in range(len(texts))]), pa.array(texts)], ["key", "text"])
+    for piece in (1 << 20, 64):
+        monkeypatch.setattr(lm_score, "_PIECE", piece, raising=False)
+        asked.clear()
+        rows = [r for b in lm_score._encoder(_Sent((words, buckets)))(iter([batch])) for r in b.to_pylist()]
+        assert piece == 64 or set(asked.values()) == {1}
+        for i, (text, row) in enumerate(zip(texts, rows, strict=True)):
+            own = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
+            ids = [lm_score.RARE + 1 + known.index(w) if w in known else bucket(w) for w in own]
+            tail = Counter()
+            for t in row["tail"]:
+                tail[t["word"]] += t["n"]
+            assert row["key"] == b"%d" % i and np.frombuffer(row["ids"], "<u2").tolist() == ids
+            assert tail == Counter(w for w in own if w not in known + rare)
+            assert row["known"] == pytest.approx(sum(math.log(3) * (w in rare) - (buckets[bucket(w)] if w not in known else 0) for w in own))
+        counts = Counter()
+        for b in lm_score._count_words(iter([batch.select([1])])):
+            counts.update(dict(zip(b[0].to_pylist(), b[1].to_pylist(), strict=True)))
+        assert counts == Counter(w for t in texts for w in re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower()))
+
+
+def test_lm_gradient_of_many_equal_words():
+    """Gradients of words found hundreds of times are the sums over their places, and logits of any size are safe."""
+    rng = np.random.default_rng(2)
+    p = [x.astype(np.float64) + rng.standard_normal(x.shape) * 0.1 for x in lm_score._unpack(lm_score.initial(), 1024)]
+    context, target = rng.integers(0, 1024, (3000, 4)), rng.integers(0, 1024, 3000)
+    context[:, 1], context[:700, 0], context[:65, 2] = 5, 9, 77
+    places = [slice(a, a + 5) for a in range(0, 3000, 5)]
+
+    def dense(*parts):
+        wide, others = np.zeros((4 * 1024, lm_score.WIDTH)), 0
+        for part in parts:
+            rows, of_rows, g = lm_score._gradient(p, context[part], target[part])
+            assert len(set(rows.tolist())) == len(rows)
+            wide[rows] += of_rows
+            others = others + np.concatenate([x.ravel() for x in g])
+        return wide, others
+
+    for got, want in zip(dense(slice(None)), dense(*places), strict=True):
+        assert got == pytest.approx(want, rel=1e-9, abs=1e-9)
+    big = [x.astype(np.float32) for x in p]
+    big[3][::2] += 300
+    big[5][:, 1::2] -= 400
+    assert np.isfinite(lm_score.log_probs(big, context, target)).all() and all(np.isfinite(x).all() for x in lm_score._gradient(big, context, target)[2])
+
+
 def test_lm_is_the_same_for_any_partitions(spark, monkeypatch):
     monkeypatch.setattr(lm_score, "GROUP", 1500)
     rng = random.Random(14)
