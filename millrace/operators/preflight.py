@@ -1,6 +1,6 @@
 """Gates before training: every line of a dataset of the right shape, no evaluation rows among them, as many rows as expected.
 
-Rows are those of ``sources.checked.read_checked`` (file, line, value, problems). Counters are observed while the rows pass, so rows and verdict come of one read.
+Rows are those of ``sources.checked.read_checked`` (file, line, value, problems) or ``read_placed``. Counters are observed while the rows pass, so rows and verdict come of one read.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from millrace.operators.shapes import let
+from millrace.sources import checked
 
 #: What ids of rows for evaluation contain.
 FORBIDDEN_IDS = ("frozen", "diagnostic", "missing_mock_prediction", "phase02", "base_benchmark")
@@ -68,7 +69,15 @@ def report(rows: DataFrame, expected: Column) -> DataFrame:
     return counted.select("n_rows", expected.cast("long").alias("n_expected"), "n_bad", "n_problems", ((F.col("n_bad") == 0) & (F.col("n_rows") == expected)).alias("passed"))
 
 
-def by_issue(rows: DataFrame) -> DataFrame:
-    """How often each issue occurs at each path."""
-    return rows.select(F.explode("problems").alias("p")).groupBy("p.path", "p.issue").agg(F.count(F.lit(1)).alias("n"))
+def by_issue(rows: DataFrame, key: str | None = None) -> DataFrame:
+    """How often each issue occurs at each path; with a ``key``, each row but the first with one value of that text counts as a ``duplicate`` too (as by ``sources.checked.with_duplicates``).
 
+    Repeats are counted by value, so no row travels, and rows are read once."""
+    if key is None:
+        return rows.select(F.explode("problems").alias("p")).groupBy("p.path", "p.issue").agg(F.count(F.lit(1)).alias("n"))
+    # a row gives its problems and its value; what a value has beyond one row repeats it
+    found = F.transform("problems", lambda p: F.struct(p["path"].alias("path"), p["issue"].alias("issue"), F.lit(None).cast("string").alias("key")))
+    value = F.array(F.struct(F.lit(f"$.{key}").alias("path"), F.lit("duplicate").alias("issue"), F.col("key").alias("key")))
+    each = rows.select("problems", checked.text_at(key).alias("key")).select(F.explode(F.when(F.col("key").isNull(), found).otherwise(F.concat(found, value))).alias("p"))
+    counted = each.groupBy("p.path", "p.issue", "p.key").agg(F.count(F.lit(1)).alias("n")).withColumn("n", F.when(F.col("key").isNull(), F.col("n")).otherwise(F.col("n") - 1))
+    return counted.where("n > 0").groupBy("path", "issue").agg(F.sum("n").alias("n"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -111,8 +113,8 @@ _DECISION_SQL = f"""CASE WHEN id % 4 = 1 THEN to_json({{'action': 'tool_call', '
  'unrelated': unrelated, 'missing_info': missing, 'reply_type': CASE WHEN unrelated THEN 'handoff' ELSE 'acknowledge_result' END, 'reply': CASE WHEN id % 3 = 0 THEN 'ok' END}}) END"""
 
 
-def decision_texts(spark: SparkSession, sf: str) -> DataFrame:
-    """A decision (id, answer) as JSON by the contract for each order, sound or spoilt."""
+def decision_texts(spark: SparkSession, sf: str, dealt: Callable[[DataFrame], DataFrame] = lambda orders: orders) -> DataFrame:
+    """A decision (id, answer) as JSON by the contract for each order, sound or spoilt; ``dealt`` as in ``records``."""
     k, c = F.col("id"), F.col
     null = F.lit(None).cast("string")
     args = {
@@ -121,7 +123,7 @@ def decision_texts(spark: SparkSession, sf: str) -> DataFrame:
     }
     struct = lambda fields: F.struct(*[v.alias(n) for n, v in fields.items()])
     chefs = F.transform("tool_ids", lambda x: F.struct(F.concat(F.lit("chef_"), x.cast("string")).alias("chef_id"), F.concat(F.lit("name-"), x.cast("string")).alias("chef_name")))
-    r = with_tool_status(records(spark, sf)).withColumn("missing", missing_slots())
+    r = with_tool_status(records(spark, sf, dealt)).withColumn("missing", missing_slots())
     call = _json(action=F.lit("tool_call"), tool_name=F.lit("find_chefs"), arguments=struct(args))
     state = struct(args | {"chef_id": F.concat(F.lit("chef_"), c("chef_id").cast("string")), "confirmation": c("confirms")})
     final = _json(action=F.lit("final"), booking_state=state, chef_query_status=c("query_status"), candidate_chefs=chefs, info_complete=F.size("missing") == 0, unrelated=c("unrelated"), missing_info=c("missing"),
@@ -182,30 +184,33 @@ f AS (SELECT id, sound, list_concat(list_concat(list_concat(p, CASE WHEN sound A
 """
 
 
-#: Orders whose pairs share a file, some 50 MB of it: files of any number of orders, by the order of ids, have their lines in one order.
-_PART = 50_000
+#: Orders whose pairs share a file, some 40 MB of it, a tenth on disk: files of any number of orders, by the order of ids, have their lines in one order.
+_PART = 25_000
 
 
 def _dpo_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """A line-delimited file of preference pairs of all orders, sound or spoilt, checked."""
+    """Line-delimited files of preference pairs of all orders, sound or spoilt, checked, with the places of their lines."""
+    # lines are made where they are written: orders are dealt to files while they are narrow, a file's orders to one task, and files are compressed
+    n_tasks = max(1, -(-table(spark, sf, "orders").count() // _PART))
+    answers = decision_texts(spark, sf, lambda orders: orders.repartitionById(n_tasks, F.expr(f"CAST(pmod(o_orderkey div {_PART}, {n_tasks}) AS INT)")))
+    answers = answers.withColumn("part", F.lpad(F.expr(f"id div {_PART}").cast("string"), 9, "0")).sortWithinPartitions("part", "id")
     a, k = F.col("answer"), F.col("id").cast("string")
     other = F.concat(a, F.lit(" "))
     line = _json(id=F.concat(F.lit("dpo-"), k, F.lit("-H1")), raw_id=F.concat(F.lit("r"), k), dataset_version=F.lit("v"), heuristic=F.lit("H1"), prompt=F.array(F.struct(F.lit("user").alias("role"), F.lit("hi").alias("content"))),
                  chosen=a, rejected=other, chosen_sha256=F.sha2(a, 256), rejected_sha256=F.sha2(other, 256), tags=F.array(F.lit("a")))
-    lines = decision_texts(spark, sf).select("id", F.lpad(F.expr(f"id div {_PART}").cast("string"), 9, "0").alias("part"), _spoilt(line, F.col("id"), _DPO_CHANGES).alias("value"))
     path = new_path(spark, "pairs")
-    lines.repartition("part").sortWithinPartitions("part", "id").select("part", "value").write.partitionBy("part").text(path)
-    rows = preflight.forbid_ids(checked.read_checked(spark, f"{path}/*/*.txt", b.DPO_ROW))
-    return checked.with_duplicates(preflight.check_digests(rows, {"chosen_sha256": "chosen", "rejected_sha256": "rejected"}), "id")
+    answers.select("part", _spoilt(line, F.col("id"), _DPO_CHANGES).alias("value")).write.partitionBy("part").option("compression", "gzip").text(path)
+    rows = preflight.forbid_ids(checked.read_placed(spark, path, b.DPO_ROW))
+    return preflight.check_digests(rows, {"chosen_sha256": "chosen", "rejected_sha256": "rejected"})
 
 
 @query(_DPO_SQL + ", u AS (SELECT unnest(p, recursive := true) FROM f) SELECT path, issue, count(*) AS n FROM u GROUP BY ALL")
 def preference_faults(spark: SparkSession, sf: str) -> DataFrame:
     """Faults of a file of preference pairs by path and kind: structure, digests, ids of evaluation rows, repeated ids."""
-    return preflight.by_issue(_dpo_lines(spark, sf))
+    return preflight.by_issue(_dpo_lines(spark, sf), "id")
 
 
 @query(_DPO_SQL + "SELECT count(*) AS n_rows, (SELECT count(*) FROM orders) AS n_expected, count(*) FILTER (len(p) > 0) AS n_bad, CAST(sum(len(p)) AS BIGINT) AS n_problems, count(*) FILTER (len(p) > 0) = 0 AND count(*) = (SELECT count(*) FROM orders) AS passed FROM f")
 def preference_preflight(spark: SparkSession, sf: str) -> DataFrame:
     """The gate's verdict on that file: rows, faults, and whether it may be trained on."""
-    return preflight.report(_dpo_lines(spark, sf), F.lit(table(spark, sf, "orders").count()))
+    return preflight.report(checked.with_duplicates(_dpo_lines(spark, sf), "id"), F.lit(table(spark, sf, "orders").count()))

@@ -1,7 +1,9 @@
 """The gate before training on small files."""
 
+import gzip
 import hashlib
 import json
+import re
 
 from pyspark.sql import functions as F
 
@@ -49,3 +51,49 @@ def test_files_of_pairs_hold_many_orders(spark):
 
     # a file of 500 orders made their number grow with the input: three files here
     assert q._dpo_lines(spark, "/root/testdata/sf0.001").select("file").distinct().count() == 1
+
+
+def test_files_of_pairs_are_small(spark, tmp_path, monkeypatch):
+    from millrace.plans import structure_queries as q
+
+    monkeypatch.setattr(q, "new_path", lambda spark, name: str(tmp_path / name))
+    monkeypatch.setattr(q, "_PART", 400)
+    rows = q._dpo_lines(spark, "/root/testdata/sf0.001")
+    # they took 1,640 bytes an order when they were plain
+    files = sorted(tmp_path.glob("pairs/part=*/part-*"))
+    assert sum(f.stat().st_size for f in files) < 250 * 1500
+    # each file has a run of ids, in order
+    ids = [[int(x) for x in re.findall(r'"raw_id":"r(\d+)"', gzip.decompress(f.read_bytes()).decode())] for f in files]
+    assert [len(x) for x in ids] == [400, 400, 400, 300] and sum(ids, []) == list(range(1500))
+    assert rows.count() == 1500
+
+
+def spoilt_files(path):
+    """Two files with repeats within and across them; the first of some is bad, the first of others sound."""
+    one = [row(0), row(0), row(1, tags="a"), row(1), "{", "{", "", {"n": 1}, {"n": 1}, {"id": None}, {"id": None}, row(2)]
+    two = [row(2, tags="a"), row(0), row(3), row(1, chosen_sha256=sha("x")), row(4, id="dpo-FROZEN"), row(4, id="dpo-FROZEN")]
+    for name, rows in (("a", one), ("b", two)):
+        (path / f"{name}.jsonl").write_text("\n".join(r if isinstance(r, str) else json.dumps(r) for r in rows))
+    return 11 + 6
+
+
+def placed(spark, path):
+    rows = preflight.forbid_ids(checked.read_placed(spark, str(path), b.DPO_ROW))
+    return preflight.check_digests(rows, {"chosen_sha256": "chosen", "rejected_sha256": "rejected"})
+
+
+def test_repeats_counted_by_value(spark, tmp_path):
+    spoilt_files(tmp_path)
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1001")
+    try:
+        assert placed(spark, tmp_path).rdd.getNumPartitions() > 3
+        want = sorted(map(tuple, preflight.by_issue(read(spark, tmp_path)).collect()))
+        counted = preflight.by_issue(placed(spark, tmp_path), "id")
+        assert sorted(map(tuple, counted.collect())) == want and ("$.id", "duplicate", 6) in want
+        assert sorted(map(tuple, preflight.by_issue(checked.with_duplicates(placed(spark, tmp_path), "id")).collect())) == want
+        # the files are read once, and no line is joined to anything
+        plan = counted._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
+        assert plan.count("FileScan text") == 1 and "Join" not in plan
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
