@@ -63,10 +63,21 @@ def write_gated(rows: DataFrame, path: str, expected: int) -> Verdict:
     return Verdict(seen.get["n_rows"], expected, seen.get["n_bad"])
 
 
-def report(rows: DataFrame, expected: Column) -> DataFrame:
-    """One row: n_rows, n_expected, n_bad, n_problems, passed. An empty dataset passes only if none is expected."""
-    counted = rows.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.size("problems") > 0).alias("n_bad"), F.coalesce(F.sum(F.size("problems")), F.lit(0)).alias("n_problems"))
-    return counted.select("n_rows", expected.cast("long").alias("n_expected"), "n_bad", "n_problems", ((F.col("n_bad") == 0) & (F.col("n_rows") == expected)).alias("passed"))
+def report(rows: DataFrame, expected: Column, key: str | None = None) -> DataFrame:
+    """One row: n_rows, n_expected, n_bad, n_problems, passed. An empty dataset passes only if none is expected.
+
+    With a ``key``, rows are those of ``sources.checked.read_placed``, and repeats are counted as by ``by_issue``."""
+    bad = F.size("problems") > 0
+    if key is None:
+        counted = rows.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(bad).alias("n_bad"), F.sum(F.size("problems")).alias("n_problems"))
+    else:
+        each = rows.select(checked.text_at(key).alias("key"), bad.alias("bad"), F.size("problems").alias("n"), *checked.PLACE)
+        values = each.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_if("bad").alias("n_bad"), F.sum("n").alias("n_problems"), F.min(F.struct(*checked.PLACE, "bad")).alias("first"))
+        # rows without the text repeat none
+        again = F.when(F.col("key").isNull(), 0).otherwise(F.col("n") - 1)
+        sound_again = F.when(F.col("key").isNull(), 0).otherwise(F.col("n") - 1 - (F.col("n_bad") - F.col("first.bad").cast("long")))
+        counted = values.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.coalesce(F.sum(F.col("n_bad") + sound_again), F.lit(0)).alias("n_bad"), F.sum(F.col("n_problems") + again).alias("n_problems"))
+    return counted.select("n_rows", expected.cast("long").alias("n_expected"), "n_bad", F.coalesce("n_problems", F.lit(0)).alias("n_problems"), ((F.col("n_bad") == 0) & (F.col("n_rows") == expected)).alias("passed"))
 
 
 def by_issue(rows: DataFrame, key: str | None = None) -> DataFrame:

@@ -97,3 +97,17 @@ def test_repeats_counted_by_value(spark, tmp_path):
         assert plan.count("FileScan text") == 1 and "Join" not in plan
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
+def test_report_counts_repeats_by_value(spark, tmp_path):
+    n = spoilt_files(tmp_path)
+    want = tuple(preflight.report(read(spark, tmp_path), F.lit(n)).first())
+    reported = preflight.report(placed(spark, tmp_path), F.lit(n), "id")
+    # sound are the first of 0, 2 and 3; that of 1 is bad, so all of it are
+    assert tuple(reported.collect()[0]) == want and want[:3] == (n, n, n - 3)
+    plan = reported._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
+    assert plan.count("FileScan text") == 1 and "Join" not in plan
+    nothing = tmp_path / "nothing"
+    nothing.mkdir()
+    (nothing / "a.jsonl").write_text("\n")
+    assert tuple(preflight.report(placed(spark, nothing), F.lit(0), "id").first()) == (0, 0, 0, 0, True)
