@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import dates
 from millrace.operators import reports
-from millrace.shared import new_path
+from millrace.shared import move, new_path
 from millrace.sources.tables import predictions, stream_text, table
 from millrace.streaming import runs
 
@@ -294,10 +294,10 @@ def run_telemetry_stream(spark: SparkSession, sf: str) -> DataFrame:
     # the events are read once; each five days are then a folder
     e.withColumn("days", days).write.partitionBy("days").parquet(f"{path}/days")
     by_days = spark.read.schema(e.withColumn("days", days).schema).parquet(f"{path}/days")
-    e.limit(0).write.parquet(f"{path}/in")
+    e.limit(0).write.parquet(f"{path}/in/none")
     end = e.agg(F.max("at").alias("at")).select(F.lit(-1).cast("long").alias("run"), (F.coalesce("at", F.current_timestamp()) + F.expr("INTERVAL 30 DAYS")).alias("at"), F.lit("end").alias("kind"), F.lit(None).cast("double").alias("value"))
-    chunks = [by_days.where(F.col("days") == n).drop("days") for n in (range(first, last + 1) if first is not None else ())]
-    stream = runs.runs(spark.readStream.schema(e.schema).parquet(f"{path}/in"), _GAP, "6 days").writeStream.format("parquet").option("checkpointLocation", f"{path}/progress")
+    chunks = {n: by_days.where(F.col("days") == n).drop("days") for n in (range(first, last + 1) if first is not None else ())}
+    stream = runs.runs(spark.readStream.schema(e.schema).parquet(f"{path}/in/*"), _GAP, "6 days").writeStream.format("parquet").option("checkpointLocation", f"{path}/progress")
     # the next five days come when the stream has taken those before, in however many files: batches grow in size, not in number. Within them events come in any order, which the watermark allows for
     timers = "spark.sql.streaming.noDataMicroBatches.enabled"
     before = spark.conf.get(timers)
@@ -307,11 +307,13 @@ def run_telemetry_stream(spark: SparkSession, sf: str) -> DataFrame:
     finally:
         spark.conf.set(timers, before)
     try:
-        for chunk in chunks:
-            chunk.write.mode("append").parquet(f"{path}/in")
+        for n, chunk in chunks.items():
+            # the stream, which looks for files all the time, finds a folder's at once: those of a writer come one by one, and made batches of their own
+            chunk.write.parquet(f"{path}/next/{n}")
+            move(spark, f"{path}/next/{n}", f"{path}/in/{n}")
             told.processAllAvailable()
     finally:
         told.stop()
-    end.write.mode("append").parquet(f"{path}/in")
+    end.write.parquet(f"{path}/in/end")
     stream.trigger(availableNow=True).start(f"{path}/out").awaitTermination()
     return spark.read.parquet(f"{path}/out").where("run <> -1")

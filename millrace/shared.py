@@ -53,3 +53,10 @@ def discard(*settled: DataFrame) -> None:
     for df in settled:
         path, files = folder(df)
         files.delete(path, True)
+
+
+def move(spark: SparkSession, path: str, to: str) -> None:
+    """Renames a folder."""
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    if not at(path).getFileSystem(spark._jsc.hadoopConfiguration()).rename(at(path), at(to)):
+        raise OSError(f"{path} can't be moved to {to}")
